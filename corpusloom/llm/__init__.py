@@ -1,0 +1 @@
+"""Operators for training-data pipelines. Nothing else in the library imports this package."""

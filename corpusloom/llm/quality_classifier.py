@@ -133,6 +133,19 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     return found.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score threshold or more, learnt as classify() does; all columns, no shuffle."""
+    known = labels.groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).alias("label"))
+    learnt = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(crc_of(F.col("doc_id")) % FOLDS != 0).join(known.select("doc_id"), "doc_id", "left_semi")
+    model = fit(with_statistics(learnt, "doc_id", "text").join(known, "doc_id"))
+
+    @F.pandas_udf("boolean")
+    def good(t: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.stack([statistics(x) for x in t])) >= threshold if len(t) else np.zeros(0, bool))
+
+    return docs.where(good(F.col(text)))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
