@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import connected_components, materialize, table
@@ -99,6 +99,13 @@ def parity(s: np.ndarray) -> list[int]:
     return odd.view(np.int64).tolist()
 
 
+def may_match(x: str, y: str, percent: int = PERCENT) -> Column:
+    """Whether two sets' parity bits allow a Jaccard of percent: |x - y| + |y - x| of sets that link is at
+    most (100 - percent) / (100 + percent) of their sizes' sum. Never false for sets that link."""
+    apart = " + ".join(f"bit_count({x}{b} ^ {y}{b})" for b in BITS)
+    return F.expr(f"{100 + percent} * ({apart}) <= {100 - percent} * ({x}n + {y}n)")
+
+
 def subset_keys(first: np.ndarray) -> np.ndarray:
     i, j = np.triu_indices(len(first), 1)
     return mixed(mixed(first[i]) * _M1 + first[j])
@@ -273,6 +280,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     shared = materialize(posted.join(pivots, F.col("key") == F.col("k")).select("key", "cid", "n", "pivot", "pn"), "shared-keys")
     fits = lambda x, y: f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
     star = shared.where("cid <> pivot").where(fits("n", "pn")).select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
+    of_class = lambda side: classes.select(F.col("cid").alias(side), F.col("n").alias(f"{side}n"), *[F.col(b).alias(f"{side}{b}") for b in BITS])
+    star = star.join(of_class("a"), "a").join(of_class("b"), "b").where(may_match("a", "b", percent)).select("a", "b")
     links = verify(star, docs, classes, percent)
     component = materialize(connected_components(links), "components")
 
@@ -285,8 +294,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     left = marked.join(mixed_keys, F.col("key") == F.col("k")).select("key", "cid", "n", "pivot", "c")
     left = materialize(left.join(classes.select("cid", *BITS), "cid"), "unsettled")
     x, y = left.alias("x"), left.alias("y")
-    apart = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in BITS)  # at most the shingles in which the sets differ
-    alike = F.expr(f"({100 + percent}) * ({apart}) <= {100 - percent} * (x.n + y.n)")
+    alike = may_match("x.", "y.", percent)
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & F.expr(fits("x.n", "y.n")) & alike & (F.col("x.cid") != F.col("x.pivot")) & (F.col("y.cid") != F.col("x.pivot")))
     more = more.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
     found = verify(more, docs, classes, percent)
