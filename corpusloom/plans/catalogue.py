@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import compositions
+from corpusloom.plans import compositions, geography
 
-_MODULES = (compositions,)
+_MODULES = (compositions, geography)
 
 
 def queries() -> dict:
