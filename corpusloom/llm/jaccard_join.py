@@ -42,6 +42,8 @@ BROADCAST_IDS = 1_000_000
 #: Shingles that a task sorts at a time; bytes of text split at a time.
 FLUSH, TEXT_BLOCK = 4_000_000, 1 << 23
 BITS = ("b0", "b1", "b2", "b3")
+#: Sets of more shingles have so many parity bits besides.
+WIDE_FROM, WIDE_BITS = 500, 2048
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -92,10 +94,10 @@ def prefix(n: int, l: int, percent: int = PERCENT) -> int:
     return min(n, n - least_overlap(n, percent) + l)
 
 
-def parity(s: np.ndarray) -> list[int]:
-    """256 bits: of the shingles that fall on a bit, whether their number is odd. Two sets differ in at
+def parity(s: np.ndarray, bits: int = 256) -> list[int]:
+    """bits, in longs: of the shingles that fall on a bit, whether their number is odd. Two sets differ in at
     least as many shingles as their bits differ."""
-    odd = np.packbits(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1)
+    odd = np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
     return odd.view(np.int64).tolist()
 
 
@@ -106,6 +108,14 @@ def may_match(x: str, y: str, percent: int = PERCENT) -> Column:
     return F.expr(f"{100 + percent} * ({apart}) <= {100 - percent} * ({x}n + {y}n)")
 
 
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose parity bits, narrow and wide, allow a link."""
+    for side in "ab":
+        pairs = pairs.join(classes.select(F.col("cid").alias(side), F.col("n").alias(f"{side}n"), F.col("wide").alias(f"{side}w"), *[F.col(b).alias(f"{side}{b}") for b in BITS]), side)
+    apart = F.aggregate(F.zip_with("aw", "bw", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+    return pairs.where(may_match("a", "b", percent)).where(F.coalesce((100 + percent) * apart <= (100 - percent) * (F.col("an") + F.col("bn")), F.lit(True))).select("a", "b")
+
+
 def subset_keys(first: np.ndarray) -> np.ndarray:
     i, j = np.triu_indices(len(first), 1)
     return mixed(mixed(first[i]) * _M1 + first[j])
@@ -194,7 +204,7 @@ def with_keys(docs: DataFrame, often: np.ndarray, boundary: int, percent: int =
         bits = shared.value
         mask = np.uint64(len(bits) * 64 - 1)
         for batch in batches:
-            rows, keys = [], []
+            rows, keys, wide = [], [], []
             for t in batch.column(0):
                 s = shingles(t.as_py())
                 n = len(s)
@@ -209,12 +219,13 @@ def with_keys(docs: DataFrame, often: np.ndarray, boundary: int, percent: int =
                         own.append(mixed(ordered[: prefix(n, 1, percent)] ^ _M2))
                 keys.append(np.concatenate(own).view(np.int64))
                 rows.append((*fingerprint(s), n, int(n - last.sum()), *parity(s)))
+                wide.append(parity(s, WIDE_BITS) if n > WIDE_FROM else None)
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 8)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["f1", "f2", "n", "rare", *BITS, "keys"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(wide, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["f1", "f2", "n", "rare", *BITS, "wide", "keys"])
 
-    return docs.select("text").mapInArrow(run, "f1 long, f2 long, n long, rare long, b0 long, b1 long, b2 long, b3 long, keys array<long>")
+    return docs.select("text").mapInArrow(run, "f1 long, f2 long, n long, rare long, b0 long, b1 long, b2 long, b3 long, wide array<long>, keys array<long>")
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -272,7 +283,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     boundary = best_boundary(histogram, length, percent)
     # one class per distinct set; hot sets are combined before the shuffle
     classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("first"))
-    keyed = with_keys(docs, often, boundary, percent).where("n > 0").groupBy("f1", "f2", "n").agg(*[F.first(c).alias(c) for c in ("rare", *BITS, "keys")])
+    keyed = with_keys(docs, often, boundary, percent).where("n > 0").groupBy("f1", "f2", "n").agg(*[F.first(c).alias(c) for c in ("rare", *BITS, "wide", "keys")])
     classes = materialize(classes.join(keyed, ["f1", "f2", "n"]).withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     posted = classes.select(F.explode("keys").alias("key"), "cid", "n", "rare")
@@ -280,9 +291,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     shared = materialize(posted.join(pivots, F.col("key") == F.col("k")).select("key", "cid", "n", "pivot", "pn"), "shared-keys")
     fits = lambda x, y: f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
     star = shared.where("cid <> pivot").where(fits("n", "pn")).select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
-    of_class = lambda side: classes.select(F.col("cid").alias(side), F.col("n").alias(f"{side}n"), *[F.col(b).alias(f"{side}{b}") for b in BITS])
-    star = star.join(of_class("a"), "a").join(of_class("b"), "b").where(may_match("a", "b", percent)).select("a", "b")
-    links = verify(star, docs, classes, percent)
+    links = verify(plausible(star, classes, percent), docs, classes, percent)
     component = materialize(connected_components(links), "components")
 
     def labelled(at: DataFrame) -> DataFrame:
@@ -297,7 +306,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     alike = may_match("x.", "y.", percent)
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & F.expr(fits("x.n", "y.n")) & alike & (F.col("x.cid") != F.col("x.pivot")) & (F.col("y.cid") != F.col("x.pivot")))
     more = more.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
-    found = verify(more, docs, classes, percent)
+    found = verify(plausible(more, classes, percent), docs, classes, percent)
     component = materialize(connected_components(links.union(found)), "components")
     merged = labelled(classes.select("f1", "f2", "n", "cid", "first"))
     smallest = merged.groupBy(F.col("c").alias("d")).agg(F.min("first").alias("component_id"))
