@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import compositions, geography
+from corpusloom.plans import compositions, geography, records
 
-_MODULES = (compositions, geography)
+_MODULES = (compositions, geography, records)
 
 
 def queries() -> dict:
