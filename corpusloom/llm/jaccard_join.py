@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import connected_components, materialize, table
+from corpusloom.llm.common import connected_components, materialize, release, table
 
 #: Words of a shingle, and the least Jaccard in per cent.
 SHINGLE_WORDS = 3
@@ -193,6 +193,7 @@ def frequent(profiled: DataFrame, limit: int = FREQUENT) -> tuple[np.ndarray, fl
     out = np.zeros(bits // 64, np.uint64)
     for r in words:
         out[r["w"]] = np.uint64(r["b"] & 0xFFFFFFFFFFFFFFFF)
+    release(found)
     return out, (s2 / s1 - 1 if s1 else 0.0)
 
 
@@ -229,7 +230,7 @@ def with_keys(docs: DataFrame, often: np.ndarray, boundary: int, percent: int =
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid and set (sorted 64-bit shingles as bytes) of the classes in wanted(cid), from the texts of
+    """cid and set (sorted 64-bit shingles as bytes), stored, of the classes in wanted(cid), from the texts of
     their first documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,13 +244,15 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame
     few = F.broadcast(few) if ids.count() <= BROADCAST_IDS else few
     texts = docs.join(few, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").select("text")
     found = texts.mapInArrow(run, "f1 long, f2 long, set binary")
-    return found.join(ids.select("f1", "f2", "cid"), ["f1", "f2"]).groupBy("cid").agg(F.first("set").alias("set"))
+    sets = materialize(found.join(ids.select("f1", "f2", "cid"), ["f1", "f2"]).groupBy("cid").agg(F.first("set").alias("set")), "sets")
+    release(ids)
+    return sets
 
 
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of class ids whose sets' Jaccard is at least percent."""
     pairs = materialize(pairs, "candidates")
-    sets = materialize(sets_of(docs, classes, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()), "sets")
+    sets = sets_of(docs, classes, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +264,9 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int =
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialize(both.mapInArrow(run, "a long, b long"), "verified")
+    out = materialize(both.mapInArrow(run, "a long, b long"), "verified")
+    release(pairs, sets)
+    return out
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -277,18 +282,21 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # what the scan reads, without reading it
     parts = 1 << min(16, max(6, math.ceil(math.log2(max(1, size / 4e6)))))
     profiled = materialize(profile(docs, parts), "shingle-profile")
-    rows = profiled.where("part is null").select("doc_id", "n", "f1", "f2")
+    rows = materialize(profiled.where("part is null").select("doc_id", "n", "f1", "f2"), "profile-rows")
     often, length = frequent(profiled)
+    release(profiled)
     histogram = {r["s"]: r["c"] for r in rows.groupBy(F.least("n", F.lit(MAX_BOUNDARY + 1)).alias("s")).agg(F.count(F.lit(1)).alias("c")).collect()}
     boundary = best_boundary(histogram, length, percent)
     # one class per distinct set; hot sets are combined before the shuffle
     classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("first"))
     keyed = with_keys(docs, often, boundary, percent).where("n > 0").groupBy("f1", "f2", "n").agg(*[F.first(c).alias(c) for c in ("rare", *BITS, "wide", "keys")])
-    classes = materialize(classes.join(keyed, ["f1", "f2", "n"]).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    with_posts = materialize(classes.join(keyed, ["f1", "f2", "n"]).withColumn("cid", F.monotonically_increasing_id()), "classes-keys")
+    classes = materialize(with_posts.drop("keys"), "classes")
 
-    posted = classes.select(F.explode("keys").alias("key"), "cid", "n", "rare")
+    posted = with_posts.select(F.explode("keys").alias("key"), "cid", "n", "rare")
     pivots = posted.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rare", "cid", "n")).alias("p")).where("m > 1").select(F.col("key").alias("k"), F.col("p.cid").alias("pivot"), F.col("p.n").alias("pn"))
     shared = materialize(posted.join(pivots, F.col("key") == F.col("k")).select("key", "cid", "n", "pivot", "pn"), "shared-keys")
+    release(with_posts)
     fits = lambda x, y: f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
     star = shared.where("cid <> pivot").where(fits("n", "pn")).select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
     links = verify(plausible(star, classes, percent), docs, classes, percent)
@@ -302,15 +310,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     mixed_keys = marked.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
     left = marked.join(mixed_keys, F.col("key") == F.col("k")).select("key", "cid", "n", "pivot", "c")
     left = materialize(left.join(classes.select("cid", *BITS), "cid"), "unsettled")
+    release(shared, component)
     x, y = left.alias("x"), left.alias("y")
     alike = may_match("x.", "y.", percent)
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & F.expr(fits("x.n", "y.n")) & alike & (F.col("x.cid") != F.col("x.pivot")) & (F.col("y.cid") != F.col("x.pivot")))
     more = more.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
     found = verify(plausible(more, classes, percent), docs, classes, percent)
     component = materialize(connected_components(links.union(found)), "components")
+    release(left, links, found)
     merged = labelled(classes.select("f1", "f2", "n", "cid", "first"))
     smallest = merged.groupBy(F.col("c").alias("d")).agg(F.min("first").alias("component_id"))
-    of = merged.join(smallest, F.col("c") == F.col("d")).select("f1", "f2", "n", "component_id")
+    of = materialize(merged.join(smallest, F.col("c") == F.col("d")).select("f1", "f2", "n", "component_id"), "class-components")
+    release(classes, component)
     out = rows.join(of, ["f1", "f2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

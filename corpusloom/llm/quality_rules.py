@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import UPPER, WORD_GAP, materialize, table, words_of
+from corpusloom.llm.common import UPPER, WORD_GAP, materialize, release, table, words_of
 
 #: A line is boilerplate in a host if more than this many distinct documents hold it, and more than this share of the host's documents.
 MAX_DOCS = 10
@@ -120,7 +120,8 @@ def apply_quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     profiled = materialize(profile(stored.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.col(host).alias("host"), "_row"), "doc_id", "t", "host", keep="_row"), "line-profile")
     verdicts, gone = judge(profiled, **limits)
     drops = gone.groupBy("_rid").agg(F.collect_set("h").alias("_gone"))
-    kept = verdicts.where("kept").select("_rid").join(drops, "_rid", "left").withColumnRenamed("_rid", "_row")
+    kept = materialize(verdicts.where("kept").select("_rid").join(drops, "_rid", "left").withColumnRenamed("_rid", "_row"), "rules-kept")
+    release(profiled)
     cut = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains("_gone", F.xxhash64(normalised_line(x))) | ~x.rlike(r"[^\x20\x09-\x0D]")), "\n")
     found = stored.join(kept, "_row").withColumn("_new", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(cut))
     out = {text: F.col("_new")}
