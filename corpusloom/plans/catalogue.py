@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import compositions, geography, records
+from corpusloom.plans import compositions, geography, inference, records
 
-_MODULES = (compositions, geography, records)
+_MODULES = (compositions, geography, inference, records)
 
 
 def queries() -> dict:
