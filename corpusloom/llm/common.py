@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 #: What separates words in the contracts that count `[^\x20\x09-\x0D]+`.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Rows of a file that one bitmap of chosen rows covers (4 KB), and the most bitmaps that are broadcast (64 MB); beyond that, texts are sought by a shuffle.
+MAP_ROWS, MAX_MAPS = 32_768, 16_384
+#: Other tables are broadcast up to so many rows of a few numbers each, beyond that joined by a shuffle.
+MAX_SMALL = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +85,47 @@ def release(*frames: DataFrame) -> None:
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: a struct (f, i) that is each row's own, the hash of its file
+    and its place there. Of a plain scan of Parquet these never change, whoever reads it again; any other
+    frame is stored first."""
+    plain = docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and docs.inputFiles()
+    if not plain or "row_index" not in docs.select(docs.metadataColumn("_metadata")).schema[0].dataType.names:
+        docs = materialize(docs, label)
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    at = docs.metadataColumn("_metadata")
+    return docs.select("*", F.struct(F.xxhash64(at["file_path"]).alias("f"), at["row_index"].alias("i")).alias(name)), name
+
+
+def rows_in(docs: DataFrame, row: str, wanted: DataFrame) -> DataFrame:
+    """The rows of docs, from numbered(), whose column row is in wanted's only column. wanted travels as
+    bitmaps, one bit a row of docs, so that texts need no shuffle; more than MAX_MAPS of them are not
+    broadcast, and Spark chooses the join."""
+    at = F.col(wanted.columns[0])
+    bucket = lambda i: F.floor(i / MAP_ROWS)
+    maps = materialize(
+        wanted.select(at["f"].alias("_f"), bucket(at["i"]).alias("_b"), (at["i"] % MAP_ROWS).alias("_p"))
+        .groupBy("_f", "_b").agg(F.bitmap_construct_agg("_p").alias("_bits")),
+        "bitmaps",
+    )
+    if maps.count() > MAX_MAPS:
+        return docs.join(wanted.select(at.alias("_wanted")), F.col(row) == F.col("_wanted"), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")  # names may clash
+    found = docs.select(whole, F.col(row)["f"].alias("_mf"), bucket(F.col(row)["i"]).alias("_mb"), (F.col(row)["i"] % MAP_ROWS).alias("_mp"))
+    place = F.col("_mp")
+    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    has = F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1
+    return found.join(F.broadcast(maps), (F.col("_mf") == F.col("_f")) & (F.col("_mb") == F.col("_b"))).where(has).select("_doc.*")
+
+
+def small(df: DataFrame, label: str) -> DataFrame:
+    """df, stored, marked for broadcast if it has no more than MAX_SMALL rows."""
+    df = materialize(df, label)
+    return F.broadcast(df) if df.count() <= MAX_SMALL else df
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of edges (a, b): component is the smallest node reachable.
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import connected_components, materialize, release, table
+from corpusloom.llm.common import connected_components, materialize, numbered, release, rows_in, table
 
 #: Words of a shingle, and the least Jaccard in per cent.
 SHINGLE_WORDS = 3
@@ -329,11 +329,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id; all columns. Rows without a
     shingle all stay."""
-    stored = materialize(docs.select("*", F.monotonically_increasing_id().alias("_row")), "join-docs")
-    found = jaccard_components(stored.select("_row", F.col(text).alias("t")), "_row", "t", percent)
-    named = found.select(F.col("doc_id").alias("_row"), "component_id").join(stored.select("_row", F.col(doc_id).alias("id")), "_row")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row")).alias("m")).select(F.col("m._row").alias("_row"))
-    return stored.join(first, "_row", "left_semi").select(*docs.columns)
+    rows, row = numbered(docs, "join-docs")
+    found = jaccard_components(rows.select(F.col(row).alias("_r"), F.col(text).alias("t")), "_r", "t", percent)
+    named = found.join(rows.select(F.col(row).alias("doc_id"), F.col(doc_id).alias("id")), "doc_id")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).alias("m")).select(F.col("m.doc_id").alias("_r"))
+    return rows_in(rows, row, first).select(*docs.columns)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,11 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import count_words, materialize, table
+from corpusloom.llm.common import count_words, materialize, numbered, small, table
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -99,6 +99,13 @@ def nearest(sizes: Sequence[int], left: float, exact_below: int = 50_000, exact_
 class Mix:
     documents: DataFrame  # _rid, doc_id, size, source_size, target, sid
     draws: DataFrame  # _rid, doc_id, epoch, shard, order, words
+    sources: DataFrame  # sid, s_source and more, a row per source
+    dealt: DataFrame  # sid, block, epoch, cut, shard: where each pass of each block goes
+    chosen: DataFrame  # _rid of the documents that are taken of cut blocks
+
+
+def block_of(seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_blocks")).cast("int")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: str | None = None, weights: Sequence[float] = WEIGHTS, cap: int = CAP, block_words: int = BLOCK_WORDS, seed: int = SEED) -> Mix:
@@ -120,7 +127,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     n_blocks = [int(min(MAX_BLOCKS, max(1, -(-n // block_words)))) for n in sizes]
     rows = [(i, r["source"], r["n"], t, p, float(e), b) for i, (r, t, p, e, b) in enumerate(zip(found, targets, passes, rest, n_blocks, strict=True))]
     sources = spark.createDataFrame(rows, "sid int, s_source string, source_size long, target double, passes int, rest double, n_blocks int")
-    d = d.join(sources, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source", "source").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_blocks")).cast("int"))
+    d = d.join(sources, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source", "source").withColumn("block", block_of(seed))
 
     def order_of(sid: int, epoch: int, n: int) -> np.ndarray:
         return np.random.default_rng([seed, sid, epoch]).permutation(n)
@@ -153,7 +160,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     cut = ranked.where("part = 'cut'").select("sid", "block", (F.col("rest") - F.col("before")).alias("left"))
     chosen = (
         d.join(cut, ["sid", "block"]).select("sid", "_rid", "doc_id", "size", "left", F.xxhash64(F.lit(seed + 1), "doc_id", "size").alias("key"))
-        .groupBy("sid").applyInPandas(fill, "_rid long").withColumn("_chosen", F.lit(True))
+        .groupBy("sid").applyInPandas(fill, f"_rid {d.schema['_rid'].dataType.simpleString()}").withColumn("_chosen", F.lit(True))
     )
 
     taken = {r["sid"]: (r["n"], r["cut"]) for r in ranked.groupBy("sid").agg(F.sum(F.when(F.col("part") == "whole", 1).otherwise(0)).alias("n"), F.sum(F.when(F.col("part") == "cut", 1).otherwise(0)).alias("cut")).collect()}
@@ -178,16 +185,25 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     dealt = ranked.mapInPandas(deal, "sid int, block int, epoch int, cut boolean, shard int")
     draws = d.join(dealt, ["sid", "block"]).join(chosen, "_rid", "left").where(~F.col("cut") | F.col("_chosen"))
     draws = draws.select("_rid", "doc_id", "epoch", "shard", F.xxhash64(F.lit(seed + 2), "shard", "epoch", "doc_id", "_rid").alias("order"), F.col("size").alias("words"))
-    return Mix(d.select("_rid", "doc_id", "size", "source_size", "target", "sid"), draws)
+    return Mix(d.select("_rid", "doc_id", "size", "source_size", "target", "sid"), draws, sources, dealt, chosen.select("_rid"))
 
 
 def apply_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The mixed rows themselves, all columns of docs, a document as often as it is drawn, a partition
-    per shard or more, each shard shuffled."""
-    stored = materialize(docs.select("*", F.monotonically_increasing_id().alias("_row")), "mix-docs")
-    m = mix(stored.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.col(source).alias("s"), "_row"), "doc_id", "t", "s", keep="_row", **how)
-    out = stored.join(m.draws.select(F.col("_rid").alias("_row"), "shard", "order"), "_row")
-    return out.repartition("shard").sortWithinPartitions("shard", "order").select(*docs.columns)
+    per shard or more, each shard shuffled. Texts are shuffled once, to their shards: a document's block
+    follows from its id, and what becomes of a block is a small table."""
+    seed = how.get("seed", SEED)
+    rows, row = numbered(docs, "mix-docs")
+    rid = F.concat_ws(":", F.col(row)["f"], F.col(row)["i"])
+    m = mix(rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.col(source).alias("s"), rid.alias("_rid")), "doc_id", "t", "s", keep="_rid", **how)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")  # names may clash
+    d = rows.select(whole, F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(text).alias("t"), rid.alias("_rid"))
+    d = d.join(F.broadcast(m.sources), F.col("source").eqNullSafe(F.col("s_source"))).withColumn("block", block_of(seed))
+    dealt = small(m.dealt, "dealt")
+    chosen = small(m.chosen.withColumn("_chosen", F.lit(True)), "chosen")
+    out = d.join(dealt, ["sid", "block"]).join(chosen, "_rid", "left").where(~F.col("cut") | F.col("_chosen"))
+    out = out.select("_doc", "shard", F.xxhash64(F.lit(seed + 2), "shard", "epoch", "doc_id", "t").alias("order"))
+    return out.repartition("shard").sortWithinPartitions("shard", "order").select("_doc.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

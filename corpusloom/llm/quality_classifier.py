@@ -134,10 +134,10 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score threshold or more, learnt as classify() does; all columns, no shuffle."""
+    """The rows of docs that score threshold or more, learnt as classify() does; all columns, no shuffle of texts."""
     known = labels.groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).alias("label"))
-    learnt = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(crc_of(F.col("doc_id")) % FOLDS != 0).join(known.select("doc_id"), "doc_id", "left_semi")
-    model = fit(with_statistics(learnt, "doc_id", "text").join(known, "doc_id"))
+    learnt = docs.where(crc_of(F.col(doc_id)) % FOLDS != 0)
+    model = fit(with_statistics(learnt, doc_id, text).join(known, "doc_id"))  # statistics are shuffled at most, no texts
 
     @F.pandas_udf("boolean")
     def good(t: pd.Series) -> pd.Series:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import UPPER, WORD_GAP, materialize, release, table, words_of
+from corpusloom.llm.common import UPPER, WORD_GAP, materialize, numbered, release, rows_in, table, words_of
 
 #: A line is boilerplate in a host if more than this many distinct documents hold it, and more than this share of the host's documents.
 MAX_DOCS = 10
@@ -116,18 +116,20 @@ def apply_quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     Keeps all columns of docs; n_chars, where there, is counted anew for a text that changed.
     """
-    stored = materialize(docs.select("*", F.monotonically_increasing_id().alias("_row")), "rule-docs")
-    profiled = materialize(profile(stored.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.col(host).alias("host"), "_row"), "doc_id", "t", "host", keep="_row"), "line-profile")
+    rows, row = numbered(docs, "rule-docs")
+    profiled = materialize(profile(rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.col(host).alias("host"), F.col(row).alias("_rid")), "doc_id", "t", "host", keep="_rid"), "line-profile")
     verdicts, gone = judge(profiled, **limits)
     drops = gone.groupBy("_rid").agg(F.collect_set("h").alias("_gone"))
-    kept = materialize(verdicts.where("kept").select("_rid").join(drops, "_rid", "left").withColumnRenamed("_rid", "_row"), "rules-kept")
+    kept = materialize(verdicts.where("kept").select("_rid").join(drops, "_rid", "left"), "rules-kept")
     release(profiled)
+    whole = rows_in(rows, row, kept.where("_gone is null").select("_rid"))
+    # only texts that lose lines meet the table of lines
+    some = rows_in(rows, row, kept.where("_gone is not null").select("_rid")).join(kept.where("_gone is not null"), F.col(row) == F.col("_rid"))
     cut = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains("_gone", F.xxhash64(normalised_line(x))) | ~x.rlike(r"[^\x20\x09-\x0D]")), "\n")
-    found = stored.join(kept, "_row").withColumn("_new", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(cut))
-    out = {text: F.col("_new")}
+    out = {text: cut}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("_new").cast(docs.schema["n_chars"].dataType))
-    return found.withColumns(out).select(*docs.columns)
+        out["n_chars"] = F.length(cut).cast(docs.schema["n_chars"].dataType)
+    return whole.select(*docs.columns).union(some.withColumns(out).select(*docs.columns))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
