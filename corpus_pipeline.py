@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm.common import materialize, table
+from corpusloom.llm.common import materialize, release, table
 from corpusloom.llm.jaccard_join import keep_one
 from corpusloom.llm.mixing import apply_mix
 from corpusloom.llm.packing import pack
@@ -51,5 +51,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if hasattr(before, "_stored_at"):
+            release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
