@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import crc_of, table
+from corpusloom.llm.common import crc_of, small, table
 
 GRAMS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
@@ -125,15 +125,23 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str) -> tuple[list[str
     """The bounded sample of the learning folds: SAMPLE_DOCS rows, those with the least hash times the
     count of their language; three windows of each, at the start, the middle and the end."""
     rows = docs.where(F.col(lang).isNotNull() & (F.trim(F.coalesce(text, F.lit(""))) != "") & (crc_of(F.col(doc_id)) % FOLDS != HELD))
-    counts = rows.groupBy(F.col(lang).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = small(rows.groupBy(F.col(lang).alias("_l")).agg(F.count(F.lit(1)).alias("_n")), "languages")
+    n_languages, most = counts.agg(F.count(F.lit(1)), F.coalesce(F.max("_n"), F.lit(0))).first()
     length = F.length(text)
     at = [F.lit(1), F.greatest(F.lit(1), F.floor((length - SAMPLE_CHARS) / 2)).cast("int"), F.greatest(F.lit(1), length - SAMPLE_CHARS).cast("int")]
-    key = (F.crc32(F.concat(F.lit("lang"), F.col(doc_id).cast("string")).cast("binary")) + 1) * F.col("_n")
-    took = (
+    key = (F.crc32(F.concat(F.lit("lang"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary")) + 1) / F.lit(2.0**32) * F.col("_n")
+    keyed = (
         rows.join(counts, F.col(lang) == F.col("_l"))
         .select(key.alias("_k"), F.col(lang).alias("_l"), F.xxhash64(text).alias("_h"), F.array(*[F.substring(F.col(text), a, F.lit(SAMPLE_CHARS)) for a in at]).alias("_w"))
-        .orderBy("_k", "_h").limit(SAMPLE_DOCS).collect()
     )
+    # keys are even from 0 to their language's count: a bound on them passes about as many rows of any corpus, so
+    # that the last sort is small; it is raised until the sample is full or all rows pass
+    bound, took = 4.0 * SAMPLE_DOCS / max(1, n_languages), []
+    while n_languages:
+        took = keyed.where(F.col("_k") <= bound).orderBy("_k", "_h").limit(SAMPLE_DOCS).collect()
+        if len(took) == SAMPLE_DOCS or bound > most:
+            break
+        bound *= 16
     pairs = [(w, r["_l"]) for r in took for w in dict.fromkeys(r["_w"]) if _LETTER.search(w)]
     return [w for w, _ in pairs], [x for _, x in pairs]
 
