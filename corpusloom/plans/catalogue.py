@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import compositions, geography, inference, records
+from corpusloom.plans import compositions, geography, inference, records, trees
 
-_MODULES = (compositions, geography, inference, records)
+_MODULES = (compositions, geography, inference, records, trees)
 
 
 def queries() -> dict:
