@@ -71,9 +71,9 @@ def split_quotas(quotas: Sequence[int], shards: int, seed: int = SEED) -> np.nda
     return out
 
 
-def nearest(sizes: Sequence[int], left: float, exact_below: int = 50_000, exact_docs: int = 500) -> list[int]:
+def nearest(sizes: Sequence[int], left: float, exact_below: int = 50_000) -> list[int]:
     """Positions of documents whose sizes add up to about left: taken in order while more than
-    exact_below is left, then the subset of the next exact_docs whose sum is nearest."""
+    exact_below is left, then the subset of all others whose sum is nearest."""
     took, i = [], 0
     while i < len(sizes) and left > exact_below:
         if sizes[i] <= left:
@@ -81,17 +81,23 @@ def nearest(sizes: Sequence[int], left: float, exact_below: int = 50_000, exact_
             left -= sizes[i]
         i += 1
     want = int(round(left))
-    rest = [k for k in range(i, len(sizes)) if 0 < sizes[k] <= 2 * want][:exact_docs] if want <= exact_below else []
-    steps = [1]  # bit b: the sum b can be reached
-    for k in rest:
-        steps.append((steps[-1] | steps[-1] << int(sizes[k])) & ((1 << (2 * want + 1)) - 1))
-    reached = steps[-1]
-    gap = next((g for g in range(want + 1) if reached >> (want - g) & 1 or reached >> (want + g) & 1), 0)
-    total = want - gap if reached >> (want - gap) & 1 else want + gap
-    for k, earlier in zip(reversed(rest), reversed(steps[:-1]), strict=True):
-        if not earlier >> total & 1:
-            took.append(k)
-            total -= int(sizes[k])
+    if want > exact_below:
+        return took
+    by = np.full(2 * want + 1, -1, np.int64)  # the document that first reached a sum; its own sum before that was reached earlier
+    reached = np.zeros(2 * want + 1, bool)
+    reached[0] = True
+    for k in range(i, len(sizes)):
+        n = int(sizes[k])
+        if 0 < n <= 2 * want:
+            new = np.nonzero(reached[:-n] & ~reached[n:])[0] + n
+            by[new], reached[new] = k, True
+            if reached[want]:
+                break
+    sums = np.nonzero(reached)[0]
+    total = int(sums[np.argmin(np.abs(sums - want))])
+    while total:
+        took.append(int(by[total]))
+        total -= int(sizes[by[total]])
     return took
 
 
@@ -152,7 +158,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
         """Documents of a source's cut block that come nearest to what is left: in the order of their hash
-        while much is left, then the best sum of the next ones."""
+        while much is left, then the best sum of all others."""
         rows = rows.sort_values(["key", "doc_id", "_rid"])
         took = nearest(rows["size"].to_numpy(), float(rows.left.iloc[0]))
         return pd.DataFrame({"_rid": rows._rid.to_numpy()[took]})

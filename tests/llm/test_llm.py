@@ -178,6 +178,18 @@ def test_mixing(docs):
     assert sorted(mixing.nearest([5, 7, 11], 12)) == [0, 1]
 
 
+def test_mixing_reaches_all_documents_of_a_block():
+    short = [20] * 2000
+    assert sum(short[k] for k in mixing.nearest(short, 20_000)) == 20_000
+    rng = random.Random(5)
+    for _ in range(50):
+        sizes, left = [rng.randrange(0, 40) for _ in range(rng.randrange(1, 9))], rng.randrange(1, 100)
+        took = mixing.nearest(sizes, left)
+        assert len(set(took)) == len(took)
+        sums = [sum(n for i, n in enumerate(sizes) if m >> i & 1) for m in range(1 << len(sizes))]
+        assert abs(sum(sizes[k] for k in took) - left) == min(abs(x - left) for x in sums)
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "bob", "yo"), (1, 2, "user", None), (2, 0, None, "x"), (1, 300, "bob", "end")]
     out = chat_format.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
