@@ -2,7 +2,7 @@
 
 A source's documents are dealt into blocks by a hash. Its target is met by whole passes over its
 blocks and one partial pass, in the order of a permutation per pass; of the block in which the
-target falls, the documents whose words come nearest are taken. The exact block quotas of all sources are then
+target falls, and of as many later ones as are needed where its documents are longer than a block, the documents whose words come nearest are taken. The exact block quotas of all sources are then
 split recursively among the output shards: each node of the tree draws its left half's share from
 its own by the multivariate hypergeometric law, so a shard holds a random share of every source
 and quotas add up exactly. A shard owns a disjoint stretch of each source's permuted blocks, and
@@ -73,32 +73,39 @@ def split_quotas(quotas: Sequence[int], shards: int, seed: int = SEED) -> np.nda
 
 def nearest(sizes: Sequence[int], left: float, exact_below: int = 50_000) -> list[int]:
     """Positions of documents whose sizes add up to about left: taken in order while more than
-    exact_below is left, then the subset of all others whose sum is nearest."""
-    took, i = [], 0
-    while i < len(sizes) and left > exact_below:
-        if sizes[i] <= left:
-            took.append(i)
-            left -= sizes[i]
-        i += 1
-    want = int(round(left))
-    if want > exact_below:
-        return took
-    by = np.full(2 * want + 1, -1, np.int64)  # the document that first reached a sum; its own sum before that was reached earlier
-    reached = np.zeros(2 * want + 1, bool)
-    reached[0] = True
-    for k in range(i, len(sizes)):
-        n = int(sizes[k])
-        if 0 < n <= 2 * want:
-            new = np.nonzero(reached[:-n] & ~reached[n:])[0] + n
-            by[new], reached[new] = k, True
-            if reached[want]:
-                break
-    sums = np.nonzero(reached)[0]
-    total = int(sums[np.argmin(np.abs(sums - want))])
-    while total:
-        took.append(int(by[total]))
-        total -= int(sizes[by[total]])
-    return took
+    exact_below is left, then the subset of all others whose sum is nearest. Where a long document
+    by itself, or after what was taken before it, comes nearer than that: these."""
+    took, over = [], (float("inf"), 0, -1)  # over: words off, documents taken before, the long document
+    first = left
+    for k in range(len(sizes)):
+        if sizes[k] > min(first, exact_below):  # by itself
+            over = min(over, (abs(sizes[k] - first), 0, k))
+        if left > exact_below:
+            if sizes[k] > left:
+                over = min(over, (sizes[k] - left, len(took), k))
+            elif sizes[k] > 0:
+                took.append(k)
+                left -= sizes[k]
+    greedy, want = list(took), int(round(left))
+    if want <= exact_below:
+        by = np.full(2 * want + 1, -1, np.int64)  # the document that first reached a sum; its own sum before that was reached earlier
+        reached = np.zeros(2 * want + 1, bool)
+        reached[0] = True
+        held = set(took)
+        for k in range(len(sizes)):
+            n = int(sizes[k])
+            if 0 < n <= 2 * want and k not in held:
+                new = np.nonzero(reached[:-n] & ~reached[n:])[0] + n
+                by[new], reached[new] = k, True
+                if reached[want]:
+                    break
+        sums = np.nonzero(reached)[0]
+        total = int(sums[np.argmin(np.abs(sums - want))])
+        left -= total
+        while total:
+            took.append(int(by[total]))
+            total -= int(sizes[by[total]])
+    return [*greedy[: over[1]], over[2]] if over[0] < abs(left) else took
 
 
 @dataclass
@@ -154,18 +161,25 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     ranked = blocks.mapInPandas(place, "sid int, block int, passes int, rest double, n_blocks int, words long, rank long")
     before = F.coalesce(F.sum("words").over(W.partitionBy("sid").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # MAX_BLOCKS rows of a source at most
     ranked = ranked.withColumn("before", before).withColumn("part", F.when(F.col("before") + F.col("words") <= F.col("rest"), "whole").when((F.col("before") < F.col("rest")), "cut").otherwise("none"))
+    # documents longer than a block may not fill what is left: later blocks are cut too until the others hold enough
+    at = ranked.where("part = 'cut'").select(F.col("sid").alias("c_sid"), F.col("rank").alias("c_rank"), (F.col("rest") - F.col("before")).alias("left"))
+    at = small(at, "cuts")
+    fits = d.join(at, F.col("sid") == F.col("c_sid")).where(F.col("size") <= block_words).groupBy("sid", "block").agg(F.sum("size").alias("fit"))
+    ranked = ranked.join(at, F.col("sid") == F.col("c_sid"), "left").join(fits, ["sid", "block"], "left").withColumn("fit", F.when(F.col("rank") >= F.col("c_rank"), F.coalesce("fit", F.lit(0))).otherwise(0))
+    fit_before = F.coalesce(F.sum("fit").over(W.partitionBy("sid").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = ranked.withColumn("part", F.when((F.col("rank") > F.col("c_rank")) & (fit_before < F.col("left")), "cut").otherwise(F.col("part"))).drop("c_sid", "c_rank", "fit")
     ranked = materialize(ranked, "ranked-blocks")
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        """Documents of a source's cut block that come nearest to what is left: in the order of their hash
-        while much is left, then the best sum of all others."""
-        rows = rows.sort_values(["key", "doc_id", "_rid"])
+        """Documents of a source's cut blocks that come nearest to what is left: in the order of blocks and
+        of their hash while much is left, then the best sum of all others."""
+        rows = rows.sort_values(["rank", "key", "doc_id", "_rid"])
         took = nearest(rows["size"].to_numpy(), float(rows.left.iloc[0]))
         return pd.DataFrame({"_rid": rows._rid.to_numpy()[took]})
 
-    cut = ranked.where("part = 'cut'").select("sid", "block", (F.col("rest") - F.col("before")).alias("left"))
+    cut = ranked.where("part = 'cut'").select("sid", "block", "rank", "left")
     chosen = (
-        d.join(cut, ["sid", "block"]).select("sid", "_rid", "doc_id", "size", "left", F.xxhash64(F.lit(seed + 1), "doc_id", "size").alias("key"))
+        d.join(cut, ["sid", "block"]).select("sid", "rank", "_rid", "doc_id", "size", "left", F.xxhash64(F.lit(seed + 1), "doc_id", "size").alias("key"))
         .groupBy("sid").applyInPandas(fill, f"_rid {d.schema['_rid'].dataType.simpleString()}").withColumn("_chosen", F.lit(True))
     )
 

@@ -190,6 +190,20 @@ def test_mixing_reaches_all_documents_of_a_block():
         assert abs(sum(sizes[k] for k in took) - left) == min(abs(x - left) for x in sums)
 
 
+def test_mixing_with_documents_longer_than_a_block(spark):
+    took = lambda sizes, left: sum(sizes[k] for k in mixing.nearest(sizes, left))
+    assert took([120_000], 90_000) == 120_000 and took([120_000], 50_000) == 0
+    assert took([20_000, 80_000, 5_000], 95_000) == 100_000 and took([60_000, 80_000], 90_000) == 80_000
+    assert took([300_000, *[1_000] * 200], 90_000) == 90_000
+    # a long document in each source; what it does not fill comes from the short ones of other blocks
+    rows = [(1000 * s + i, "x " * (3000 if i < 1 else 10), "en", "abc"[s], 1) for s in range(3) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for seed in range(3):
+        m = mixing.mix(docs, block_words=200, seed=seed)
+        taken = m.draws.join(m.documents.select("_rid", "sid", "target"), "_rid").groupBy("sid", "target").agg(F.sum("words").alias("w")).collect()
+        assert len(taken) == 3 and all(abs(r.w - r.target) <= (6 if r.sid == 2 else 1500) for r in taken), (seed, taken)  # the short ones of a and b may be too few
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "bob", "yo"), (1, 2, "user", None), (2, 0, None, "x"), (1, 300, "bob", "end")]
     out = chat_format.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
