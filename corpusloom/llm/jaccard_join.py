@@ -133,7 +133,7 @@ def best_boundary(histogram: dict[int, int], list_length: float, percent: int =
     return min(range(MAX_BOUNDARY + 1), key=lambda b: (cost(b), b))
 
 
-def profile(docs: DataFrame, parts: int) -> DataFrame:
+def profile(docs: DataFrame, parts: int, width: int = SHINGLE_WORDS) -> DataFrame:
     """From docs(doc_id, text): a row per document with doc_id, n, f1, f2; and rows with part and blob,
     sorted 32-bit shingle heads (as differences) of many documents, for counting."""
     kind = docs.schema["doc_id"].dataType
@@ -157,7 +157,7 @@ def profile(docs: DataFrame, parts: int) -> DataFrame:
             key_type = batch.schema.field(0).type
             rows = []
             for t in batch.column(1):
-                s = shingles(t.as_py())
+                s = shingles(t.as_py(), width)
                 rows.append((len(s), *fingerprint(s)))
                 held.append(s)
                 n_held += len(s)
@@ -197,7 +197,7 @@ def frequent(profiled: DataFrame, limit: int = FREQUENT) -> tuple[np.ndarray, fl
     return out, (s2 / s1 - 1 if s1 else 0.0)
 
 
-def with_keys(docs: DataFrame, often: np.ndarray, boundary: int, percent: int = PERCENT) -> DataFrame:
+def with_keys(docs: DataFrame, often: np.ndarray, boundary: int, percent: int = PERCENT, width: int = SHINGLE_WORDS) -> DataFrame:
     """f1, f2, n, rare (shingles that are not frequent), parity bits and keys of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(often)  # at most MAX_BITS bits
 
@@ -207,7 +207,7 @@ def with_keys(docs: DataFrame, often: np.ndarray, boundary: int, percent: int =
         for batch in batches:
             rows, keys, wide = [], [], []
             for t in batch.column(0):
-                s = shingles(t.as_py())
+                s = shingles(t.as_py(), width)
                 n = len(s)
                 head = (s >> np.uint64(32)) & mask
                 last = (bits[(head >> np.uint64(6)).astype(np.int64)] >> (head & np.uint64(63))) & np.uint64(1) == 1
@@ -229,13 +229,13 @@ def with_keys(docs: DataFrame, often: np.ndarray, boundary: int, percent: int =
     return docs.select("text").mapInArrow(run, "f1 long, f2 long, n long, rare long, b0 long, b1 long, b2 long, b3 long, wide array<long>, keys array<long>")
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """cid and set (sorted 64-bit shingles as bytes), stored, of the classes in wanted(cid), from the texts of
     their first documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t.as_py()) for t in batch.column(0)]
+            found = [shingles(t.as_py(), width) for t in batch.column(0)]
             prints = [fingerprint(s) for s in found]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())], names=["f1", "f2", "set"])
 
@@ -249,10 +249,10 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame
     return sets
 
 
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int = PERCENT, width: int = SHINGLE_WORDS) -> DataFrame:
     """The pairs (a, b) of class ids whose sets' Jaccard is at least percent."""
     pairs = materialize(pairs, "candidates")
-    sets = sets_of(docs, classes, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
+    sets = sets_of(docs, classes, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), width)
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,10 +269,11 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int =
     return out
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs.
 
-    Two documents link when 100 * intersection >= percent * union of their shingle sets; component_id
+    Two documents link when 100 * intersection >= percent * union of their sets of
+    width-word shingles; component_id
     is the smallest doc_id reachable by links. A null or empty text, or one without words, has the
     empty set and links with nothing. Rows of equal sets link; repeated rows are in one component. A
     null doc_id is never the smallest where there is another. Other columns are not looked at; an
@@ -281,7 +282,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # what the scan reads, without reading it
     parts = 1 << min(16, max(6, math.ceil(math.log2(max(1, size / 4e6)))))
-    profiled = materialize(profile(docs, parts), "shingle-profile")
+    profiled = materialize(profile(docs, parts, width), "shingle-profile")
     rows = materialize(profiled.where("part is null").select("doc_id", "n", "f1", "f2"), "profile-rows")
     often, length = frequent(profiled)
     release(profiled)
@@ -289,7 +290,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     boundary = best_boundary(histogram, length, percent)
     # one class per distinct set; hot sets are combined before the shuffle
     classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("first"))
-    keyed = with_keys(docs, often, boundary, percent).where("n > 0").groupBy("f1", "f2", "n").agg(*[F.first(c).alias(c) for c in ("rare", *BITS, "wide", "keys")])
+    keyed = with_keys(docs, often, boundary, percent, width).where("n > 0").groupBy("f1", "f2", "n").agg(*[F.first(c).alias(c) for c in ("rare", *BITS, "wide", "keys")])
     with_posts = materialize(classes.join(keyed, ["f1", "f2", "n"]).withColumn("cid", F.monotonically_increasing_id()), "classes-keys")
     classes = materialize(with_posts.drop("keys"), "classes")
 
@@ -299,7 +300,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     release(with_posts)
     fits = lambda x, y: f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
     star = shared.where("cid <> pivot").where(fits("n", "pn")).select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
-    links = verify(plausible(star, classes, percent), docs, classes, percent)
+    links = verify(plausible(star, classes, percent), docs, classes, percent, width)
     component = materialize(connected_components(links), "components")
 
     def labelled(at: DataFrame) -> DataFrame:
@@ -315,7 +316,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     alike = may_match("x.", "y.", percent)
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & F.expr(fits("x.n", "y.n")) & alike & (F.col("x.cid") != F.col("x.pivot")) & (F.col("y.cid") != F.col("x.pivot")))
     more = more.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
-    found = verify(plausible(more, classes, percent), docs, classes, percent)
+    found = verify(plausible(more, classes, percent), docs, classes, percent, width)
     component = materialize(connected_components(links.union(found)), "components")
     release(left, links, found)
     merged = labelled(classes.select("f1", "f2", "n", "cid", "first"))
@@ -326,11 +327,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = SHINGLE_WORDS) -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id; all columns. Rows without a
     shingle all stay."""
     rows, row = numbered(docs, "join-docs")
-    found = jaccard_components(rows.select(F.col(row).alias("_r"), F.col(text).alias("t")), "_r", "t", percent)
+    found = jaccard_components(rows.select(F.col(row).alias("_r"), F.col(text).alias("t")), "_r", "t", percent, width)
     named = found.join(rows.select(F.col(row).alias("doc_id"), F.col(doc_id).alias("id")), "doc_id")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).alias("m")).select(F.col("m.doc_id").alias("_r"))
     return rows_in(rows, row, first).select(*docs.columns)

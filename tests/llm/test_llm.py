@@ -80,6 +80,36 @@ def test_jaccard_prefix_keys_lose_no_pair():
                 assert set(keys(a[: jaccard_join.prefix(len(a), l)])) & set(keys(b[: jaccard_join.prefix(len(b), l)]))
 
 
+def test_pipeline_stage_matches_brute_force(spark, docs):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(100, 160, 6):  # a text, its first 70 to 95 per cent, and itself with odd words
+        words = prose(rng, 200).split()
+        rows += [(i + k, " ".join(words[: 2 * share]), "en", "cut", 1) for k, share in enumerate((100, 95, 85, 70))]
+        for k in (4, 5):
+            own = list(words)
+            for at in rng.sample(range(200), k):
+                own[at] = f"odd{at}"
+            rows.append((i + k, " ".join(own), "en", "cut", 1))
+    many = docs.where("doc_id is not null and doc_id <> 31").union(spark.createDataFrame(rows, DOCS))
+    found = many.collect()
+    sets = []
+    for r in found:
+        w = [x.lower() for x in re.findall(r"[^\x20\x09-\x0d]+", r.text or "")]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(found)))
+    for i in range(len(found)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                group = [group[i] if g == group[j] else g for g in group]
+    least = {}
+    for g, r in zip(group, found):
+        least[g] = min(least.get(g, r.doc_id), r.doc_id)
+    assert sorted(r.doc_id for r in corpus_pipeline.jaccard_join(spark, many, "").collect()) == sorted(least.values())
+
+
 def test_quality_rules(docs):
     out = quality_rules.quality_rules(docs, max_docs=3)
     assert out.count() == docs.count()
