@@ -1,7 +1,7 @@
 """License scan with a positional rare-token index.
 
 Each template's words are posted with their positions. For a file its highest-IDF licence words are
-looked up; postings that agree on the relative position (file position less template position)
+looked up, and those of each template all of whose key-phrase words it holds; postings that agree on the relative position (file position less template position)
 vote for one alignment of one template, and an alignment is believed if all mandatory key phrases
 of the template stand in the file near their places. IDF is counted over all files.
 """
@@ -37,7 +37,7 @@ TEMPLATES = (
     ("all-rights-reserved", "copyright all rights reserved", ("all rights reserved",)),
 )
 
-#: So many of a file's rarest licence words are looked up.
+#: So many of the rarest licence words are looked up, of a file and of each template it may hold.
 RAREST = 12
 #: Words of an alignment that must agree, and the share of the template that then stands in place.
 MIN_AGREED = 2
@@ -78,13 +78,19 @@ class Index:
                 self.postings[w].append((t, q))
         self.vocabulary = frozenset(self.postings)
         self.idf = idf or dict.fromkeys(self.vocabulary, 1.0)
+        self.needed = [frozenset(w for k in keys for w in k) for keys in self.keys]
+
+    def rarest(self, some) -> list[bytes]:
+        return sorted(some, key=lambda w: (-self.idf.get(w, 0.0), w))[:RAREST]
 
     def scan(self, found: list[bytes], present: set[bytes]) -> list[tuple[str, int, float]]:
         """(label, start word, share of the template in place) of each believed alignment."""
-        rare = sorted(present, key=lambda w: (-self.idf.get(w, 0.0), w))[:RAREST]
-        if len(rare) < MIN_AGREED:
+        if len(present) < MIN_AGREED:
             return []
-        wanted, votes = frozenset(rare), defaultdict(set)
+        wanted, votes = set(self.rarest(present)), defaultdict(set)
+        for text, needed in zip(self.texts, self.needed):
+            if needed <= present:  # no alignment is believed without them
+                wanted.update(self.rarest(present.intersection(text)))
         for p, w in enumerate(found):
             if w in wanted:
                 for t, q in self.postings[w]:

@@ -166,6 +166,19 @@ def test_licenses(spark):
     assert out[6].labels == "mit" and out[4].labels == "" and out[5].n_base == 2 and (out[5].first_word, out[5].last_word) == (0, 4)
 
 
+def test_licenses_of_a_long_file_with_all_notices(spark):
+    rng = random.Random(2)
+    found, at = [], []
+    for label, notice, _ in license_scan.TEMPLATES:
+        found += prose(rng, 150).split()
+        at.append(f"{label}@{len(found)}")
+        found += notice.split()
+    texts = [" ".join(found), *[f"{notice} {prose(rng, 30)}" for _, notice, _ in license_scan.TEMPLATES]]
+    out = sorted(license_scan.scan_licenses(spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCS)).collect())
+    assert set(at) <= set(out[0].spans.split(",")), set(at) - set(out[0].spans.split(","))
+    assert set(out[0].labels.split(",")) == {t[0] for t in license_scan.TEMPLATES} and out[0].score == 1.0
+
+
 def test_packing_round_trip(docs):
     tokenizers = pytest.importorskip("tokenizers")
     import public_tokenizers
