@@ -102,3 +102,15 @@ def test_contracts_refuse(spark):
     with pytest.raises(C.ContractError):
         C.assert_vocabulary(a.select(F.lit("x").alias("l")), "l", ["y"])
     assert rows(C.key_difference(a, b, "k")) == [(2, "left_only"), (3, "right_only")]
+
+
+def test_series_keep_every_supplier_and_year(spark, tmp_path):
+    from corpusloom.plans import records as R
+
+    lines = [(3, "1995-05-01", 2.0), (3, "1995-07-01", 3.0), (3, "1999-01-01", 4.0), (4, "1997-01-01", 5.0), (6, "1996-01-01", 6.0)]
+    li = spark.createDataFrame(lines, "l_suppkey long, d string, l_quantity double").withColumn("l_shipdate", F.to_date("d")).drop("d")
+    li.write.parquet(f"{tmp_path}/lineitem.parquet")
+    sf = str(tmp_path)
+    assert rows(R.series_unpivot(spark, sf)) == [(3, 1995, 5.0), (3, 1999, 4.0), (4, 1997, 5.0), (6, 1996, 6.0)]
+    assert rows(R.series_coverage(spark, sf)) == [(3, 2, 1995, 1999), (4, 1, 1997, 1997), (6, 1, 1996, 1996)]
+    assert rows(R.series_latest(spark, sf)) == [(3, 1999, 4.0), (4, 1997, 5.0), (6, 1996, 6.0)]
