@@ -22,6 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [named(c) for c in df.columns]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as are needed for no column of df to bear it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words_of(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != F.lit(""))
@@ -92,9 +109,7 @@ def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
     plain = docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and docs.inputFiles()
     if not plain or "row_index" not in docs.select(docs.metadataColumn("_metadata")).schema[0].dataType.names:
         docs = materialize(docs, label)
-    name = "_row"
-    while name in docs.columns:
-        name += "_"
+    name = fresh(docs, "_row")
     at = docs.metadataColumn("_metadata")
     return docs.select("*", F.struct(F.xxhash64(at["file_path"]).alias("f"), at["row_index"].alias("i")).alias(name)), name
 
@@ -112,7 +127,7 @@ def rows_in(docs: DataFrame, row: str, wanted: DataFrame) -> DataFrame:
     )
     if maps.count() > MAX_MAPS:
         return docs.join(wanted.select(at.alias("_wanted")), F.col(row) == F.col("_wanted"), "left_semi")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")  # names may clash
+    whole = F.struct(*columns_of(docs)).alias("_doc")  # names may clash
     found = docs.select(whole, F.col(row)["f"].alias("_mf"), bucket(F.col(row)["i"]).alias("_mb"), (F.col(row)["i"] % MAP_ROWS).alias("_mp"))
     place = F.col("_mp")
     byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import connected_components, materialize, numbered, release, rows_in, table
+from corpusloom.llm.common import columns_of, connected_components, materialize, numbered, release, rows_in, table
 
 #: Words of a shingle, and the least Jaccard in per cent.
 SHINGLE_WORDS = 3
@@ -334,7 +334,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
     found = jaccard_components(rows.select(F.col(row).alias("_r"), F.col(text).alias("t")), "_r", "t", percent, width)
     named = found.join(rows.select(F.col(row).alias("doc_id"), F.col(doc_id).alias("id")), "doc_id")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).alias("m")).select(F.col("m.doc_id").alias("_r"))
-    return rows_in(rows, row, first).select(*docs.columns)
+    return rows_in(rows, row, first).select(*columns_of(docs))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,16 @@
 
 A source's documents are dealt into blocks by a hash. Its target is met by whole passes over its
 blocks and one partial pass, in the order of a permutation per pass; of the block in which the
-target falls, and of as many later ones as are needed where its documents are longer than a block, the documents whose words come nearest are taken. The exact block quotas of all sources are then
+target falls, and of as many later ones as are needed where its documents are longer than a block,
+the documents whose words come nearest are taken. The exact block quotas of all sources are then
 split recursively among the output shards: each node of the tree draws its left half's share from
 its own by the multivariate hypergeometric law, so a shard holds a random share of every source
-and quotas add up exactly. A shard owns a disjoint stretch of each source's permuted blocks, and
-documents are shuffled within their shard by a hash.
+and quotas add up exactly. A leaf owns a disjoint stretch of each source's permuted blocks, and
+documents are shuffled within their shard by a hash. What the mix takes is what the leaves own.
 
-The driver holds one row per source and shards x sources counts, both bounded.
+The driver holds one row per source (some 100 bytes each, so a million sources are 0.1 GB) and the
+top of the tree, at most TOP_CELLS counts; below that, each subtree is descended where its row is.
+Blocks and shards keep their size at any size of the corpus: more words make more of them.
 """
 
 from __future__ import annotations
@@ -22,16 +25,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import count_words, materialize, numbered, small, table
+from corpusloom.llm.common import columns_of, count_words, materialize, numbered, small, table
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-#: Words of a block, about; blocks of a source at most (larger blocks then).
+#: Words of a block, about.
 BLOCK_WORDS = 50_000
-MAX_BLOCKS = 1 << 16
-#: Blocks of a shard, about; shards at most.
+#: Blocks of a shard, about.
 SHARD_BLOCKS = 64
-MAX_SHARDS = 4096
+#: Counts of the splitting tree that the driver draws; the rest of the tree is drawn by tasks.
+TOP_CELLS = 200_000
+#: A source's blocks are ranked in so many ranges of their hash, each by itself.
+RANGES = 4096
 SEED = 11
 
 
@@ -52,23 +57,50 @@ def share_out(sizes: Sequence[int], weights: Sequence[float], cap: float = CAP)
     return targets
 
 
+def _halved(lo: int, hi: int, own: np.ndarray, seed: int) -> tuple[int, np.ndarray]:
+    """The middle of a node's shards, and its left half's share of its quotas."""
+    half = (lo + hi) // 2
+    left = int(round(int(own.sum()) * (half - lo) / (hi - lo)))
+    return half, np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(own, left, method="marginals")
+
+
+def descend(lo: int, hi: int, own: np.ndarray, start: np.ndarray, seed: int, depth: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Nodes (first shard, end, quotas, starts of their stretches) depth levels below a node, or its leaves."""
+    if hi - lo == 1 or depth == 0:
+        yield lo, hi, own, start
+        return
+    half, drawn = _halved(lo, hi, own, seed)
+    yield from descend(lo, half, drawn, start, seed, depth - 1)
+    yield from descend(half, hi, own - drawn, start + drawn, seed, depth - 1)
+
+
 def split_quotas(quotas: Sequence[int], shards: int, seed: int = SEED) -> np.ndarray:
     """(shards, sources) whole numbers: the leaves of the splitting tree. Columns add up to quotas, rows
     differ by rounding only."""
-    out = np.zeros((shards, len(quotas)), np.int64)
+    own = np.asarray(quotas, np.int64)
+    return np.stack([leaf for _, _, leaf, _ in descend(0, shards, own, np.zeros_like(own), seed)])
 
-    def descend(lo: int, hi: int, own: np.ndarray) -> None:
-        if hi - lo == 1:
-            out[lo] = own
-            return
-        half = (lo + hi) // 2
-        left = int(round(int(own.sum()) * (half - lo) / (hi - lo)))
-        drawn = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(own, left, method="marginals")
-        descend(lo, half, drawn)
-        descend(half, hi, own - drawn)
 
-    descend(0, shards, np.asarray(quotas, np.int64))
-    return out
+def leaves(spark: SparkSession, quotas: Sequence[int], shards: int, seed: int) -> DataFrame:
+    """sid, pos, shard: the shard that owns each place of each source's sequence of blocks."""
+    own = np.asarray(quotas, np.int64)
+    depth = max(0, int(np.log2(max(1, TOP_CELLS // max(1, len(own))))))
+    top = []
+    for lo, hi, q, at in descend(0, shards, own, np.zeros_like(own), seed, depth) if own.sum() else ():
+        some = np.nonzero(q)[0]
+        top.append((lo, hi, some.tolist(), q[some].tolist(), at[some].tolist()))
+
+    def below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                sids = np.asarray(r.sids)
+                for shard, _, q, at in descend(r.lo, r.hi, np.asarray(r.quotas, np.int64), np.asarray(r.starts, np.int64), seed):
+                    some = q > 0
+                    yield pd.DataFrame({"sid": sids[some].astype(np.int32), "shard": shard, "first": at[some], "n": q[some]})
+
+    nodes = spark.createDataFrame(top, "lo int, hi int, sids array<int>, quotas array<long>, starts array<long>")
+    found = nodes.repartition(max(1, min(len(top), 256))).mapInPandas(below, "sid int, shard int, first long, n long")
+    return found.select("sid", "shard", F.explode(F.expr("sequence(first, first + n - 1)")).alias("pos"))
 
 
 def nearest(sizes: Sequence[int], left: float, exact_below: int = 50_000) -> list[int]:
@@ -115,59 +147,65 @@ class Mix:
     sources: DataFrame  # sid, s_source and more, a row per source
     dealt: DataFrame  # sid, block, epoch, cut, shard: where each pass of each block goes
     chosen: DataFrame  # _rid of the documents that are taken of cut blocks
+    quotas: list[int]  # blocks that each source gives, passes counted
+    shards: int
 
 
 def block_of(seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_blocks")).cast("int")
-
-
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: str | None = None, weights: Sequence[float] = WEIGHTS, cap: int = CAP, block_words: int = BLOCK_WORDS, seed: int = SEED) -> Mix:
+    """A document's block, from its id and text: ids that repeat or are null don't gather in one."""
+    return F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.col("n_blocks")).cast("int")
+
+
+def in_order(blocks: DataFrame, group: Sequence[str], order: str, sums: dict[str, str]) -> DataFrame:
+    """blocks with rank (from 0) and running sums (before each row) in each group by the hash `order`.
+    Ranges of the hash are ranked by themselves and shifted by what lies before them, so that no
+    task holds a whole group; a group has RANGES of them."""
+    at = F.floor((F.col(order) / F.lit(2.0**64) + 0.5) * RANGES).cast("int")
+    b = blocks.withColumn("_at", F.least(at, F.lit(RANGES - 1)))
+    inner = W.partitionBy(*group, "_at").orderBy(order, "block")
+    upto = inner.rowsBetween(W.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    b = b.withColumns({"rank": F.row_number().over(inner).cast("long") - 1, **{name: F.coalesce(F.sum(c).over(upto), none) for name, c in sums.items()}})
+    ranges = blocks.withColumn("_at", F.least(at, F.lit(RANGES - 1))).groupBy(*group, "_at").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_{name}") for name, c in sums.items()])
+    over = W.partitionBy(*group).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select(*group, "_at", F.coalesce(F.sum("_n").over(over), none).alias("_n0"), *[F.coalesce(F.sum(f"_{name}").over(over), none).alias(f"_{name}0") for name in sums])
+    b = b.join(ranges, [*group, "_at"])
+    return b.withColumns({"rank": F.col("rank") + F.col("_n0"), **{name: F.col(name) + F.col(f"_{name}0") for name in sums}}).drop("_at", "_n0", *[f"_{name}0" for name in sums])
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: str | None = None, weights: Sequence[float] = WEIGHTS, cap: int = CAP, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> Mix:
     """The mix of all rows of docs. Sources by code point, null last, weigh weights in turn.
 
     A null text has no words; documents without words come with their blocks and count nothing. A
-    null source is a source of its own. Repeated rows are documents each. An empty table gives empty
-    results. The same rows give the same mix, whatever their order.
+    null source is a source of its own. Repeated rows are documents each, in one block. An empty table
+    gives empty results. The same rows give the same mix, whatever their order.
     """
     spark = docs.sparkSession
     rid = F.col(keep) if keep else F.monotonically_increasing_id()
-    d = materialize(docs.select(rid.alias("_rid"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), count_words(F.col(text)).alias("size")), "sizes")
+    d = materialize(
+        docs.select(rid.alias("_rid"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), count_words(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("text_hash")), "sizes"
+    )
     found = d.groupBy("source").agg(F.sum("size").alias("n")).collect()
     found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["n"] for r in found]
     targets = share_out(sizes, [weights[i % len(weights)] for i in range(len(sizes))], cap)
     passes = [min(cap, int(t // n)) if n else 0 for t, n in zip(targets, sizes, strict=True)]
     rest = [max(0.0, t - p * n) if n and p < cap else 0.0 for t, n, p in zip(targets, sizes, passes, strict=True)]
-    n_blocks = [int(min(MAX_BLOCKS, max(1, -(-n // block_words)))) for n in sizes]
+    n_blocks = [max(1, -(-n // block_words)) for n in sizes]
     rows = [(i, r["source"], r["n"], t, p, float(e), b) for i, (r, t, p, e, b) in enumerate(zip(found, targets, passes, rest, n_blocks, strict=True))]
-    sources = spark.createDataFrame(rows, "sid int, s_source string, source_size long, target double, passes int, rest double, n_blocks int")
+    sources = spark.createDataFrame(rows, "sid int, s_source string, source_size long, target double, passes int, rest double, n_blocks long")
     d = d.join(sources, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source", "source").withColumn("block", block_of(seed))
 
-    def order_of(sid: int, epoch: int, n: int) -> np.ndarray:
-        return np.random.default_rng([seed, sid, epoch]).permutation(n)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[int, np.ndarray] = {}
-        for b in batches:
-            ranks = np.zeros(len(b), np.int64)
-            for sid, at in b.groupby("sid").indices.items():
-                first = b.iloc[at[0]]
-                if sid not in known:
-                    known[sid] = order_of(int(sid), int(first.passes), int(first.n_blocks))
-                ranks[at] = known[sid][b.block.to_numpy()[at]]
-            yield b.assign(rank=ranks)
-
-    # the partial pass: which blocks come whole, and in which one the target falls
-    blocks = d.groupBy("sid", "block", "passes", "rest", "n_blocks").agg(F.sum("size").alias("words"))
-    ranked = blocks.mapInPandas(place, "sid int, block int, passes int, rest double, n_blocks int, words long, rank long")
-    before = F.coalesce(F.sum("words").over(W.partitionBy("sid").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # MAX_BLOCKS rows of a source at most
-    ranked = ranked.withColumn("before", before).withColumn("part", F.when(F.col("before") + F.col("words") <= F.col("rest"), "whole").when((F.col("before") < F.col("rest")), "cut").otherwise("none"))
+    # blocks that hold documents, ranked in the partial pass: which come whole, and in which one the target falls
+    blocks = d.groupBy("sid", "block", "passes", "rest").agg(F.sum("size").alias("words")).withColumn("turn", F.xxhash64(F.lit(seed), "passes", "block"))
+    ranked = materialize(in_order(blocks, ["sid"], "turn", {"before": "words"}), "blocks")
+    ranked = ranked.withColumn("part", F.when(F.col("before") + F.col("words") <= F.col("rest"), "whole").when((F.col("before") < F.col("rest")), "cut").otherwise("none"))
     # documents longer than a block may not fill what is left: later blocks are cut too until the others hold enough
-    at = ranked.where("part = 'cut'").select(F.col("sid").alias("c_sid"), F.col("rank").alias("c_rank"), (F.col("rest") - F.col("before")).alias("left"))
-    at = small(at, "cuts")
+    at = small(ranked.where("part = 'cut'").select(F.col("sid").alias("c_sid"), F.col("rank").alias("c_rank"), (F.col("rest") - F.col("before")).alias("left")), "cuts")
     fits = d.join(at, F.col("sid") == F.col("c_sid")).where(F.col("size") <= block_words).groupBy("sid", "block").agg(F.sum("size").alias("fit"))
-    ranked = ranked.join(at, F.col("sid") == F.col("c_sid"), "left").join(fits, ["sid", "block"], "left").withColumn("fit", F.when(F.col("rank") >= F.col("c_rank"), F.coalesce("fit", F.lit(0))).otherwise(0))
-    fit_before = F.coalesce(F.sum("fit").over(W.partitionBy("sid").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = ranked.withColumn("part", F.when((F.col("rank") > F.col("c_rank")) & (fit_before < F.col("left")), "cut").otherwise(F.col("part"))).drop("c_sid", "c_rank", "fit")
+    ranked = ranked.join(at, F.col("sid") == F.col("c_sid"), "left").join(fits, ["sid", "block"], "left").withColumn("fit", F.when(F.col("rank") >= F.col("c_rank"), F.coalesce("fit", F.lit(0))).otherwise(0)).drop("rank", "before")
+    ranked = in_order(ranked, ["sid"], "turn", {"fit_before": "fit"})
+    ranked = ranked.withColumn("part", F.when((F.col("rank") > F.col("c_rank")) & (F.col("fit_before") < F.col("left")), "cut").otherwise(F.col("part"))).drop("c_sid", "c_rank", "fit", "fit_before")
     ranked = materialize(ranked, "ranked-blocks")
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
@@ -179,57 +217,54 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     cut = ranked.where("part = 'cut'").select("sid", "block", "rank", "left")
     chosen = (
-        d.join(cut, ["sid", "block"]).select("sid", "rank", "_rid", "doc_id", "size", "left", F.xxhash64(F.lit(seed + 1), "doc_id", "size").alias("key"))
+        d.join(cut, ["sid", "block"]).where("size > 0").select("sid", "rank", "_rid", "doc_id", "size", "left", F.xxhash64(F.lit(seed + 1), "doc_id", "size").alias("key"))
         .groupBy("sid").applyInPandas(fill, f"_rid {d.schema['_rid'].dataType.simpleString()}").withColumn("_chosen", F.lit(True))
     )
 
-    taken = {r["sid"]: (r["n"], r["cut"]) for r in ranked.groupBy("sid").agg(F.sum(F.when(F.col("part") == "whole", 1).otherwise(0)).alias("n"), F.sum(F.when(F.col("part") == "cut", 1).otherwise(0)).alias("cut")).collect()}
-    quotas = [p * b + sum(taken.get(i, (0, 0))) for i, (p, b) in enumerate(zip(passes, n_blocks, strict=True))]
-    shards = int(min(MAX_SHARDS, max(1, -(-sum(quotas) // SHARD_BLOCKS))))
-    ends = np.cumsum(split_quotas(quotas, shards, seed), axis=0) if quotas else np.zeros((1, 0), np.int64)
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each block once per pass, with the shard whose stretch of the permuted sequence it is in."""
-        known: dict[tuple[int, int], np.ndarray] = {}
-        for b in batches:
-            out = []
-            for r in b.itertuples():
-                for epoch in range(r.passes + (r.part != "none")):
-                    key = (r.sid, epoch)
-                    if key not in known:
-                        known[key] = order_of(r.sid, epoch, r.n_blocks)
-                    at = epoch * r.n_blocks + int(known[key][r.block])
-                    out.append((r.sid, r.block, epoch, r.part == "cut" and epoch == r.passes, int(np.searchsorted(ends[:, r.sid], at, side="right"))))
-            yield pd.DataFrame(out, columns=["sid", "block", "epoch", "cut", "shard"])
-
-    dealt = ranked.mapInPandas(deal, "sid int, block int, epoch int, cut boolean, shard int")
+    held = {r["sid"]: (r["n"], r["part"]) for r in ranked.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("part") == "none", 0).otherwise(1)).alias("part")).collect()}
+    quotas = [p * held.get(i, (0, 0))[0] + held.get(i, (0, 0))[1] for i, p in enumerate(passes)]
+    shards = max(1, -(-sum(quotas) // shard_blocks))
+
+    # each block once per pass, at its place in its source's sequence; the leaf that owns the place draws it
+    turns = F.sequence(F.lit(0), F.col("passes") - F.when(F.col("part") == "none", 1).otherwise(0))
+    drawn = ranked.where((F.col("passes") > 0) | (F.col("part") != "none")).select("sid", "block", "passes", "part", F.explode(turns).alias("epoch")).withColumn("turn", F.xxhash64(F.lit(seed), "epoch", "block"))
+    # of the partial pass the blocks with the least ranks come, so their ranks among themselves are the same
+    drawn = in_order(drawn, ["sid", "epoch"], "turn", {})
+    counts = ranked.groupBy(F.col("sid").alias("n_sid")).agg(F.count(F.lit(1)).alias("held"))
+    drawn = drawn.join(counts, F.col("sid") == F.col("n_sid")).withColumn("pos", F.col("epoch") * F.col("held") + F.col("rank"))
+    owned = leaves(spark, quotas, shards, seed)
+    dealt = drawn.join(owned, ["sid", "pos"]).select("sid", "block", "epoch", ((F.col("part") == "cut") & (F.col("epoch") == F.col("passes"))).alias("cut"), "shard")
+    dealt = materialize(dealt, "dealt")
     draws = d.join(dealt, ["sid", "block"]).join(chosen, "_rid", "left").where(~F.col("cut") | F.col("_chosen"))
     draws = draws.select("_rid", "doc_id", "epoch", "shard", F.xxhash64(F.lit(seed + 2), "shard", "epoch", "doc_id", "_rid").alias("order"), F.col("size").alias("words"))
-    return Mix(d.select("_rid", "doc_id", "size", "source_size", "target", "sid"), draws, sources, dealt, chosen.select("_rid"))
+    return Mix(d.select("_rid", "doc_id", "size", "source_size", "target", "sid"), draws, sources, dealt, chosen.select("_rid"), quotas, shards)
 
 
 def apply_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The mixed rows themselves, all columns of docs, a document as often as it is drawn, a partition
-    per shard or more, each shard shuffled. Texts are shuffled once, to their shards: a document's block
-    follows from its id, and what becomes of a block is a small table."""
+    """The mixed rows themselves, all columns of docs, a document as often as it is drawn, each shard in one
+    partition and shuffled. Texts are shuffled once, to their shards: a document's block follows from its
+    id and text, and what becomes of a block is a small table. A null text or source is as in mix(); names
+    of docs' columns may be any; an empty table gives an empty one."""
     seed = how.get("seed", SEED)
     rows, row = numbered(docs, "mix-docs")
     rid = F.concat_ws(":", F.col(row)["f"], F.col(row)["i"])
     m = mix(rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.col(source).alias("s"), rid.alias("_rid")), "doc_id", "t", "s", keep="_rid", **how)
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")  # names may clash
-    d = rows.select(whole, F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(text).alias("t"), rid.alias("_rid"))
+    whole = F.struct(*columns_of(docs)).alias("_doc")  # names may clash
+    d = rows.select(whole, F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(F.col(text)).alias("text_hash"), rid.alias("_rid"))
     d = d.join(F.broadcast(m.sources), F.col("source").eqNullSafe(F.col("s_source"))).withColumn("block", block_of(seed))
     dealt = small(m.dealt, "dealt")
     chosen = small(m.chosen.withColumn("_chosen", F.lit(True)), "chosen")
     out = d.join(dealt, ["sid", "block"]).join(chosen, "_rid", "left").where(~F.col("cut") | F.col("_chosen"))
-    out = out.select("_doc", "shard", F.xxhash64(F.lit(seed + 2), "shard", "epoch", "doc_id", "t").alias("order"))
+    out = out.select("_doc", "shard", F.xxhash64(F.lit(seed + 2), "shard", "epoch", "doc_id", "text_hash").alias("order"))
     return out.repartition("shard").sortWithinPartitions("shard", "order").select("_doc.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's row per document; shards has the shard of each of its draws, places its order there."""
     m = mix(table(spark, sf_dir, "documents"))
-    taken = m.draws.groupBy("_rid").agg(F.sum("words").alias("taken"))
-    return m.documents.join(taken, "_rid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = m.draws.groupBy("_rid").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("shard", "order"))).alias("at"))
+    found = m.documents.join(taken, "_rid", "left")
+    return found.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("at.shard").alias("shards"), F.col("at.order").alias("places"))
 
 
 QUERIES = {"op3_mixing": op3_mixing}
