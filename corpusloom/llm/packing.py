@@ -1,23 +1,26 @@
 """Harmonic packing of token sequences.
 
-Lengths fall into classes by reciprocal capacity: class k takes pieces of capacity / k tokens and
-puts exactly k of them into a bin. As documents may be cut, each is cut into pieces that fit a class
-of a power of two exactly, the longest first, so full bins have no padding; what a worker has left
-in a class at its end, fewer than k pieces, goes into bins of a power of two of them, which need
-none either. Bins of one class and worker depend on nothing else, so workers share nothing and a
-task that is run again makes the same bins.
-
-Where documents may not be cut, class k takes lengths in (capacity / (k + 1), capacity / k].
+Lengths fall into classes by reciprocal capacity: class k takes lengths in (capacity / (k + 1),
+capacity / k] and puts exactly k of them into each of its bins. A document longer than the capacity
+gives whole sequences first; what is left of it stays in one piece and goes to its class. A bin that
+has its k documents may have room left: where that is MIN_PIECE tokens or more, a later document goes
+there, whole if it fits, else its first tokens do and the rest of it goes to its class. At its end a
+worker chains what is in its open bins, and gives the last tokens in sequences of a power of two.
+
+Bins of one class and worker depend on nothing else, so workers share nothing and a task that is run
+again makes the same bins. Less than MIN_PIECE tokens of a sequence are padding (room that only short
+documents could have filled is closed beyond MAX_ROOMS such bins); a document is cut once at most,
+besides at every capacity.
 """
 
 from __future__ import annotations
 
+import bisect
 import os
 import re
 import sys
 import zlib
 from array import array
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +34,8 @@ CAPACITY = 2048
 #: The id that ends a document.
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
+#: Room that is filled by cutting a document, and the shortest piece that is cut off; bins with room that a worker keeps.
+MIN_PIECE, MAX_ROOMS = 32, 64
 #: Words whose ids a worker keeps, and the longest of them in bytes: 200 MB at most.
 MEMO_WORDS, MEMO_BYTES = 700_000, 48
 #: Bits of a sequence id below those of the partition.
@@ -39,67 +44,84 @@ _LOCAL = 40
 OUT_ROWS = 20_000
 
 
-def power_pieces(length: int, capacity: int = CAPACITY) -> list[int]:
-    """Lengths of a document's pieces: whole capacities, then the powers of two of the rest."""
-    rest = length % capacity
-    return [capacity] * (length // capacity) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+def class_of(length: int, capacity: int = CAPACITY) -> int:
+    """k with capacity / (k + 1) < length <= capacity / k; documents of a bin of this class."""
+    return capacity // length
+
+
+def powers(length: int) -> list[int]:
+    """The powers of two that add up to length, the largest first."""
+    return [1 << b for b in range(length.bit_length() - 1, -1, -1) if length >> b & 1]
 
 
 class Packer:
-    """Bins of one worker. add() gives pieces (start, length, sequence, offset); sequences are numbered
-    from first on. For capacities that are powers of two."""
-
-    def __init__(self, first: int, capacity: int = CAPACITY):
-        if capacity & (capacity - 1):
-            raise ValueError("capacity must be a power of two")
-        self.capacity, self.next = capacity, first
-        self.open: dict[int, tuple[int, int]] = {}  # of a piece length: sequence, pieces in it
-
-    def add(self, length: int) -> list[tuple[int, int, int, int]]:
-        out, start = [], 0
-        for n in power_pieces(length, self.capacity):
-            seq, held = self.open.get(n, (-1, 0))
-            if not held:
-                seq, self.next = self.next, self.next + 1
-            out.append((start, n, seq, held * n))
-            held += 1
-            self.open[n] = (seq, held if held * n < self.capacity else 0)
-            start += n
+    """Bins of one worker. Pieces are lists [start, length, sequence, offset, *the document's values]: add()
+    takes a document's length and values and returns the pieces that are settled, finish() the others.
+    Sequences are numbered from first on."""
+
+    def __init__(self, first: int, capacity: int = CAPACITY, least: int = MIN_PIECE):
+        if least < 1 or capacity < 2 * least:
+            raise ValueError("a piece must be a token at least and half the capacity at most")
+        self.capacity, self.least, self.next = capacity, least, first
+        self.open: dict[int, list[list]] = {}  # of a class: pieces of its open bin
+        self.rooms: list[tuple[int, int]] = []  # (room, sequence) of bins that have their k documents, sorted
+
+    def _new(self) -> int:
+        self.next += 1
+        return self.next - 1
+
+    def _room(self, room: int, seq: int) -> None:
+        if room >= self.least:
+            bisect.insort(self.rooms, (room, seq))
+            if len(self.rooms) > MAX_ROOMS:
+                self.rooms.pop(0)
+
+    def add(self, length: int, values: tuple = ()) -> list[list]:
+        out, start, cap = [], 0, self.capacity
+        while length - start >= cap:
+            out.append([start, cap, self._new(), 0, *values])
+            start += cap
+        rest = length - start
+        if not rest:
+            return out
+        if self.rooms:
+            at = bisect.bisect_left(self.rooms, (rest, -1))
+            if at < len(self.rooms):  # whole, into the smallest room that holds it
+                room, seq = self.rooms.pop(at)
+                self._room(room - rest, seq)
+                return [*out, [start, rest, seq, cap - room, *values]]
+            room, seq = self.rooms[-1]
+            cut = min(room, rest - self.least)  # what is left of the document is a piece too
+            if cut >= self.least and room - cut < self.least:
+                self.rooms.pop()
+                out.append([start, cut, seq, cap - room, *values])
+                start, rest = start + cut, rest - cut
+        k = class_of(rest, cap)
+        held = self.open.setdefault(k, [])
+        held.append([start, rest, -1, sum(p[1] for p in held), *values])
+        if len(held) == k:
+            seq = self._new()
+            for piece in held:
+                piece[2] = seq
+            self._room(cap - held[-1][3] - rest, seq)
+            out += self.open.pop(k)
         return out
 
-    def rest(self) -> dict[int, tuple[int, int]]:
-        """Sequence -> (piece length, pieces) of the bins that are not full."""
-        return {seq: (n, held) for n, (seq, held) in self.open.items() if held}
-
-
-def settle(n: int, held: int, first: int) -> list[tuple[int, int]]:
-    """For held pieces of n tokens, in order: (sequence, offset), each sequence a power of two long."""
-    out, bit = [], held.bit_length() - 1
-    while bit >= 0:
-        if held >> bit & 1:
-            out += [(first, i * n) for i in range(1 << bit)]
-            first += 1
-        bit -= 1
-    return out
-
-
-def harmonic_classes(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
-    """Bins for documents that stay whole: (bin, offset) of each; class k has k documents a bin. Longer
-    ones than capacity are refused."""
-    open_: dict[int, list[int]] = {}
-    out, bins = [], 0
-    for n in lengths:
-        if n > capacity:
-            raise ValueError("a document is longer than a bin")
-        k = capacity // max(1, n)
-        at = open_.get(k)
-        if at is None or at[1] == k:
-            at = open_[k] = [bins, 0, 0]
-            bins += 1
-        out.append((at[0], at[2]))
-        at[1] += 1
-        at[2] += n
-    return out
+    def finish(self) -> Iterator[list]:
+        """The pieces of open bins, chained and cut: full sequences, then powers of two."""
+        left = [p for k in sorted(self.open) for p in self.open[k]]
+        total = sum(p[1] for p in left)
+        sizes = [self.capacity] * (total // self.capacity) + powers(total % self.capacity)
+        self.open = {}
+        size, used, seq = 0, 0, -1
+        for piece in left:
+            at = 0
+            while at < piece[1]:
+                if used == size:
+                    size, used, seq = sizes.pop(0), 0, self._new()
+                n = min(piece[1] - at, size - used)
+                yield [piece[0] + at, n, seq, used, *piece[4:]]
+                at, used = at + n, used + n
 
 
 class Encoder:
@@ -190,7 +212,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     tokenizer is the path of a tokenizers file, on every machine. A null or empty text is the end id
     alone. Repeated rows are packed each; other columns are not looked at; an empty table gives no
     rows. Sequence ids hold the partition above the worker's own count, so they are unique; a task
-    that is run again over the same rows gives the same pieces.
+    that is run again over the same rows gives the same pieces. A worker holds the ids of the
+    documents in its open bins: less than k pieces of capacity / k tokens for each class k.
     """
     if tokenizer is None:
         import public_tokenizers
@@ -206,9 +229,12 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
         packer = Packer((context.partitionId() if context else 0) << _LOCAL, capacity)
         enc = encoder(tokenizer)
         key_type = None
-        waiting: dict[int, list[tuple]] = defaultdict(list)  # pieces of the bins that are still open
         ready: list[tuple] = []
 
+        def row(start: int, n: int, seq: int, offset: int, key, data: bytes, tokens: int) -> tuple:
+            piece = data[4 * start : 4 * (start + n)]
+            return (key, start, n, zlib.crc32(piece), tokens, seq, offset, *([piece] if with_ids else []))
+
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             columns = [pa.array(c, k) for c, k in zip(zip(*rows), [key_type, *[k for _, k in fields]])]
             return pa.RecordBatch.from_arrays(columns, names=["doc_id", *[n for n, _ in fields]])
@@ -217,24 +243,13 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
             key_type = batch.schema.field(0).type
             for key, value in zip(batch.column(0), batch.column(1)):
                 data = enc.ids(value.as_py()) + end
-                tokens, key = len(data) // 4, key.as_py()
-                for start, n, seq, offset in packer.add(tokens):
-                    piece = data[4 * start : 4 * (start + n)]
-                    row = (key, start, n, zlib.crc32(piece), tokens, seq, offset, *([piece] if with_ids else []))
-                    if n == capacity:
-                        ready.append(row)
-                    else:
-                        held = waiting[seq]
-                        held.append(row)
-                        if offset + n == capacity:
-                            ready += waiting.pop(seq)
+                tokens = len(data) // 4
+                for piece in packer.add(tokens, (key.as_py(), data, tokens)):
+                    ready.append(row(*piece))
             while len(ready) >= OUT_ROWS:
                 yield batch_of(ready[:OUT_ROWS])
                 ready = ready[OUT_ROWS:]
-        for seq, (n, held) in packer.rest().items():
-            spots = settle(n, held, packer.next)
-            packer.next += held.bit_length()
-            ready += [(*row[:5], at, offset, *row[7:]) for row, (at, offset) in zip(waiting.pop(seq), spots, strict=True)]
+        ready += [row(*piece) for piece in packer.finish()]
         while ready:
             yield batch_of(ready[:OUT_ROWS])
             ready = ready[OUT_ROWS:]
