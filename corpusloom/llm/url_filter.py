@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import UPPER, table
+from corpusloom.llm.common import UPPER, fresh, named, table
 
 #: Weights' unit.
 UNIT = 1_000_000
@@ -33,12 +33,16 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
-#: The labelled table: 1 to block. Hosts' and paths' words are those of common block lists and of plain sites.
+#: The labelled table, (url, 1 to block): words of common block lists, and of plain sites, in the hosts' and paths' usual forms.
+_BLOCKED_HOSTS = ("casino-bonus", "best-poker", "free-slots", "cheap-pills", "viagra-online", "xxx-cams", "adult-dating", "porn-tube", "payday-loans", "fast-cash", "click-bait", "win-prizes", "warez-zone", "torrent-crack", "link-farm", "spam-farm", "seo-traffic", "replica-watches")
+_BLOCKED_PATHS = ("", "/", "/buy-now", "/free/bonus.html", "/win/prize", "/promo/click", "/adult/video", "/download/crack.exe")
+_PLAIN_HOSTS = ("www.library", "blog.garden", "docs.school", "m.museum", "news.city", "wiki.river", "www.county", "mail.bank", "m.radio", "docs.health", "www.university", "research.institute", "shop.bakery", "www.hospital", "forum.cycling", "data.weather", "en.travel", "www.recipes")
+_PLAIN_PATHS = ("", "/", "/en/12", "/about.html", "/article/7", "/2020/05/report.html", "/docs/guide", "/contact")
+_ENDINGS = ("org", "net", "com", "info")
 LABELLED = tuple(
-    [(f"http://{h}.example.org/{p}", 1) for h in ("spam-farm", "casino-bonus", "free-pills", "xxx-cams", "click-bait", "link-farm", "cheap-loans", "warez-zone") for p in ("", "en/1", "buy/now", "de/promo?id=3")]
-    + [(f"https://www.shop-{h}.example.net/win/{p}", 1) for h in ("spam", "casino", "pills", "porn") for p in ("free", "bonus.html")]
-    + [(f"https://{h}.example.org/{p}", 0) for h in ("www.library", "blog.garden", "docs.school", "m.museum", "news.city", "wiki.river", "www.thanon", "blog.tionsh") for p in ("", "en/12", "de/about.html", "fr/34#top", "es/5?page=2")]
-    + [(f"http://{h}.example.net/{p}", 0) for h in ("www.county", "mail.bank", "m.radio", "docs.health") for p in ("article/7", "2020/05/report.html")]
+    (f"https://{h}.{_ENDINGS[(i + j) % len(_ENDINGS)]}{p}", label)
+    for label, hosts, paths in ((1, _BLOCKED_HOSTS, _BLOCKED_PATHS), (0, _PLAIN_HOSTS, _PLAIN_PATHS))
+    for i, h in enumerate(hosts) for j, p in enumerate(paths)
 )
 
 
@@ -87,13 +91,14 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, s
 
     A rule (verdict, host, path) fits its host and all subdomains, if the path starts with its
     path; the longest written rule wins, of equal ones the first. A null url, or one without
-    `://`, has an empty host and path and gets the model's verdict for those. Repeated rows are
-    judged alike; columns of pages that bear the names of added ones are replaced; an empty table
-    gives an empty table.
+    `://`, has an empty host and path and gets the model's verdict for those. A url's cost grows with
+    its length and no faster. Repeated rows are judged alike; columns of pages that bear the names of
+    added ones are replaced, all others stay; an empty table gives an empty table.
     """
     weights = list(train() if weights is None else weights)
-    host, path = split_url(F.col(url))
     ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))
+    letters, found = fresh(pages, "_letters"), fresh(pages, "_buckets")
+    host, path = split_url(named(url))
     split = pages.withColumns({"host": host, "path": path})
     fits = [((F.col("host") == F.lit(h)) | F.col("host").endswith(f".{h}")) & F.col("path").startswith(p) for _, h, p in ordered]
     rule, ruled = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -103,19 +108,22 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, s
     table_of = F.split(F.lit(",".join(map(str, weights[:-1]))), ",").cast("array<long>")  # folded to one literal
 
     def grams(n: int) -> Column:
-        starts = F.when(F.length(said) >= n, F.sequence(F.lit(1), F.length(said) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.conv(F.substring(F.md5(F.substring(said, i, F.lit(n)).cast("binary")), 1, 3), 16, 10).cast("int"))
+        """Buckets of the n-grams of an array of characters, which must be a plain column: an expression here
+        would be computed again for each of them."""
+        starts = F.when(F.size(letters) >= n, F.sequence(F.lit(0), F.size(letters) - n)).otherwise(F.array().cast("array<int>"))
+        gram = lambda i: F.concat(*[F.get(letters, i + k) for k in range(n)])
+        return F.transform(starts, lambda i: F.conv(F.substring(F.md5(gram(i).cast("binary")), 1, 3), 16, 10).cast("int"))
 
-    buckets = F.concat(*[grams(n) for n in GRAMS])
-    total = F.aggregate(F.col("_b"), F.lit(0).cast("long"), lambda acc, b: acc + F.get(table_of, b))
+    total = F.aggregate(F.col(found), F.lit(0).cast("long"), lambda acc, b: acc + F.get(table_of, b))
     # block when total / n + bias > logit(threshold), without dividing
     cut = round(math.log(threshold / (1 - threshold)) * UNIT)
-    over = F.col("url_score") + F.size("_b") * F.lit(weights[-1] - cut).cast("long") > 0
+    over = F.col("url_score") + F.size(found) * F.lit(weights[-1] - cut).cast("long") > 0
     return (
-        split.withColumn("_b", buckets)
+        split.withColumn(letters, F.split(said, ""))
+        .withColumn(found, F.concat(*[grams(n) for n in GRAMS]))
         .withColumn("url_score", total)
         .withColumns({"rule": rule, "verdict": F.coalesce(ruled, F.when(over, F.lit("block")).otherwise(F.lit("allow")))})
-        .drop("_b")
+        .drop(letters, found)
     )
 
 
