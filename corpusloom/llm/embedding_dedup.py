@@ -8,8 +8,10 @@ block only that finds it, so blocks need not be merged.
 
 A block's range join uses a grid over some of its dimensions: a vector is at home in its cell and
 visits the cells that its ball reaches. Large cells are cut into chunks of homes and of visitors,
-so no task holds an unbounded cell. Equal vectors are collapsed first. Only counts per vector and
-the edges of a spanning forest of each chunk leave a task; no list of all pairs is ever made.
+so no task holds an unbounded cell; within a chunk a matrix product rules out nearly all pairs. Equal
+vectors are collapsed first. Only counts per vector and the edges of a spanning forest of each chunk
+leave a task; no list of all pairs is ever made. Vectors are scaled by powers of two, which is exact,
+so that neither tiny nor huge components spoil a norm.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +30,14 @@ from corpusloom.llm.common import connected_components, materialize, table
 LEAST_COSINE = 0.93
 #: Dimensions of a block, about.
 BLOCK_DIMS = 16
-#: Vectors that a cell should hold; a grid gets dimensions accordingly. Vectors of a chunk at most, about.
-CELL_ROWS, CHUNK_ROWS = 1000, 2048
-#: A cell is so many ball radii wide.
-CELL_RADII = 2.0
+#: Vectors that a cell should hold, and at most, about, a chunk; a grid gets a dimension for every fourfold of it that the largest label has.
+CELL_ROWS = CHUNK_ROWS = 8192
+#: Visitors of a chunk that are held against its homes at a time.
+STRIP = 512
 SEED = 5
 _EPS = 1e-9
+#: Room for single precision in the squared distances of the first test.
+_ROUGH = 1e-5
 
 
 def rotation(dims: int, seed: int = SEED) -> np.ndarray:
@@ -47,43 +51,45 @@ def block_bounds(dims: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
-def usable(v: np.ndarray) -> bool:
-    return v.size > 0 and bool(np.isfinite(v).all()) and bool((v != 0).any())
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to between 1/2 and 1: exact."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(-1, keepdims=True))[1])
 
 
-def cells_of(x: np.ndarray, radius: float, width: float) -> Iterator[tuple[tuple[int, ...], bool]]:
-    """Cells that the ball around x reaches, home first told by True."""
-    home = tuple(int(math.floor(c / width)) for c in x)
-    found: list[tuple[tuple[int, ...], float]] = [((), 0.0)]
-    for c, h in zip(x, home, strict=True):
-        nxt = []
-        for cell, d2 in found:
-            for k in range(int(math.floor((c - radius) / width)), int(math.floor((c + radius) / width)) + 1):
-                off = 0.0 if k == h else (k * width - c if k > h else c - (k + 1) * width)
-                if d2 + off * off <= radius * radius:
-                    nxt.append(((*cell, k), d2 + off * off))
-        found = nxt
-    for cell, _ in found:
-        yield cell, cell == home
+def turned(x: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Unit vectors, rotated, of scaled rows."""
+    return x / np.sqrt((x * x).sum(-1, keepdims=True)) @ turn
 
 
-def pairs_within(homes: np.ndarray, visitors: np.ndarray, bounds: list[tuple[int, int]], block: int, budget: float, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (home, visitor) whose distance is within the budget in this block and in no earlier one."""
+def cells_of(x: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(rows, their cells, whether these are their homes): every cell that the ball around a row reaches. Cells are two
+    radii wide, so a ball reaches the nearer neighbour at most in each dimension."""
+    width = 2 * radius
+    home = np.floor(x / width).astype(np.int64)
+    into = x - home * width
+    side, off = np.where(into < radius, -1, 1), np.minimum(into, width - into) ** 2
+    for mask in range(1 << x.shape[1]):
+        bits = np.array([mask >> d & 1 for d in range(x.shape[1])], np.int64)
+        rows = np.nonzero(off @ bits <= radius * radius)[0]
+        yield rows, home[rows] + side[rows] * bits, mask == 0
 
-    def rows(m):
-        return m / np.sqrt((m * m).sum(1, keepdims=True)) @ turn
 
-    h, v = rows(homes), rows(visitors)
-    ok = None
-    for b, (lo, hi) in enumerate(bounds[: block + 1]):
-        share = budget * (hi - lo) / bounds[-1][1] + _EPS
-        x, y = h[:, lo:hi], v[:, lo:hi]
-        near = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T <= share
-        if b == block:
-            ok = near if ok is None else ok & near
-        else:
-            ok = ~near if ok is None else ok & ~near
-    return np.nonzero(ok)
+def pairs_within(h: np.ndarray, v: np.ndarray, bounds: list[tuple[int, int]], block: int, budget: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (home, visitor) whose distance is within the budget in this block and in no earlier one. h and v are
+    turned rows. The verdict on a pair does not hang on what else is in the chunk."""
+    share = [budget * (hi - lo) / bounds[-1][1] + _EPS for lo, hi in bounds]
+    lo, hi = bounds[block]
+    x, y = h[:, lo:hi], v[:, lo:hi]
+    one = lambda m: np.ones((len(m), 1))
+    square = lambda m: (m * m).sum(1, keepdims=True)
+    rough = np.hstack([-2 * x, square(x), one(x)]).astype(np.float32) @ np.hstack([y, one(y), square(y)]).astype(np.float32).T
+    i, j = np.nonzero(rough <= np.float32(share[block] + _ROUGH))
+    for b in (block, *range(block)):
+        lo, hi = bounds[b]
+        near = np.concatenate([((h[i[k : k + 50_000], lo:hi] - v[j[k : k + 50_000], lo:hi]) ** 2).sum(1) for k in range(0, max(1, len(i)), 50_000)]) <= share[b]
+        ok = near if b == block else ~near
+        i, j = i[ok], j[ok]
+    return i, j
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = LEAST_COSINE) -> DataFrame:
@@ -93,7 +99,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     A vector that is null, empty or zero, or holds null or non-finite components, links with nothing,
     nor do vectors of different lengths. Equal vectors of one label are linked with each other. Rows
     that repeat a vec_id are vectors of their own which share the component of their id. Other columns
-    are not looked at; an empty table gives an empty table. Components are of vec_id.
+    are not looked at; an empty table gives an empty table. Components are of vec_id, which must be a
+    number or text that is one.
     """
     budget = 2 - 2 * least
     kind = vectors.schema[label].dataType.simpleString()
@@ -106,28 +113,26 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     # one member for each distinct vector of a label; a hot vector's copies are counted map-side
     classes = v.where("fit").groupBy("label", "print").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first"), F.min("_rid").alias("rep"))
     reps = materialize(v.select("_rid", "e", F.size("e").alias("dims")).join(classes.select("rep", "label", "copies", "first"), F.col("_rid") == F.col("rep")).drop("_rid"), "distinct-vectors")
-    shapes = reps.groupBy("dims").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels")).collect()  # lengths of vectors: a few
-    # grids get finer with the rows of a label; each dimension of a grid is worth about four cells
-    grid = {r["dims"]: max(1, min(6, min(h - l for l, h in block_bounds(r["dims"])), math.ceil(math.log(max(1.0, r["n"] / max(1, r["labels"]) / CELL_ROWS), 4)) + 1)) for r in shapes}
+    shapes = reps.groupBy("dims", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("dims").agg(F.max("n").alias("n")).collect()  # lengths of vectors: a few
+    grid = {r["dims"]: max(0, min(*(h - l for l, h in block_bounds(r["dims"])), math.ceil(math.log(max(1, r["n"]) / CELL_ROWS, 4)))) if r["dims"] > 1 else 0 for r in shapes}
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns = {n: rotation(n) for n in grid}
         for batch in batches:
-            out: list[tuple] = []
-            for rep, e, dims, lab, copies, first in zip(*[batch.column(n).to_pylist() for n in ("rep", "e", "dims", "label", "copies", "first")]):
-                x = np.array(e)
-                y = x / np.sqrt((x * x).sum()) @ turns[dims]
-                bounds = block_bounds(dims)
-                for b, (lo, hi) in enumerate(bounds):
+            sizes = batch.column("dims").to_numpy()
+            for dims in np.unique(sizes).tolist():
+                own = batch.filter(pa.array(sizes == dims))
+                x = scaled(own.column("e").flatten().to_numpy().reshape(-1, dims))
+                y, raw = turned(x, turns[dims]), pa.array([r.tobytes() for r in x], pa.binary())
+                for b, (lo, hi) in enumerate(block_bounds(dims)):
                     radius = math.sqrt(budget * (hi - lo) / dims) + _EPS
-                    for cell, home in cells_of(y[lo : lo + grid[dims]], radius, CELL_RADII * radius):
-                        out.append((f"{dims}/{b}/" + ",".join(map(str, cell)), home, rep, lab, copies, first, e))
-            kinds = [pa.string(), pa.bool_(), pa.int64(), batch.schema.field("label").type, pa.int64(), pa.int64(), pa.list_(pa.float64())]
-            names = ["cell", "home", "rep", "label", "copies", "first", "e"]
-            for i in range(0, len(out), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 5000]), kinds)], names=names)
-
-    placed = reps.select("rep", "e", "dims", "label", "copies", "first").mapInArrow(spread, f"cell string, home boolean, rep long, label {kind}, copies long, first long, e array<double>")
+                    for rows, cells, home in cells_of(y[:, lo : lo + grid[dims]], radius):
+                        names = pa.array([np.array([dims, b, *c], np.int32).tobytes() for c in cells], pa.binary())
+                        at = pa.array(rows)
+                        kept = [own.column(n).take(at) for n in ("rep", "label", "copies", "first")]
+                        yield pa.RecordBatch.from_arrays([names, pa.array([home] * len(rows), pa.bool_()), *kept, raw.take(at)], names=["cell", "home", "rep", "label", "copies", "first", "e"])
+
+    placed = reps.select("rep", "e", "dims", "label", "copies", "first").mapInArrow(spread, f"cell binary, home boolean, rep long, label {kind}, copies long, first long, e binary")
     placed = materialize(placed, "placed")
     full = placed.groupBy(F.col("cell").alias("c"), F.col("label").alias("l")).agg(
         F.ceil(F.sum(F.when(F.col("home"), 1).otherwise(0)) / CHUNK_ROWS).cast("int").alias("nh"), F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("nv")
@@ -138,20 +143,17 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     visiting = sized.withColumn("j", F.pmod(F.xxhash64("rep"), "nv")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nh") - 1))).withColumn("host", F.lit(False))
     names = ["cell", "label", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "host", "rep", "copies", "first", "e"]
 
-    def link(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def link(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         """Per home its links (copies counted), and edges that span what is linked here."""
-        dims, block, _ = key[0].split("/")
-        dims, block = int(dims), int(block)
-        homes, visitors = rows[rows.host.to_numpy()], rows[~rows.host.to_numpy()]
-        out = []
-        if len(homes) and len(visitors):
-            hx, vx = np.stack(homes.e.to_numpy()), np.stack(visitors.e.to_numpy())
+        dims, block, *_ = np.frombuffer(key[0].as_py(), np.int32).tolist()
+        homes, visitors = rows.filter(rows["host"]), rows.filter(pc.invert(rows["host"]))
+        counted, edges = (np.zeros(0, np.int64), np.zeros(0, np.int64)), []
+        if homes.num_rows and visitors.num_rows:
+            hx, vx = (np.frombuffer(b"".join(t["e"].to_pylist()), np.float64).reshape(-1, dims) for t in (homes, visitors))
             bounds, turn = block_bounds(dims), rotation(dims)
+            hy, vy = turned(hx, turn), turned(vx, turn)
             hn, vn = np.sqrt((hx * hx).sum(1)), np.sqrt((vx * vx).sum(1))
-            hr, vr = homes.rep.to_numpy(), visitors.rep.to_numpy()
-            hf, vf = homes["first"].to_numpy(), visitors["first"].to_numpy()
-            vc = visitors.copies.to_numpy()
-            edges: set[tuple[int, int]] = set()
+            (hr, hf), (vr, vf, vc) = ([t[n].to_numpy() for n in names] for t, names in ((homes, ("rep", "first")), (visitors, ("rep", "first", "copies"))))
             parent: dict[int, int] = {}
 
             def root(a: int) -> int:
@@ -160,8 +162,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
                 return a
 
             counts = np.zeros(len(hr), np.int64)
-            for lo in range(0, len(vr), 512):
-                i, j = pairs_within(hx, vx[lo : lo + 512], bounds, block, budget, turn)
+            for lo in range(0, len(vr), STRIP):
+                i, j = pairs_within(hy, vy[lo : lo + STRIP], bounds, block, budget)
                 j = j + lo
                 apart = hr[i] != vr[j]
                 i, j = i[apart], j[apart]
@@ -169,17 +171,19 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
                     a, b = i[k : k + 50_000], j[k : k + 50_000]
                     ok = (hx[a] * vx[b]).sum(1) / (hn[a] * vn[b]) >= least
                     a, b = a[ok], b[ok]
-                    counts += np.bincount(a, vc[b], len(hr)).astype(np.int64)
+                    np.add.at(counts, a, vc[b])
                     for p, q in zip(hf[a].tolist(), vf[b].tolist()):
                         x, y = root(p), root(q)
                         if x != y:
                             parent[max(x, y)] = min(x, y)
-                            edges.add((p, q))
-            out += [(r, int(n), None, None) for r, n in zip(hr.tolist(), counts.tolist()) if n]
-            out += [(None, None, p, q) for p, q in sorted(edges)]
-        return pd.DataFrame(out, columns=["rep", "n", "a", "b"]).astype("Int64")
-
-    found = at_home.select(*names).union(visiting.select(*names)).groupBy("cell", "label", "i", "j").applyInPandas(link, "rep long, n long, a long, b long")
+                            edges.append((p, q))
+            counted = hr[counts > 0], counts[counts > 0]
+        n, m = len(counted[0]), len(edges)
+        ends = np.array(sorted(edges), np.int64).reshape(-1, 2)
+        padded = [pa.concat_arrays([pa.array(c, pa.int64()), pa.nulls(m, pa.int64())]) for c in counted] + [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(c, pa.int64())]) for c in ends.T]
+        return pa.table(padded, names=["rep", "n", "a", "b"])
+
+    found = at_home.select(*names).union(visiting.select(*names)).groupBy("cell", "label", "i", "j").applyInArrow(link, "rep long, n long, a long, b long")
     found = materialize(found, "links")
     counts = found.where("rep is not null").groupBy("rep").agg(F.sum("n").alias("n"))
     links = reps.select(F.col("rep").alias("r"), "copies").join(counts, F.col("r") == F.col("rep"), "left").select(F.col("r"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
