@@ -1,9 +1,10 @@
 """Quality rules with cross-document line frequency.
 
 Lines are normalised and hashed; for each host the distinct documents that hold a line are counted
-(copies of one text count once). A line above the limits is boilerplate: it is removed from every
-document but the first that holds it, so no content leaves the corpus altogether. A document that
-loses more than a set share of its words, or keeps too few, is depleted and rejected.
+(copies of one text count once, unless copies_once is False). A line above the limit is boilerplate:
+it is removed from every document but the first that holds it (of the smallest doc_id; null where no
+holder has one), so no content leaves the corpus altogether. The limit does not grow with the host.
+A document that loses more than a set share of its words, or keeps too few, is depleted and rejected.
 
 DataFrame functions only. The text is read once into a compact table (a hash and a word count per
 line); only that table is shuffled. A hot line's counts are combined before the shuffle, and the
@@ -15,11 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import UPPER, WORD_GAP, materialize, numbered, release, rows_in, table, words_of
+from corpusloom.llm.common import UPPER, WORD_GAP, columns_of, fresh, materialize, named, numbered, release, rows_in, table, words_of
 
-#: A line is boilerplate in a host if more than this many distinct documents hold it, and more than this share of the host's documents.
+#: A line is boilerplate in a host if more than so many distinct documents hold it, however large the host is.
 MAX_DOCS = 10
-MAX_SHARE = 0.001
+#: Whether copies of one text count as one document there (else every row with its own doc_id does, and whole pages that are copied often are rejected for their first).
+COPIES_ONCE = True
 #: A document is depleted if more than this share of its words is removed, or fewer words than this are left of a document that lost some.
 DEPLETED_SHARE = 0.75
 MIN_LEFT = 20
@@ -78,19 +80,15 @@ def profile(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: s
     return d.select("_rid", "doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "lines")
 
 
-def judge(profiled: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, depleted_share: float = DEPLETED_SHARE, min_left: int = MIN_LEFT) -> tuple[DataFrame, DataFrame]:
+def judge(profiled: DataFrame, max_docs: int = MAX_DOCS, depleted_share: float = DEPLETED_SHARE, min_left: int = MIN_LEFT, copies_once: bool = COPIES_ONCE) -> tuple[DataFrame, DataFrame]:
     """(verdicts, removed lines) of a profiled table.
 
     Verdicts: the profile without lines, with words_removed, base_failed and kept. Removed lines:
     (_rid, h), one row per document and line hash that goes from it.
     """
     lines = profiled.select("_rid", "doc_id", "host", "text_hash", F.explode("lines").alias("l")).select("_rid", "doc_id", "host", "text_hash", F.col("l.h").alias("h"), F.col("l.n").alias("n"))
-    hosts = profiled.groupBy(F.col("host").alias("o_host")).agg(F.count(F.lit(1)).alias("host_docs"))
-    held = lines.groupBy("host", "h").agg(F.count_distinct("text_hash").alias("held"), F.min("doc_id").alias("first"))
-    often = (
-        held.where(F.col("held") > max_docs).join(hosts, F.col("host").eqNullSafe(F.col("o_host")))
-        .where(F.col("held") > max_share * F.col("host_docs")).select("o_host", F.col("h").alias("o_h"), "first")
-    )
+    held = lines.groupBy("host", "h").agg(F.count_distinct("text_hash" if copies_once else "doc_id").alias("held"), F.min("doc_id").alias("first"))
+    often = held.where(F.col("held") > max_docs).select(F.col("host").alias("o_host"), F.col("h").alias("o_h"), "first")
     gone = lines.join(often, F.col("host").eqNullSafe(F.col("o_host")) & (F.col("h") == F.col("o_h"))).where(~F.col("doc_id").eqNullSafe(F.col("first")))
     lost = gone.groupBy("_rid").agg(F.sum("n").alias("words_removed"))
     verdicts = profiled.drop("lines").join(lost, "_rid", "left").withColumn("words_removed", F.coalesce("words_removed", F.lit(0)).cast("long"))
@@ -103,9 +101,10 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     """Verdict per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, words_removed.
 
-    A null or empty text has no words and fails the base rules. A null host is a host of its own; a
-    null doc_id is nobody's first. Rows that repeat are judged row by row; copies of a text count
-    once. An empty table gives an empty table; other columns are not looked at.
+    A null or empty text has no words and fails the base rules. A null host is a host of its own. A
+    null doc_id is a line's first only where no holder has another; rows that share the first doc_id
+    all keep the line. Rows that repeat are judged row by row; copies of a text count once. An empty
+    table gives an empty table; other columns are not looked at.
     """
     verdicts, _ = judge(materialize(profile(docs, doc_id, text, host), "line-profile"), **limits)
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_removed")
@@ -117,19 +116,21 @@ def apply_quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     Keeps all columns of docs; n_chars, where there, is counted anew for a text that changed.
     """
     rows, row = numbered(docs, "rule-docs")
-    profiled = materialize(profile(rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.col(host).alias("host"), F.col(row).alias("_rid")), "doc_id", "t", "host", keep="_rid"), "line-profile")
+    profiled = materialize(profile(rows.select(named(doc_id).alias("doc_id"), named(text).alias("t"), named(host).alias("host"), F.col(row).alias("_rid")), "doc_id", "t", "host", keep="_rid"), "line-profile")
     verdicts, gone = judge(profiled, **limits)
-    drops = gone.groupBy("_rid").agg(F.collect_set("h").alias("_gone"))
-    kept = materialize(verdicts.where("kept").select("_rid").join(drops, "_rid", "left"), "rules-kept")
+    at, cuts = fresh(rows, "_at"), fresh(rows, "_cuts")
+    drops = gone.groupBy("_rid").agg(F.collect_set("h").alias(cuts))
+    kept = materialize(verdicts.where("kept").select("_rid").join(drops, "_rid", "left").withColumnRenamed("_rid", at), "rules-kept")
     release(profiled)
-    whole = rows_in(rows, row, kept.where("_gone is null").select("_rid"))
+    whole = rows_in(rows, row, kept.where(F.col(cuts).isNull()).select(at))
     # only texts that lose lines meet the table of lines
-    some = rows_in(rows, row, kept.where("_gone is not null").select("_rid")).join(kept.where("_gone is not null"), F.col(row) == F.col("_rid"))
-    cut = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains("_gone", F.xxhash64(normalised_line(x))) | ~x.rlike(r"[^\x20\x09-\x0D]")), "\n")
+    losing = kept.where(F.col(cuts).isNotNull())
+    some = rows_in(rows, row, losing.select(at)).join(losing, F.col(row) == F.col(at))
+    cut = F.array_join(F.filter(F.split(named(text), "\n"), lambda x: ~F.array_contains(cuts, F.xxhash64(normalised_line(x))) | ~x.rlike(r"[^\x20\x09-\x0D]")), "\n")
     out = {text: cut}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.length(cut).cast(docs.schema["n_chars"].dataType)
-    return whole.select(*docs.columns).union(some.withColumns(out).select(*docs.columns))
+    return whole.select(*columns_of(docs)).union(some.select(*[out[c].alias(c) if c in out else named(c) for c in docs.columns]))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,8 +156,7 @@ WITH d AS (
          len([y FOR y IN regexp_split_to_array(x, '{_W}') IF y <> '']) AS n
   FROM (SELECT rid, doc_id, host, t, unnest(ls) AS x FROM d)
 ), often AS (
-  SELECT host, k, min(doc_id) AS first FROM lines JOIN (SELECT source AS sh, count(*) AS host_docs FROM documents GROUP BY source) h ON lines.host IS NOT DISTINCT FROM h.sh
-  GROUP BY host, k HAVING count(DISTINCT t) > {MAX_DOCS} AND count(DISTINCT t) > {MAX_SHARE} * min(host_docs)
+  SELECT host, k, min(doc_id) AS first FROM lines GROUP BY host, k HAVING count(DISTINCT t) > {MAX_DOCS}
 ), lost AS (
   SELECT rid, sum(n) AS lost FROM lines JOIN often ON lines.k = often.k AND lines.host IS NOT DISTINCT FROM often.host WHERE doc_id IS DISTINCT FROM first GROUP BY rid
 ), s AS (
