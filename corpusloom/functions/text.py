@@ -78,3 +78,9 @@ def empty_json_list(x: Column) -> Column:
 
 def attention_scale(x: Column) -> Column:
     return F.log1p(x)
+
+
+def power_bin(x: Column) -> Column:
+    """The lower end of the power-of-ten bin of a positive number; null for others."""
+    digits = F.floor(F.log10(x.cast("double")) + F.lit(1e-12))
+    return F.when(x > 0, F.round(F.pow(F.lit(10.0), digits)).cast("long"))

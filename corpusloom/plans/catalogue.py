@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import compositions, geography, inference, records, trees
+from corpusloom.plans import audits, compositions, geography, inference, labelling, lineages, records, rows, trees
 
-_MODULES = (compositions, geography, inference, records, trees)
+_MODULES = (compositions, geography, inference, records, trees, labelling, audits, lineages, rows)
 
 
 def queries() -> dict:

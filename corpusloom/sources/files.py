@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """df written to the shared folder of spark.checkpoint.dir and read again: what depends on sampled ranges or on row
+    places must not change between reads. Local sessions may do without the setting; a cluster may not."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
+    path = f"{folder.rstrip('/')}/corpusloom/{spark.sparkContext.applicationId}/staged-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_exports(spark: SparkSession, paths: Sequence[str], variants: Mapping[str, Sequence[str]], key: str, sep: str = ",") -> DataFrame:
     """CSV exports with differing headers as one table of strings, one row per key.
 
