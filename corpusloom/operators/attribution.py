@@ -44,6 +44,28 @@ def two_way_weights(axes: Sequence[tuple[DataFrame, str]], id_col: str = "id") -
     return out.withColumn("w", F.lit(1.0) / product).drop(*[f"_k{i}" for i in range(len(axes))])
 
 
+def two_way_from_sets(records: DataFrame, axes: dict[str, str], keep: Sequence[str] = ("id",)) -> DataFrame:
+    """As two_way_weights, from one row per record with a set (array of distinct values) for each axis: nothing is
+    shuffled. axes: new column -> array."""
+    product = F.lit(1.0)
+    for c in axes.values():
+        product = product * F.size(c)
+    out = records.select(*keep, *axes.values(), (F.lit(1.0) / F.nullif(product, F.lit(0.0))).alias("w"))
+    for new, c in axes.items():
+        out = out.select(*[x for x in out.columns if x != c], F.explode(c).alias(new))
+    return out
+
+
+def rank_paths(paths: DataFrame, columns: Sequence[str], id_col: str = "id", sep: str = " > ") -> DataFrame:
+    """rank, path, weight, n: at each rank the records' distinct paths of so many columns, a record's paths sharing its
+    weight. paths: one row per record and path. A record's paths are gathered once, for all ranks."""
+    held = paths.groupBy(id_col).agg(F.collect_set(F.array(*columns)).alias("p"))
+    at = lambda k: F.array_distinct(F.transform("p", lambda x: F.array_join(F.slice(x, 1, k), sep)))
+    ranks = F.array(*[F.struct(F.lit(k).cast("long").alias("rank"), at(k).alias("paths")) for k in range(1, len(columns) + 1)])
+    each = held.select(F.inline(ranks)).select("rank", (1.0 / F.size("paths")).alias("w"), F.explode("paths").alias("path"))
+    return each.groupBy("rank", "path").agg(F.sum("w").alias("weight"), F.count(F.lit(1)).alias("n"))
+
+
 def group_composition(weights: DataFrame, group: str, label: str, w: str = "w") -> DataFrame:
     """group, label, weight, share of the group in per cent."""
     summed = weights.groupBy(group, label).agg(F.sum(w).alias("weight"))

@@ -64,3 +64,14 @@ def match_sides(left: DataFrame, right: DataFrame, key: str, how: str = "outer")
     a, b = left.withColumn("_l", F.lit(1)), right.withColumn("_r", F.lit(1))
     side = F.when(F.col("_r").isNull(), "left_only").when(F.col("_l").isNull(), "right_only").otherwise("both")
     return a.join(b, key, how).withColumn("side", side).drop("_l", "_r")
+
+
+def crosswalk(df: DataFrame, key: str, exact: DataFrame, override: DataFrame, code: str, name: str) -> DataFrame:
+    """df with name and status: exact where the code is in the exact table, else override where the override table has a
+    name for it, no_match where that table says null, unmapped where neither knows the code. Both tables have one row per
+    code."""
+    a = exact.select(F.col(code).alias("_a"), F.col(name).alias("_exact"))
+    b = override.select(F.col(code).alias("_b"), F.col(name).alias("_over"))
+    j = df.join(a, F.col(key) == F.col("_a"), "left").join(b, F.col(key) == F.col("_b"), "left")
+    status = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_over").isNotNull(), "override").when(F.col("_b").isNotNull(), "no_match").otherwise("unmapped")
+    return j.withColumns({name: F.coalesce("_exact", "_over"), "status": status}).drop("_a", "_b", "_exact", "_over")

@@ -22,17 +22,36 @@ def location_quotient(places: DataFrame, labels: DataFrame, place: str, label: s
 
     Only records with a place and a label count. With kappa, cells of the whole place by label grid
     also get the Empirical-Bayes value (n + kappa pi) / ((D_c + kappa) pi), pi = T_t / D."""
-    p, t = places.select(id_col, place).distinct(), labels.select(id_col, label).distinct()
-    p, t = p.join(t.select(id_col).distinct(), id_col, "left_semi"), t.join(p.select(id_col).distinct(), id_col, "left_semi")
-    universe = t.select(F.count_distinct(id_col).alias("universe"))
-    support = p.groupBy(place).agg(F.count(F.lit(1)).alias("support"))
-    totals = t.groupBy(label).agg(F.count(F.lit(1)).alias("class_total"))
-    observed = p.join(t, id_col).groupBy(place, label).agg(F.count(F.lit(1)).alias("n"))
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    both = places.select(id_col, F.col(place).alias("p"), none(labels, label).alias("l")).unionByName(labels.select(id_col, none(places, place).alias("p"), F.col(label).alias("l")))
+    return quotients(both.groupBy(id_col).agg(F.collect_set("p").alias("p"), F.collect_set("l").alias("l")), "p", "l", place, label, min_support, kappa)
+
+
+def quotients(records: DataFrame, places: str, labels: str, place: str = "place", label: str = "label", min_support: int = 1, kappa: float | None = None) -> DataFrame:
+    """location_quotient() of one row per record with its distinct places and labels as arrays. Cells, places' and labels'
+    totals and the universe are counted in one pass over the records; the rest is about small dimensions."""
+    held = records.select(F.col(places).alias("p"), F.col(labels).alias("l")).where((F.size("p") > 0) & (F.size("l") > 0))
+    one = lambda p, l: F.struct(p.alias("p"), l.alias("l"))
+    kinds = dict(held.dtypes)
+    no_p, no_l = (F.lit(None).cast(kinds[c].removeprefix("array<").removesuffix(">")) for c in "pl")
+    cells = F.flatten(F.transform("p", lambda p: F.transform("l", lambda l: one(p, l))))
+    counts = held.select(F.explode(F.concat(cells, F.transform("p", lambda p: one(p, no_l)), F.transform("l", lambda l: one(no_p, l)), F.array(one(no_p, no_l)))).alias("x"))
+    counts = counts.groupBy("x.p", "x.l").agg(F.count(F.lit(1)).alias("n"))
     if kappa is None:
-        cells = observed.join(support, place).join(totals, label)
-    else:  # places and labels are small dimensions
-        cells = support.crossJoin(totals).join(observed, [place, label], "left").fillna({"n": 0})
-    out = cells.crossJoin(universe).withColumns({"within_share": F.col("n") / F.col("support"), "global_share": F.col("class_total") / F.col("universe")})
+        of = lambda test, *by: F.max(F.when(test, F.col("n"))).over(W.partitionBy(*by))
+        p, l = F.col("p").isNull(), F.col("l").isNull()
+        out = counts.withColumns({"support": of(l & ~p, "p"), "class_total": of(p & ~l, "l"), "universe": of(p & l)}).where("p is not null and l is not null")
+    else:  # places and labels are small dimensions: their grid is made of one row
+        listed = lambda test, x: F.collect_list(F.when(test, x))
+        p, l = F.col("p").isNull(), F.col("l").isNull()
+        row = counts.agg(
+            listed(l & ~p, F.struct(F.col("p"), F.col("n").alias("support"))).alias("ps"), listed(p & ~l, F.struct(F.col("l"), F.col("n").alias("class_total"))).alias("ls"),
+            F.max(F.when(p & l, F.col("n"))).alias("universe"), F.map_from_entries(listed(~p & ~l, F.struct(F.struct("p", "l"), F.col("n")))).alias("found"),
+        )
+        grid = row.select("universe", "found", "ls", F.inline("ps")).select("universe", "found", "p", "support", F.inline("ls"))
+        out = grid.withColumn("n", F.coalesce(F.try_element_at("found", F.struct("p", "l")), F.lit(0).cast("long"))).drop("found")
+    out = out.select(F.col("p").alias(place), F.col("l").alias(label), "support", "class_total", "n", "universe")
+    out = out.withColumns({"within_share": F.col("n") / F.col("support"), "global_share": F.col("class_total") / F.col("universe")})
     out = out.withColumn("lq", F.col("within_share") / F.col("global_share")).withColumn("log2_lq", F.when(F.col("lq") > 0, F.log2("lq")))
     if kappa is not None:
         pi = F.col("global_share")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import attribution as A
 from corpusloom.operators import temporal as T
-from corpusloom.sources.tables import SQL, countries, labels, publications, realms, table
+from corpusloom.sources.tables import SQL, axes, countries, labels, publications, realms, table
 
 R = 6
 YEARS = (1995, 2001)
@@ -71,32 +71,33 @@ _GRID = f"""{_FRAC}, g AS (SELECT y.year, l.label, coalesce(fc, 0.0) AS v FROM (
 
 
 def _two_way(spark, sf):
-    return A.two_way_weights([(countries(spark, sf).select("id", "country"), "country"), (labels(spark, sf), "label")])
+    return A.two_way_from_sets(axes(spark, sf), {"place": "places", "label": "labels"}).select("id", "place.country", "place.region", "label", "w")
 
 
 def two_way_attribution(spark, sf):
     return _rounded(_two_way(spark, sf).groupBy("country", "label").agg(F.sum("w").alias("weight"), F.count(F.lit(1)).alias("n")), "weight")
 
 
-def _regional(spark, sf):
-    nations = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("country"), F.col("r_name").alias("region"))
-    return _two_way(spark, sf).join(nations, "country")
+_regional = _two_way
 
 
 def group_composition(spark, sf):
     return _rounded(A.group_composition(_regional(spark, sf), "region", "label"), "weight", "share_pct")
 
 
+#: The closed vocabulary of the labels.
+TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+
+
 def composition_matrix(spark, sf):
-    types = [r[0] for r in table(spark, sf, "part").select("p_type").distinct().orderBy("p_type").collect()]  # a closed vocabulary
     long = A.group_composition(_regional(spark, sf), "region", "label")
-    wide = A.composition_matrix(long, "region", "label", types, name=lambda v: "c_" + v.lower().replace(" ", "_"))
+    wide = A.composition_matrix(long, "region", "label", TYPES, name=lambda v: "c_" + v.lower())
     return _rounded(wide, *[c for c in wide.columns if c != "region"])
 
 
 def full_weight_legacy_composition(spark, sf):
-    pairs = countries(spark, sf).select("id", "region").distinct().join(labels(spark, sf), "id")
-    return _rounded(A.group_composition(A.full_weight_per_group(pairs, "id", "region", "label"), "region", "label"), "weight", "share_pct")
+    pairs = axes(spark, sf).select("id", F.explode(F.array_distinct(F.col("places.region"))).alias("region"), (1.0 / F.size("labels")).alias("w"), "labels")
+    return _rounded(A.group_composition(pairs.select("region", "w", F.explode("labels").alias("label")), "region", "label"), "weight", "share_pct")
 
 
 TIER_A = ("ASIA", "EUROPE")
@@ -168,6 +169,7 @@ SELECT label, start_year, end_year, round(base, {R}) AS base, round(e, {R}) AS "
     "trend_slope": f"WITH {_GRID} SELECT label, round(regr_slope(v, year) * 10, {R}) AS slope_per_decade, round(min_by(v, year), {R}) AS first_value, round(max_by(v, year), {R}) AS last_value FROM g GROUP BY label",
     "attention_trend_grid": f"WITH {_GRID} SELECT year, label, round(v, {R}) AS fractional_count, round(coalesce(100 * v / nullif(sum(v) OVER (PARTITION BY year), 0), 0), {R}) AS share FROM g",
     "two_way_attribution": f"WITH {_TW} SELECT country, label, round(sum(w), {R}) AS weight, count(*) AS n FROM tw GROUP BY country, label",
+    "composition_matrix": f"WITH {_TW}, c AS ({_COMP}), s AS (SELECT region, label, 100 * weight / sum(weight) OVER (PARTITION BY region) AS s FROM c) SELECT region, " + ", ".join(f"round(coalesce(sum(s) FILTER (label = '{t}'), 0), {R}) AS c_{t.lower()}" for t in TYPES) + " FROM s GROUP BY region",
     "group_composition": f"WITH {_TW}, c AS ({_COMP}) SELECT region, label, round(weight, {R}) AS weight, round(100 * weight / sum(weight) OVER (PARTITION BY region), {R}) AS share_pct FROM c",
     "full_weight_legacy_composition": f"WITH {SQL}, p AS (SELECT DISTINCT id, region, label FROM ctry JOIN lab USING (id)), k AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY id, region) AS w FROM p), c AS (SELECT region, label, sum(w) AS weight FROM k GROUP BY ALL) SELECT region, label, round(weight, {R}) AS weight, round(100 * weight / sum(weight) OVER (PARTITION BY region), {R}) AS share_pct FROM c",
     "standardized_tier_contrast": f"""WITH {_TW}, cells AS (SELECT tw.id, CASE WHEN region IN ('ASIA', 'EUROPE') THEN 'a' ELSE 'b' END AS tier, realm AS s1, CASE WHEN year <= 1998 THEN 'early' ELSE 'late' END AS s2, label, w FROM tw JOIN seg USING (id)),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import attribution as A
 from corpusloom.operators import contracts as C
 from corpusloom.operators import geo as G
-from corpusloom.sources.tables import SQL, countries, labels, publications, realms, table
+from corpusloom.sources.tables import SQL, axes, countries, labels, publications, realms, table
 
 R = 6
 
@@ -26,12 +26,12 @@ def geo_counts_region(spark, sf):
 
 
 def location_quotient(spark, sf):
-    out = G.location_quotient(countries(spark, sf), labels(spark, sf), "country", min_support=30)
+    out = G.quotients(axes(spark, sf).withColumn("countries", F.col("places.country")), "countries", "labels", "country", min_support=30)
     return _r(out, "within_share", "global_share", "lq", "log2_lq")
 
 
 def location_quotient_eb(spark, sf):
-    out = G.location_quotient(countries(spark, sf), labels(spark, sf), "region", min_support=30, kappa=30.0)
+    out = G.quotients(axes(spark, sf).withColumn("regions", F.array_distinct(F.col("places.region"))), "regions", "labels", "region", min_support=30, kappa=30.0)
     return _r(out, "within_share", "global_share", "lq", "log2_lq", "lq_eb", "log2_lq_eb")
 
 
@@ -121,14 +121,9 @@ PATH = ("cregion", "nation", "realm", "priority")
 
 
 def rank_path_attribution(spark, sf):
-    """Distinct complete paths at each rank, a record's paths sharing its weight."""
-    d = realms(spark, sf)
-    out = None
-    for k in range(1, len(PATH) + 1):
-        p = d.select("id", F.concat_ws(" > ", *PATH[:k]).alias("path")).distinct()
-        one = A.fractional_weights(p).groupBy("path").agg(F.sum("w").alias("weight"), F.count(F.lit(1)).alias("n")).select(F.lit(k).cast("long").alias("rank"), "path", "weight", "n")
-        out = one if out is None else out.union(one)
-    return _r(out, "weight")
+    """Distinct paths (region, country, label) of a publication at each rank, sharing its weight."""
+    paths = axes(spark, sf).select("id", F.explode("places").alias("place"), "labels").select("id", "place.*", F.explode("labels").alias("label"))
+    return _r(A.rank_paths(paths, ("region", "country", "label")), "weight")
 
 
 def rank_counts(spark, sf):
@@ -193,7 +188,8 @@ SELECT realm, label, n_documents, n AS n_label_documents, round(prev, {R}) AS pr
     "regional_trend": f"WITH {SQL}, d AS (SELECT year, region, count(DISTINCT id) AS n FROM pub JOIN ctry USING (id) GROUP BY ALL) SELECT year, region, coalesce(n, 0) AS n FROM (SELECT DISTINCT year FROM pub) CROSS JOIN (SELECT r_name AS region FROM region) LEFT JOIN d USING (year, region)",
     "pooled_dedup_region_evidence": f"WITH {SQL} SELECT region, count(DISTINCT id) AS n, round(100.0::DOUBLE * count(DISTINCT id) / sum(count(DISTINCT id)) OVER (), {R}) AS share_pct FROM ctry GROUP BY region",
     "definition_sensitivity_rank": f"WITH w AS (SELECT r_name AS region, sum(l_quantity) AS quantity, count(*)::DOUBLE AS lines, count(DISTINCT l_orderkey)::DOUBLE AS orders FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name), l AS (SELECT region, definition, value FROM w UNPIVOT (value FOR definition IN (quantity, lines, orders))), s AS (SELECT region, definition, round(100 * value / sum(value) OVER (PARTITION BY definition), {R}) AS share_pct FROM l) SELECT *, row_number() OVER (PARTITION BY definition ORDER BY share_pct DESC, region) AS rank FROM s",
-    "rank_path_attribution": f"WITH {SQL} " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS rank, {_P[k]} AS path, count(*)::DOUBLE AS weight, count(*) AS n FROM seg GROUP BY ALL" for k in range(1, 5)),
+    "rank_path_attribution": f"""WITH {SQL}, p AS (SELECT id, region AS p1, region || ' > ' || country AS p2, region || ' > ' || country || ' > ' || label AS p3 FROM ctry JOIN lab USING (id)), r AS ({" UNION ALL ".join(f"SELECT DISTINCT {k}::BIGINT AS rank, id, p{k} AS path FROM p" for k in (1, 2, 3))})
+      SELECT rank, path, round(sum(w), {R}) AS weight, count(*) AS n FROM (SELECT rank, path, 1.0::DOUBLE / count(*) OVER (PARTITION BY rank, id) AS w FROM r) GROUP BY rank, path""",
     "rank_counts": f"WITH {SQL} " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS rank, {_P[k]} AS path, count(*) AS n FROM seg GROUP BY ALL" for k in range(1, 5)),
     "path_alignment": f"WITH {SQL}, s AS (SELECT DISTINCT region || ' > ' || country AS path FROM ctry), c AS (SELECT DISTINCT cregion || ' > ' || nation AS path FROM seg WHERE year >= 2000) SELECT CASE WHEN c.path IS NULL THEN 'left_only' WHEN s.path IS NULL THEN 'right_only' ELSE 'both' END AS side, count(*) AS n FROM s FULL JOIN c ON s.path = c.path GROUP BY ALL",
     "exact_path_comparison": f"WITH {SQL}, k AS (SELECT * FROM ctry WHERE (region, country) IN (SELECT (cregion, nation) FROM seg WHERE year >= 1999)), a AS (SELECT region, country, sum(w) AS weight FROM (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY id) AS w FROM k) GROUP BY ALL) SELECT region, country, round(weight, {R}) AS weight, round(100 * weight / sum(weight) OVER (), {R}) AS share_pct FROM a",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import labels as L
@@ -10,6 +9,7 @@ from corpusloom.functions import text as X
 from corpusloom.operators import contracts as C
 from corpusloom.operators import evaluation as E
 from corpusloom.operators import sampling as S
+from corpusloom.sources import files
 from corpusloom.sources.tables import table
 
 R = 6
@@ -78,8 +78,7 @@ def stratified_split_rows(spark, sf):
 
 def equal_allocation_sample(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang")
-    sizes = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per stratum
-    return S.take_per_stratum(d, "lang", "doc_id", S.equal_allocation(sizes, 60), 7).select("doc_id", "lang")
+    return S.take_per_stratum(d, "lang", "doc_id", S.equal_allocation(S.strata_sizes(d, "lang"), 250), 7)
 
 
 def keep_first_dedupe(spark, sf):
@@ -87,9 +86,12 @@ def keep_first_dedupe(spark, sf):
 
 
 def latest_valid_wins(spark, sf):
-    """Of each user's events the latest with a positive value; invalid ones never replace it."""
-    ev = table(spark, sf, "events").where("value > 0")
-    return ev.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    """Of each user's events the latest valid one, as of records in files: a type's file is an original or a numbered
+    retry; an event of a value of 5 at most is broken and never replaces a good one."""
+    ev = table(spark, sf, "events")
+    retry = F.when(F.col("event_type") == "click", "out_retry-2.jsonl").when(F.col("event_type") == "view", "out_retry10.jsonl").otherwise("out.jsonl")
+    records = ev.select("user_id", "event_id", retry.alias("file"), F.col("event_id").alias("line"), (F.col("value") > 5).alias("valid"))
+    return files.latest_valid(records, "user_id").select("user_id", "event_id")
 
 
 def _wide(spark, sf):
@@ -115,7 +117,7 @@ def series_latest(spark, sf):
     return _long(spark, sf).where("value is not null").groupBy("l_suppkey").agg(F.max("year").alias("year"), F.max_by("value", "year").alias("value"))
 
 
-_LONG = "lg AS (SELECT s.l_suppkey, y.year, v.value FROM (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_suppkey % 3 > 0 OR year(l_shipdate) > 1997) s CROSS JOIN (SELECT unnest(range(1995, 2002))::BIGINT AS year) y LEFT JOIN (SELECT l_suppkey, year(l_shipdate)::BIGINT AS year, sum(l_quantity) AS value FROM lineitem WHERE l_suppkey % 3 > 0 OR year(l_shipdate) > 1997 GROUP BY ALL) v ON v.l_suppkey = s.l_suppkey AND v.year = y.year)"
+_LONG = "lg AS (SELECT s.l_suppkey, y.year, v.value FROM (SELECT DISTINCT l_suppkey FROM lineitem) s CROSS JOIN (SELECT unnest(range(1995, 2002))::BIGINT AS year) y LEFT JOIN (SELECT l_suppkey, year(l_shipdate)::BIGINT AS year, sum(l_quantity) AS value FROM lineitem GROUP BY ALL) v ON v.l_suppkey = s.l_suppkey AND v.year = y.year)"
 
 
 def json_props_extract(spark, sf):
@@ -136,8 +138,7 @@ def token_normalize(spark, sf):
 def partition_assignment(spark, sf):
     """Numbered partitions of 1,000 orders of each year, latest key first."""
     o = table(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").cast("long").alias("year"))
-    r = F.row_number().over(W.partitionBy("year").orderBy(F.desc("o_orderkey")))
-    return o.withColumn("part", F.ceil(r / 1000).cast("long")).groupBy("year", "part").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("first_key"))
+    return files.numbered_parts(o, "year", "o_orderkey", 1000).groupBy("year", "part").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("first_key"))
 
 
 def ordered_string_agg(spark, sf):
@@ -152,12 +153,11 @@ def corpus_merge_key_audit(spark, sf):
 
 
 def crosswalk_precedence(spark, sf):
-    """Exact code first, then the override, else a status of no match."""
+    """Suppliers' nations: by exact code, by override, explicitly without a match, or not in the crosswalk."""
     s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-    exact = table(spark, sf, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("exact"))
-    over = table(spark, sf, "nation").where("n_regionkey = 3").select(F.col("n_nationkey").alias("b"), F.upper("n_name").alias("override"))
-    j = s.join(exact, F.col("s_nationkey") == F.col("a"), "left").join(over, F.col("s_nationkey") == F.col("b"), "left")
-    return j.select("s_suppkey", F.coalesce("exact", "override").alias("name"), F.when(F.col("exact").isNotNull(), "exact").when(F.col("override").isNotNull(), "override").otherwise("no_match").alias("status"))
+    exact = table(spark, sf, "nation").where("n_regionkey < 3").select("n_nationkey", "n_name")
+    over = table(spark, sf, "nation").where("n_regionkey = 3 or n_nationkey in (4, 9)").select("n_nationkey", F.when(F.col("n_regionkey") == 3, F.upper("n_name")).alias("n_name"))
+    return C.crosswalk(s, "s_nationkey", exact, over, "n_nationkey", "n_name").select("s_suppkey", F.col("n_name").alias("name"), "status")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -176,9 +176,11 @@ ORACLES = {
     "binary_metrics": f"WITH {_JD}, b AS (SELECT list_contains(t, 'good') AS t, list_contains(p, 'good') AS p FROM jd), c AS (SELECT count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (NOT t AND NOT p) AS tn, count(*) AS n FROM b) SELECT {_CM}, round((tp + tn) / n, 6) AS accuracy FROM c",
     "placeholder_mask": f"WITH {_JD} SELECT NOT (list_contains(t, 'toxic') OR list_contains(p, 'toxic')) AS scored, count(*) AS n FROM jd GROUP BY ALL",
     "stratified_split_rows": "WITH r AS (SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY md5('7|' || doc_id), doc_id) AS r FROM documents), a AS (SELECT *, floor(n * 0.6::DOUBLE) AS b1, floor(n * 0.2::DOUBLE) AS b2, n * 0.6::DOUBLE - floor(n * 0.6::DOUBLE) AS f1, n * 0.2::DOUBLE - floor(n * 0.2::DOUBLE) AS f2 FROM r), c AS (SELECT *, n - b1 - 2 * b2 AS x FROM a), e AS (SELECT *, b1 + CASE WHEN (CASE WHEN f2 > f1 THEN 2 ELSE 0 END) < x THEN 1 ELSE 0 END AS n1, b2 + CASE WHEN (CASE WHEN f1 >= f2 THEN 1 ELSE 0 END) < x THEN 1 ELSE 0 END AS n2 FROM c) SELECT doc_id, lang, CASE WHEN r <= n1 THEN 'train' WHEN r <= n1 + n2 THEN 'dev' ELSE 'test' END AS split FROM e",
-    "equal_allocation_sample": "WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7|' || doc_id), doc_id) AS r FROM documents) SELECT doc_id, lang FROM r WHERE r <= 15",
+    "equal_allocation_sample": """WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7|' || doc_id), doc_id) AS r FROM documents), s AS (SELECT lang, count(*) AS n, row_number() OVER (ORDER BY lang) - 1 AS i, count(*) OVER () AS k, least(250, sum(count(*)) OVER ()) AS want FROM documents GROUP BY lang),
+      g AS (SELECT *, least(n, want // k + CASE WHEN i < want % k THEN 1 ELSE 0 END) AS got FROM s), h AS (SELECT *, want - sum(got) OVER () AS short, coalesce(sum(n - got) OVER (ORDER BY lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g)
+      SELECT doc_id, r.lang FROM r JOIN h ON r.lang = h.lang WHERE r.r <= got + greatest(0, least(n - got, short - before))""",
     "keep_first_dedupe": "SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events) WHERE r = 1",
-    "latest_valid_wins": "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE value > 0) WHERE r = 1",
+    "latest_valid_wins": "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'view' THEN 10 WHEN 'click' THEN 2 ELSE 0 END DESC, event_id DESC) AS r FROM events WHERE value > 5) WHERE r = 1",
     "series_unpivot": f"WITH {_LONG} SELECT * FROM lg WHERE value IS NOT NULL",
     "series_coverage": f"WITH {_LONG} SELECT l_suppkey, count(value) AS n, min(year) FILTER (value IS NOT NULL) AS first_year, max(year) FILTER (value IS NOT NULL) AS last_year FROM lg GROUP BY l_suppkey",
     "series_latest": f"WITH {_LONG} SELECT l_suppkey, max(year) AS year, max_by(value, year) AS value FROM lg WHERE value IS NOT NULL GROUP BY l_suppkey",
@@ -188,5 +190,5 @@ ORACLES = {
     "partition_assignment": "WITH r AS (SELECT o_orderkey, year(o_orderdate)::BIGINT AS year, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderkey DESC) AS r FROM orders) SELECT year, ceil(r / 1000)::BIGINT AS part, count(*) AS n, max(o_orderkey) AS first_key FROM r GROUP BY ALL",
     "ordered_string_agg": "SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey",
     "corpus_merge_key_audit": "SELECT CASE WHEN r.k IS NULL THEN 'left_only' ELSE 'right_only' END AS side, count(*) AS n FROM (SELECT DISTINCT o_orderkey AS k FROM orders) l FULL JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem) r ON l.k = r.k WHERE l.k IS NULL OR r.k IS NULL GROUP BY ALL",
-    "crosswalk_precedence": "SELECT s_suppkey, CASE WHEN n_regionkey < 3 THEN n_name WHEN n_regionkey = 3 THEN upper(n_name) END AS name, CASE WHEN n_regionkey < 3 THEN 'exact' WHEN n_regionkey = 3 THEN 'override' ELSE 'no_match' END AS status FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey",
+    "crosswalk_precedence": "SELECT s_suppkey, CASE WHEN n_regionkey < 3 THEN n_name WHEN n_regionkey = 3 THEN upper(n_name) END AS name, CASE WHEN n_regionkey < 3 THEN 'exact' WHEN n_regionkey = 3 THEN 'override' WHEN n_nationkey IN (4, 9) THEN 'no_match' ELSE 'unmapped' END AS status FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey",
 }

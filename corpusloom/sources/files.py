@@ -143,16 +143,17 @@ def _facts(df: DataFrame) -> dict:
     return {"schema": df.schema.simpleString(), "rows": n, "digest": str(digest)}
 
 
-def write_numbered_parts(df: DataFrame, path: str, year: str, key: str, size: int) -> None:
-    """Files by year and part; a part holds size rows, the latest key first. A year's rows are numbered
-    within ranges of the key, so no task needs a year as a whole."""
-    spark, staged = df.sparkSession, path.rstrip("/") + "_staged"
-    df.repartitionByRange(F.col(year), F.desc(key)).withColumn("_p", F.spark_partition_id()).write.mode("overwrite").parquet(staged)
-    ranged = spark.read.parquet(staged)
+def numbered_parts(df: DataFrame, year: str, key: str, size: int) -> DataFrame:
+    """df with part: a year's rows in parts of size rows, the latest key first. They are numbered within ranges of the key,
+    so no task needs a year as a whole."""
+    ranged = staged(df.repartitionByRange(F.col(year), F.desc(key)).withColumn("_p", F.spark_partition_id()))
     counts = ranged.groupBy(year, "_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_b", F.sum("_n").over(W.partitionBy(year).orderBy("_p")) - F.col("_n")).drop("_n")
+    before = counts.select(F.col(year).alias("_y"), F.col("_p").alias("_q"), (F.sum("_n").over(W.partitionBy(year).orderBy("_p")) - F.col("_n")).alias("_b"))
     r = F.row_number().over(W.partitionBy(year, "_p").orderBy(F.desc(key)))
-    numbered = ranged.withColumn("_r", r).join(before, [year, "_p"])
-    numbered.withColumn("part", F.ceil((F.col("_b") + F.col("_r")) / size).cast("int")).drop("_p", "_r", "_b").write.mode("overwrite").partitionBy(year, "part").parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    placed = ranged.withColumn("_r", r).join(before, F.col(year).eqNullSafe(F.col("_y")) & (F.col("_p") == F.col("_q")))
+    return placed.withColumn("part", F.ceil((F.col("_b") + F.col("_r")) / size).cast("long")).drop("_p", "_q", "_y", "_r", "_b")
+
+
+def write_numbered_parts(df: DataFrame, path: str, year: str, key: str, size: int) -> None:
+    """Files by year and part, as numbered_parts() has them."""
+    numbered_parts(df, year, key, size).write.mode("overwrite").partitionBy(year, "part").parquet(path)

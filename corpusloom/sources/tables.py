@@ -33,6 +33,16 @@ def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(dim.select("s_suppkey", F.col("n_name").alias("country"), F.col("r_name").alias("region")), F.col("l_suppkey") == F.col("s_suppkey")).select("id", "country", "region").distinct()
 
 
+def axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, places (distinct country and region), labels (distinct): one row per publication with lines, from one shuffle of
+    the lines."""
+    lines, part, sup, nation, region = (table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier", "nation", "region"))
+    dim = sup.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    dim = dim.select("s_suppkey", F.struct(F.col("n_name").alias("country"), F.col("r_name").alias("region")).alias("place"))
+    both = lines.select("l_orderkey", "l_partkey", "l_suppkey").join(part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")).join(dim, F.col("l_suppkey") == F.col("s_suppkey"))
+    return both.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("place").alias("places"), F.collect_set("p_type").alias("labels"))
+
+
 def realms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, year, realm, nation, cregion, priority of each publication's customer."""
     orders, customer, nation, region = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
