@@ -1,37 +1,63 @@
 """Bootstraps of shares and contrasts, rank correlation and rounding to a whole.
 
-Resampling weighs each record by a Poisson(1) number from a hash of seed, record and replicate. This
-approximates multinomial resampling (the number of records drawn varies a little), but a record's
-weight depends on nothing else: replicates are spread over all tasks, sums combine map-side, and a
-task that is lost and run again draws the same. What is shuffled is groups x labels x replicates.
+Records that are alike (one pattern of group, stratum, labels and weights) are counted first, and a
+replicate draws the patterns' numbers by the multinomial law, which is what drawing as many records
+with replacement comes to. Work grows with patterns x replicates, not with the records. A task draws
+some replicates of one resampled population from seed, population and replicate alone, so one that
+is lost and run again draws the same.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Largest Poisson(1) number that is told apart; beyond it are less than 1e-9 of all draws.
-MOST = 11
-CDF = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(MOST)]
+#: Between the parts of a key.
+SEP = "\u001f"
+#: Replicates that a task draws at a time.
+CHUNK = 50
 
 
-def poisson_weight(seed: int, key: Column, replicate: Column) -> Column:
-    """A Poisson(1) number that depends on seed, key and replicate only."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), replicate.cast("string")).cast("binary"))
-    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
-    return sum((F.when(u >= c, 1).otherwise(0) for c in CDF[1:]), F.when(u >= CDF[0], 1).otherwise(0))
+def multinomial(counts: Sequence[int], seed: int, population: str, replicate: int) -> np.ndarray:
+    """One draw of sum(counts) records with replacement: how often each pattern comes."""
+    n = np.asarray(counts, np.int64)
+    rng = np.random.default_rng([seed, zlib.crc32(population.encode()), replicate])
+    return rng.multinomial(int(n.sum()), n / n.sum())
 
 
-def replicated(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """df once for each of n replicates, with columns r and m, the weight of the row's record; rows of
-    weight 0 are left out. Rows of one record have one weight."""
-    out = df.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    return out.withColumn("m", poisson_weight(seed, F.col(key), F.col("r"))).where("m > 0")
+def resampled(patterns: DataFrame, population: str, n: int, seed: int) -> DataFrame:
+    """r, key, x: the weight of each key in each of n replicates.
+
+    patterns: population (text), items (array of key and w), n (records that are alike). The records of each population are
+    resampled by themselves. A population's patterns go to its tasks as one array: they are few; the replicates are spread
+    over tasks. A key that no record of a replicate has is absent."""
+    kind = dict(patterns.select(F.col("items")[0]["key"].alias("k")).dtypes)["k"]
+    held = patterns.groupBy(population).agg(F.array_sort(F.collect_list(F.struct("items", "n"))).alias("all"))
+    tasks = held.withColumn("first", F.explode(F.sequence(F.lit(1), F.lit(n), F.lit(CHUNK))))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples():
+                counts = [p["n"] for p in row.all]
+                keys = sorted({i["key"] for p in row.all for i in p["items"]})
+                at = {k: j for j, k in enumerate(keys)}
+                w = np.zeros((len(counts), len(keys)))
+                for j, p in enumerate(row.all):
+                    for i in p["items"]:
+                        w[j, at[i["key"]]] += i["w"]
+                for r in range(row.first, min(n, row.first + CHUNK - 1) + 1):
+                    m = multinomial(counts, seed, getattr(row, population), r)
+                    there = m @ (w != 0) > 0
+                    yield pd.DataFrame({"r": r, "key": np.array(keys, object)[there], "x": (m @ w)[there]})
+
+    spread = tasks.select(population, "all", "first").repartition(F.col(population), F.col("first"))
+    return spread.mapInPandas(draw, f"r int, key {kind}, x double")
 
 
 def interval(by: Sequence[str], value: str, level: float = 0.95) -> list[Column]:
@@ -48,16 +74,17 @@ def _contrast(summed: DataFrame, groups: tuple[str, str], keys: Sequence[str]) -
     return shared.groupBy(*keys, "label").agg((a - b).alias("d"))
 
 
-def contrast_bootstrap(weights: DataFrame, groups: tuple[str, str], n: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
+def contrast_bootstrap(weights: DataFrame, groups: tuple[str, str], n: int = 1000, seed: int = 7, level: float = 0.95) -> DataFrame:
     """label, contrast, lo, hi, excludes_zero: difference of two groups' label shares, records resampled
     in each group by itself.
 
     weights: id, group, label, w. A share is a ratio of sums. A label that a replicate lacks has share
     0 there."""
-    own = weights.where(F.col("group").isin(*groups)).groupBy("id", "group", "label").agg(F.sum("w").alias("w"))
+    own = weights.where(F.col("group").isin(*groups)).groupBy("group", "id", "label").agg(F.sum("w").alias("w"))
+    items = own.groupBy("group", "id").agg(F.array_sort(F.collect_list(F.struct(F.concat_ws(SEP, "group", "label").alias("key"), "w"))).alias("items"))
+    alike = items.groupBy(F.col("group").alias("population"), "items").agg(F.count(F.lit(1)).alias("n"))
+    sums = resampled(alike, "population", n, seed).select("r", F.split("key", SEP)[0].alias("group"), F.split("key", SEP)[1].alias("label"), "x")
     point = _contrast(own.groupBy("group", "label").agg(F.sum("w").alias("x")), groups, [])
-    keyed = own.withColumn("k", F.concat_ws("|", "group", F.col("id").cast("string")))
-    sums = replicated(keyed, "k", n, seed).groupBy("r", "group", "label").agg(F.sum(F.col("m") * F.col("w")).alias("x"))
     return _intervals(point, _contrast(sums, groups, ["r"]), n, level)
 
 
@@ -67,25 +94,27 @@ def _intervals(point: DataFrame, drawn: DataFrame, n: int, level: float) -> Data
     return point.select("label", F.col("d").alias("contrast")).join(full.groupBy("label").agg(*interval(["label"], "d", level)), "label")
 
 
-def standardized_bootstrap(cells: DataFrame, tiers: tuple[str, str], stratum: Sequence[str], n: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
+def standardized_bootstrap(cells: DataFrame, tiers: tuple[str, str], stratum: Sequence[str], n: int = 1000, seed: int = 7, level: float = 0.95) -> DataFrame:
     """label, contrast, lo, hi, excludes_zero of directly standardized shares, whole records resampled.
 
     cells: id, tier, stratum columns, label, w. The weights of the strata are those of all records and
     stay fixed; a stratum without rows of a tier in a replicate adds nothing there."""
-    docs = cells.select("id", "tier", *stratum).distinct()
-    sizes = docs.groupBy(*stratum).agg(*[F.count_if(F.col("tier") == t).alias(f"n{i}") for i, t in enumerate(tiers)], F.count_distinct("id").alias("n_docs")).where("n0 > 0 and n1 > 0")
-    fixed = sizes.select(*stratum, (F.col("n_docs") / F.sum("n_docs").over(W.partitionBy())).alias("wt"))  # a row per stratum
-    own = cells.join(fixed, list(stratum)).groupBy("id", *stratum, "wt", "tier", "label").agg(F.sum("w").alias("w"))
+    own = cells.select("id", F.concat_ws(SEP, *[F.col(c).cast("string") for c in stratum]).alias("s"), "tier", "label", "w").groupBy("id", "s", "tier", "label").agg(F.sum("w").alias("w"))
+    sizes = own.groupBy("s").agg(*[F.count_if(F.col("tier") == t).alias(f"n{i}") for i, t in enumerate(tiers)], F.count_distinct("id").alias("n_docs")).where("n0 > 0 and n1 > 0")
+    fixed = sizes.select("s", (F.col("n_docs") / F.sum("n_docs").over(W.partitionBy())).alias("wt"))  # a row per stratum
+    kept = own.join(fixed.select("s"), "s", "left_semi")
+    items = kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.struct("s", "tier", "label").alias("k"), "w"))).alias("items"))
+    text = F.transform("items", lambda i: F.struct(F.to_json(i["k"]).alias("key"), i["w"].alias("w")))
+    alike = items.groupBy(F.lit("all").alias("population"), text.alias("items")).agg(F.count(F.lit(1)).alias("n"))
+    drawn = resampled(alike, "population", n, seed).select("r", F.from_json("key", "s string, tier string, label string").alias("k"), "x").select("r", "k.*", "x")
 
     def contrast(summed: DataFrame, keys: Sequence[str]) -> DataFrame:
-        s = summed.withColumn("s", 100 * F.col("wt") * F.col("x") / F.sum("x").over(W.partitionBy(*keys, *stratum, "tier")))
-        a, b = (F.sum(F.when(F.col("tier") == t, F.col("s")).otherwise(0.0)) for t in tiers)
+        s = summed.join(F.broadcast(fixed), "s").withColumn("s_", 100 * F.col("wt") * F.col("x") / F.sum("x").over(W.partitionBy(*keys, "s", "tier")))  # a row per stratum is broadcast
+        a, b = (F.sum(F.when(F.col("tier") == t, F.col("s_")).otherwise(0.0)) for t in tiers)
         return s.groupBy(*keys, "label").agg((a - b).alias("d"))
 
-    at = [*stratum, "wt", "tier", "label"]
-    point = contrast(own.groupBy(*at).agg(F.sum("w").alias("x")), [])
-    drawn = contrast(replicated(own, "id", n, seed).groupBy("r", *at).agg(F.sum(F.col("m") * F.col("w")).alias("x")), ["r"])
-    return _intervals(point, drawn, n, level)
+    point = contrast(kept.groupBy("s", "tier", "label").agg(F.sum("w").alias("x")), [])
+    return _intervals(point, contrast(drawn, ["r"]), n, level)
 
 
 def patterns(pairs: DataFrame, id_col: str = "id", label: str = "label") -> DataFrame:
@@ -94,24 +123,16 @@ def patterns(pairs: DataFrame, id_col: str = "id", label: str = "label") -> Data
     return held.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
-def pattern_bootstrap(pairs: DataFrame, n: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
-    """label, share, lo, hi of fractional label shares, records resampled.
-
-    Records of one pattern are alike, so a pattern is resampled at once: its number is drawn from
-    Poisson(n) by its normal limit when it is over 1,000, else as a sum of draws. Work grows with the
-    patterns, not with the records."""
+def pattern_bootstrap(pairs: DataFrame, n: int = 1000, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """label, share, lo, hi of fractional label shares, records resampled."""
     found = patterns(pairs)
-    key = F.array_join("pattern", "\u001f")
-    each = found.select(key.alias("k"), "pattern", "n", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("r"))
-    small = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(1000)).cast("int")), F.lit(0).cast("double"), lambda s, i: s + poisson_weight(seed, F.concat_ws("|", "k", i.cast("string")), F.col("r")))
-    unit = lambda i: (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}n{i}"), "k", F.col("r").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") + 1) / F.lit(float((1 << 32) + 1))
-    normal = F.sqrt(-2 * F.log(unit(0))) * F.cos(2 * math.pi * unit(1))
-    drawn = each.withColumn("m", F.when(F.col("n") > 1000, F.greatest(F.lit(0.0), F.round(F.col("n") + F.sqrt("n") * normal))).otherwise(small))
-    per = lambda df, m, *by: df.select(*by, m.alias("m"), F.explode("pattern").alias("label"), F.size("pattern").alias("k")).groupBy(*by, "label").agg(F.sum(F.col("m") / F.col("k")).alias("x"))
+    alike = found.select(F.lit("all").alias("population"), F.transform("pattern", lambda x: F.struct(x.alias("key"), (1.0 / F.size("pattern")).alias("w"))).alias("items"), "n")
     share = lambda df, *by: df.withColumn("s", 100 * F.col("x") / F.sum("x").over(W.partitionBy(*by)))
-    point = share(per(found, F.col("n"))).select("label", F.col("s").alias("share"))
-    ci = share(per(drawn, F.col("m"), "r"), "r").groupBy("label").agg(*interval(["label"], "s", level)[:2])
-    return point.join(ci, "label")
+    each = found.select(F.explode("pattern").alias("label"), (F.col("n") / F.size("pattern")).alias("w")).groupBy("label").agg(F.sum("w").alias("x"))
+    point = share(each).select("label", F.col("s").alias("share"))
+    drawn = share(resampled(alike, "population", n, seed).withColumnRenamed("key", "label"), "r")
+    every = point.select("label", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("r")).join(drawn, ["r", "label"], "left").fillna({"s": 0.0})  # labels x replicates
+    return point.join(every.groupBy("label").agg(*interval(["label"], "s", level)[:2]), "label")
 
 
 def average_rank(value: str, by: Sequence[str] = ()) -> Column:
