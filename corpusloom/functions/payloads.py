@@ -33,14 +33,10 @@ def repaired(text: Column) -> Column:
     return F.regexp_replace(inner, r",(\s*[}\]])", "$1")
 
 
-def _whole(text: Column) -> Column:
-    return F.from_json(text, "_any string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-
-
 def valid_json(text: Column) -> Column:
     """Whether a text is a JSON object or list. Never null."""
     opened = F.coalesce(F.regexp_replace(text, r"^\s+", "").substr(1, 1).isin("{", "["), F.lit(False))
-    return opened & F.coalesce(_whole(text)["_bad"].isNull(), F.lit(False))
+    return opened & F.try_parse_json(text).isNotNull()
 
 
 def json_payload(text: Column) -> Column:

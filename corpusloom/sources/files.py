@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -33,21 +35,82 @@ def read_exports(spark: SparkSession, paths: Sequence[str], variants: Mapping[st
     """CSV exports with differing headers as one table of strings, one row per key.
 
     variants: names that each column may have, in any case; a column no file has is null. Of a key's rows
-    the one of the first file and place stays; rows without a key go."""
+    the one of the first file and place stays; rows without a key go. Headers are read by tasks, and files
+    with one header are one scan, so the plan has a branch per kind of header."""
+    if not paths:
+        raise ValueError("no paths")
+    heads = spark.read.option("lineSep", "\n").text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), "value")
+    first = heads.where("b = 0").groupBy("file").agg(F.min_by("value", "i").alias("head"))
+    order = {p: n for n, p in enumerate(paths)}
+    kinds: dict[str, list[str]] = {}
+    known = {_bare(r["file"]): r["head"] for r in first.collect()}  # a header per file
+    for path in paths:
+        kinds.setdefault((known.get(_bare(path)) or "").lstrip("\ufeff").rstrip("\r").strip().lower(), []).append(path)
+    number = F.create_map(*[F.lit(x) for p, n in order.items() for x in (_bare(p), n)])
     out: DataFrame | None = None
-    for n, path in enumerate(paths):
-        raw = spark.read.option("multiLine", True).option("escape", '"').csv(path, header=True, sep=sep)
-        named = {c.strip().lower(): c for c in reversed(raw.columns)}
+    for same in kinds.values():
+        raw = spark.read.option("multiLine", True).option("escape", '"').csv(same, header=True, sep=sep)
+        named = {c.strip().lstrip("\ufeff").lower(): c for c in reversed(raw.columns)}
         at = {want: next((named[v.lower()] for v in (want, *others) if v.lower() in named), None) for want, others in variants.items()}
-        one = raw.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(want) for want, c in at.items()], F.lit(n).alias("_file"), F.monotonically_increasing_id().alias("_at"))
+        file = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:/+", "/")
+        one = raw.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(want) for want, c in at.items()], F.element_at(number, file).alias("_file"), F.monotonically_increasing_id().alias("_at"))
         out = one if out is None else out.unionByName(one)
-    if out is None:
-        raise ValueError("no paths")
     held = out.where(F.length(F.trim(F.coalesce(F.col(key), F.lit("")))) > 0)
     best = held.groupBy(key).agg(F.min_by(F.struct(*[c for c in variants if c != key]), F.struct("_file", "_at")).alias("_v")) if len(variants) > 1 else held.select(key).distinct()
     return best.select(*[F.col(key) if c == key else F.col("_v")[c].alias(c) for c in variants])
 
 
+def _bare(path: str) -> str:
+    """A path without its scheme, as file names are compared."""
+    return re.sub("^[a-z0-9]+:/+", "/", unquote(path))
+
+
+def read_text_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """A CSV file whose fields may hold line breaks, all columns as strings, only the wanted ones parsed."""
+    out = spark.read.option("multiLine", True).option("escape", '"').option("inferSchema", False).csv(path, header=True)
+    return project(out, columns) if columns else out
+
+
+def split_outputs(df: DataFrame, test: Column, whole: str, some: str) -> tuple[DataFrame, DataFrame]:
+    """df written as a whole, and the rows that pass the test written from that copy: the source is read once."""
+    df.write.mode("overwrite").option("compression", "zstd").parquet(whole)
+    stored = df.sparkSession.read.schema(df.schema).parquet(whole)
+    stored.where(test).write.mode("overwrite").option("compression", "zstd").parquet(some)
+    return stored, df.sparkSession.read.schema(df.schema).parquet(some)
+
+
+def write_variants(df: DataFrame, path: str) -> None:
+    """A table twice: Parquet with its lists at path/parquet, CSV with lists as JSON text at path/csv, from one pass over
+    df."""
+    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/parquet")
+    write_csv(df.sparkSession.read.schema(df.schema).parquet(f"{path}/parquet"), f"{path}/csv")
+
+
+def combine(parts: Sequence[DataFrame], path: str, key: str) -> DataFrame:
+    """Tables of the same columns in one, written only if no key is in two rows; nothing is left at path otherwise."""
+    from corpusloom.operators.contracts import assert_unique_key
+
+    out = parts[0]
+    for p in parts[1:]:
+        if sorted(p.columns) != sorted(out.columns):
+            raise ValueError(f"columns differ: {sorted(set(p.columns) ^ set(out.columns))}")
+        out = out.unionByName(p)
+    assert_unique_key(out, key, "combined table")
+    out.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return parts[0].sparkSession.read.schema(out.schema).parquet(path)
+
+
+def write_batches(requests: DataFrame, path: str, key: str, per_file: int) -> dict:
+    """Request lines (a JSON object a row) in files of at most per_file, and a manifest of files and their rows."""
+    write_jsonl(requests, f"{path}/requests", per_file)
+    spark = requests.sparkSession
+    counts = spark.read.text(f"{path}/requests").groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("n"), F.min(F.get_json_object("value", f"$.{key}")).alias("first"))
+    rows = sorted((r["file"], r["n"], r["first"]) for r in counts.collect())  # a row per file
+    manifest = {"requests": sum(n for _, n, _ in rows), "files": [{"file": f, "n": n, "first": k} for f, n, k in rows]}
+    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    return manifest
+
+
 def read_filtered_csv(spark: SparkSession, path: str, schema: StructType | str, flag: str) -> DataFrame:
     """Rows whose flag is true, 1 or yes; columns that are not used are not parsed."""
     return spark.read.schema(schema).option("multiLine", True).csv(path, header=True).where(F.lower(F.trim(F.col(flag).cast("string"))).isin("true", "1", "yes"))
