@@ -4,7 +4,8 @@ A dialogue of several parties is rendered once for each participant: that speake
 assistant's, all others are users with their names, and the loss mask covers what the assistant
 says. The result is a row per dialogue, perspective and turn, with the segment's text and its
 character span in the whole rendering, so that a dialogue of any length is never gathered in one
-task: offsets come from sums of blocks of turns first, then within blocks.
+task: offsets come from sums of blocks of turns first, then within blocks. What a speaker says can
+forge no border: marks in names and texts are escaped, and names hold no line breaks.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import materialize, table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+#: What marks begin with, and what is written in its place where a name or text has it.
+MARK, ESCAPED = "<|im_", "<\\|im_"
 #: Turns of a block, by turn number.
 BLOCK_TURNS = 256
 
@@ -28,14 +31,15 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     others. Participants are the distinct roles that are not null; a turn without a role is an
     unnamed user's, and a dialogue of such turns only has no perspective. Turns follow their number,
     nulls first; of equal numbers, speaker, then text, decide, and rows equal in all count each. Null
-    text is empty. A null conversation key is one dialogue. Other columns are not looked at; an empty
+    text is empty. Marks in names and texts are escaped by a backslash, line breaks in names become
+    spaces. A null conversation key is one dialogue. Other columns are not looked at; an empty
     table gives an empty table.
     """
-    rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("speaker"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("speaker"), F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(MARK), F.lit(ESCAPED)).alias("text"))
     rows = rows.withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / block_turns))
     people = rows.where("speaker is not null").select(F.col("conv_id").alias("p_conv"), F.col("speaker").alias("perspective")).distinct()
     mine = F.col("speaker").eqNullSafe(F.col("perspective"))
-    name = F.when(mine, "assistant").when(F.col("speaker").isNull(), "user").otherwise(F.concat(F.lit("user name="), F.col("speaker")))
+    name = F.when(mine, "assistant").when(F.col("speaker").isNull(), "user").otherwise(F.concat(F.lit("user name="), F.translate(F.replace(F.col("speaker"), F.lit(MARK), F.lit(ESCAPED)), "\r\n", "  ")))
     head = F.concat(F.lit(OPEN), name, F.lit("\n"))
     cast = rows.join(people, F.col("conv_id").eqNullSafe(F.col("p_conv"))).drop("p_conv")
     said = cast.select("conv_id", "perspective", "turn", "block", "speaker", F.concat(head, F.col("text"), F.lit(CLOSE)).alias("segment"), F.length(head).alias("head"), mine.alias("mine"))
@@ -61,8 +65,8 @@ SQL = f"""
 WITH p AS (SELECT DISTINCT conv_id, role AS perspective FROM conversations WHERE role IS NOT NULL),
 s AS (
   SELECT c.conv_id, p.perspective, c.turn, c.role AS speaker, c.role IS NOT DISTINCT FROM p.perspective AS mine,
-         '{OPEN}' || CASE WHEN c.role IS NOT DISTINCT FROM p.perspective THEN 'assistant' WHEN c.role IS NULL THEN 'user' ELSE 'user name=' || c.role END || chr(10) AS head,
-         head || coalesce(c.text, '') || '{CLOSE.strip()}' || chr(10) AS segment
+         '{OPEN}' || CASE WHEN c.role IS NOT DISTINCT FROM p.perspective THEN 'assistant' WHEN c.role IS NULL THEN 'user' ELSE 'user name=' || translate(replace(c.role, '{MARK}', '{ESCAPED}'), chr(13) || chr(10), '  ') END || chr(10) AS head,
+         head || replace(coalesce(c.text, ''), '{MARK}', '{ESCAPED}') || '{CLOSE.strip()}' || chr(10) AS segment
   FROM conversations c JOIN p ON c.conv_id IS NOT DISTINCT FROM p.conv_id
 ), o AS (
   SELECT *, length(segment) AS length,
