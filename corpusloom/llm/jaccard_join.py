@@ -39,6 +39,10 @@ MAX_BOUNDARY = 512
 BITS_EACH, MAX_BITS = 32, 1 << 27
 #: Needed texts are sought by a broadcast of at most so many ids (16 MB), beyond that by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bytes of text of a counting group, while there are at most 65,536 of them, and beyond.
+PART_BYTES, WIDE_PART_BYTES = 4e6, 64e6
+#: Members of a key that are held against each other in one task; a key with more is cut into pairs of chunks.
+CHUNK_MEMBERS = 2000
 #: Shingles that a task sorts at a time; bytes of text split at a time.
 FLUSH, TEXT_BLOCK = 4_000_000, 1 << 23
 BITS = ("b0", "b1", "b2", "b3")
@@ -175,7 +179,9 @@ def profile(docs: DataFrame, parts: int, width: int = SHINGLE_WORDS) -> DataFram
 
 def frequent(profiled: DataFrame, limit: int = FREQUENT) -> tuple[np.ndarray, float]:
     """(bit map of the heads of shingles that more than limit documents hold, mean list length of the
-    others as a document meets them). Heads that collide only change the order, never a result."""
+    others as a document meets them). Where these are more than the map has room for, those that the most
+    documents hold are told: the limit is doubled until they fit. The map only decides on the order, never on a
+    result."""
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         heads = np.sort(np.concatenate([np.cumsum(np.frombuffer(b, "<u4"), dtype=np.uint32) for b in rows.blob]))
@@ -183,13 +189,20 @@ def frequent(profiled: DataFrame, limit: int = FREQUENT) -> tuple[np.ndarray, fl
         n = np.diff(np.append(starts, len(heads)))
         often = n > limit
         few = n[~often].astype(float)
-        return pd.DataFrame({"head": [*heads[starts[often]].astype(np.int64).tolist(), None], "s1": [0.0] * int(often.sum()) + [few.sum()], "s2": [0.0] * int(often.sum()) + [(few * few).sum()]}).astype({"head": "Int64"})
-
-    found = materialize(profiled.where("part is not null").select("part", "blob").groupBy("part").applyInPandas(count, "head long, s1 double, s2 double"), "frequent")
-    n, s1, s2 = found.agg(F.count("head"), F.coalesce(F.sum("s1"), F.lit(0.0)), F.coalesce(F.sum("s2"), F.lit(0.0))).first()
+        k = int(often.sum())
+        return pd.DataFrame({"head": [*heads[starts[often]].astype(np.int64).tolist(), None], "held": [*n[often].tolist(), 0], "s1": [0.0] * k + [few.sum()], "s2": [0.0] * k + [(few * few).sum()]}).astype({"head": "Int64"})
+
+    found = materialize(profiled.where("part is not null").select("part", "blob").groupBy("part").applyInPandas(count, "head long, held long, s1 double, s2 double"), "frequent")
+    s1, s2 = found.agg(F.coalesce(F.sum("s1"), F.lit(0.0)), F.coalesce(F.sum("s2"), F.lit(0.0))).first()
+    # of each doubling of the limit, how many heads are held by more documents
+    doublings = {r["d"]: r["n"] for r in found.where("head is not null").groupBy(F.ceil(F.log2(F.col("held") / F.lit(float(limit)))).cast("int").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    least = 0
+    while (n := sum(c for d, c in doublings.items() if d > least)) * BITS_EACH > MAX_BITS:
+        least += 1
+    found_often = found.where(F.col("head").isNotNull() & (F.col("held") > limit * 2.0**least))
     bits = 1 << min(int(math.log2(MAX_BITS)), max(10, math.ceil(math.log2(max(1, n) * BITS_EACH))))
     at = F.col("head").bitwiseAND(F.lit(bits - 1))
-    words = found.where("head is not null").select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast((head & {bits - 1}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    words = found_often.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast((head & {bits - 1}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
     out = np.zeros(bits // 64, np.uint64)
     for r in words:
         out[r["w"]] = np.uint64(r["b"] & 0xFFFFFFFFFFFFFFFF)
@@ -281,7 +294,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # what the scan reads, without reading it
-    parts = 1 << min(16, max(6, math.ceil(math.log2(max(1, size / 4e6)))))
+    parts = 1 << math.ceil(math.log2(max(64, min(65_536, size / PART_BYTES), size / WIDE_PART_BYTES)))
     profiled = materialize(profile(docs, parts, width), "shingle-profile")
     rows = materialize(profiled.where("part is null").select("doc_id", "n", "f1", "f2"), "profile-rows")
     often, length = frequent(profiled)
@@ -308,13 +321,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     # what is left: members of a key in different components
     marked = labelled(shared)
-    mixed_keys = marked.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
-    left = marked.join(mixed_keys, F.col("key") == F.col("k")).select("key", "cid", "n", "pivot", "c")
+    mixed_keys = marked.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count(F.lit(1)) / CHUNK_MEMBERS).cast("int").alias("chunks")).where("lo < hi").select("k", "chunks")
+    left = marked.join(mixed_keys, F.col("key") == F.col("k")).select("key", "cid", "n", "pivot", "c", "chunks")
     left = materialize(left.join(classes.select("cid", *BITS), "cid"), "unsettled")
     release(shared, component)
-    x, y = left.alias("x"), left.alias("y")
+    # a key of many members is spread over pairs of chunks; each pair of members meets in one
+    own, every = F.pmod(F.xxhash64("cid"), "chunks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    x, y = left.withColumn("i", own).withColumn("j", every).alias("x"), left.withColumn("j", own).withColumn("i", every).alias("y")
     alike = may_match("x.", "y.", percent)
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & F.expr(fits("x.n", "y.n")) & alike & (F.col("x.cid") != F.col("x.pivot")) & (F.col("y.cid") != F.col("x.pivot")))
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.c") < F.col("y.c")) & F.expr(fits("x.n", "y.n")) & alike & (F.col("x.cid") != F.col("x.pivot")) & (F.col("y.cid") != F.col("x.pivot")))
     more = more.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
     found = verify(plausible(more, classes, percent), docs, classes, percent, width)
     component = materialize(connected_components(links.union(found)), "components")
