@@ -41,7 +41,7 @@ def test_plain_scans_are_not_stored(clashing):
 
 
 def test_stages_take_clashing_columns(clashing):
-    docs = clashing.drop("a.b")
+    docs = clashing
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
     n = {r.component_id for r in jaccard_join.jaccard_components(docs).where("n_shingles > 0").collect()}
