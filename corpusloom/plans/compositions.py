@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import attribution as A
+from corpusloom.operators import comparisons as M
 from corpusloom.operators import temporal as T
 from corpusloom.sources.tables import SQL, axes, countries, labels, publications, realms, table
 
@@ -119,15 +120,15 @@ def complete_case_exclusions(spark, sf):
 
 def versioned_dimension_join(spark, sf):
     """Classification by entity and year of the next fiscal year."""
-    history = realms(spark, sf).groupBy("nation", "year").agg(F.count(F.lit(1)).alias("c")).select(F.col("nation").alias("entity"), (F.col("year") + 1).alias("fiscal_year"), F.when(F.col("c") % 3 == 0, "low").when(F.col("c") % 3 == 1, "middle").otherwise("high").alias("tier"))
-    linked = realms(spark, sf).join(history, (F.col("nation") == F.col("entity")) & (F.col("year") == F.col("fiscal_year")), "left")
-    return linked.groupBy("year", F.coalesce("tier", F.lit("missing")).alias("tier")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("nation").alias("nations"))
+    tier = F.when(F.col("c") % 3 == 0, "low").when(F.col("c") % 3 == 1, "middle").otherwise("high")
+    history = realms(spark, sf).groupBy(F.col("nation").alias("entity"), "year").agg(F.count(F.lit(1)).alias("c")).select("entity", (F.col("year") + 1).alias("period"), tier.alias("value"))
+    linked = M.versioned(realms(spark, sf), history, "nation", "year", 0, "tier")
+    return linked.groupBy("year", "tier").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("nation").alias("nations"))
 
 
 def income_transition_matrix(spark, sf):
     r = realms(spark, sf).groupBy("nation", "year").agg((F.count(F.lit(1)) % 3).alias("tier"))
-    nxt = r.select(F.col("nation").alias("n2"), (F.col("year") - 1).alias("y2"), F.col("tier").alias("to_tier"))
-    return r.join(nxt, (F.col("nation") == F.col("n2")) & (F.col("year") == F.col("y2"))).groupBy(F.col("tier").alias("from_tier"), "to_tier").agg(F.count(F.lit(1)).alias("n"))
+    return M.transition_matrix(r, "nation", "year", "tier").select(F.col("from").alias("from_tier"), F.col("to").alias("to_tier"), "n")
 
 
 def country_counts_metadata_check(spark, sf):
@@ -144,10 +145,7 @@ def label_legend_topn_other(spark, sf):
 def attention_vs_benchmark(spark, sf):
     own = A.fractional_weights(labels(spark, sf)).groupBy("label").agg(F.sum("w").alias("attention"))
     bench = table(spark, sf, "part").groupBy(F.col("p_type").alias("label")).agg(F.count(F.lit(1)).alias("described"))
-    w = A.W.partitionBy()  # a row per label
-    j = own.join(bench, "label").select("label", (100 * F.col("attention") / F.sum("attention").over(w)).alias("share"), (100 * F.col("described") / F.sum("described").over(w)).alias("expected"))
-    j = j.withColumns({"gap": F.col("share") - F.col("expected"), "ratio": F.col("share") / F.col("expected")})
-    return _rounded(j.withColumns({"log2_ratio": F.log2("ratio"), "flag": F.when(F.col("ratio") > 1, "over").otherwise("under")}), "share", "expected", "gap", "ratio", "log2_ratio")
+    return _rounded(M.against_benchmark(own, bench, "label", "attention", "described"), "share", "expected", "gap", "ratio", "log2_ratio")
 
 
 _TW = f"""{SQL}, tw AS (SELECT c.id, c.country, c.region, l.label, 1.0::DOUBLE / (c.k * l.k) AS w FROM (SELECT *, count(*) OVER (PARTITION BY id) AS k FROM ctry) c JOIN (SELECT *, count(*) OVER (PARTITION BY id) AS k FROM lab) l ON c.id = l.id)"""

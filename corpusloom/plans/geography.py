@@ -6,8 +6,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.operators import attribution as A
+from corpusloom.operators import comparisons as M
 from corpusloom.operators import contracts as C
 from corpusloom.operators import geo as G
+from corpusloom.operators import resampling as B
 from corpusloom.sources.tables import SQL, axes, countries, labels, publications, realms, table
 
 R = 6
@@ -56,15 +58,8 @@ def realm_counts(spark, sf):
 
 def realm_driver_summary(spark, sf):
     """Prevalence, pooled prevalence, quotient and fractional share of each label in each realm."""
-    lab = A.fractional_weights(labels(spark, sf))
-    docs = realms(spark, sf).select("id", "realm").join(lab.select("id").distinct(), "id", "left_semi")
-    cells = docs.join(lab, "id").groupBy("realm", "label").agg(F.count(F.lit(1)).alias("n_label_documents"), F.sum("w").alias("w"))
-    sizes = docs.groupBy("realm").agg(F.count(F.lit(1)).alias("n_documents"))
-    full = A.dense_grid([sizes, lab.select("label").distinct()], cells, ["realm", "label"], {"n_label_documents": 0, "w": 0.0})
-    total = F.sum("n_documents").over(W.partitionBy("label"))  # a row per realm
-    full = full.withColumns({"prevalence": F.col("n_label_documents") / F.col("n_documents"), "pooled_prevalence": F.sum("n_label_documents").over(W.partitionBy("label")) / total, "fractional_share": F.col("w") / F.col("n_documents")}).drop("w")
-    full = full.withColumn("lq", F.try_divide("prevalence", "pooled_prevalence")).withColumn("log2_lq", F.when(F.col("lq") > 0, F.log2("lq")).otherwise(F.lit(float("-inf"))))
-    return _r(full, "prevalence", "pooled_prevalence", "fractional_share", "lq", "log2_lq")
+    w = axes(spark, sf).select("id", (1.0 / F.size("labels")).alias("w"), F.explode("labels").alias("label"))
+    return _r(M.realm_summary(realms(spark, sf).select("id", "realm"), w, "realm"), "prevalence", "pooled_prevalence", "fractional_share", "lq", "log2_lq")
 
 
 def realm_exclusion_audit(spark, sf):
@@ -77,9 +72,7 @@ def realm_exclusion_audit(spark, sf):
 def conditional_annual_share(spark, sf):
     """Per realm and year: fractional share of PROMO, and of PROMO or SMALL the part that is PROMO."""
     w = realms(spark, sf).join(A.fractional_weights(labels(spark, sf)), "id")
-    promo, pair = F.sum(F.when(F.col("label") == "PROMO", F.col("w")).otherwise(0.0)), F.sum(F.when(F.col("label").isin("PROMO", "SMALL"), F.col("w")).otherwise(0.0))
-    out = w.groupBy("realm", "year").agg(promo.alias("p"), pair.alias("q"), F.sum("w").alias("t")).where("q > 0")
-    return _r(out.select("realm", "year", (F.col("p") / F.col("t")).alias("share"), (F.col("p") / F.col("q")).alias("conditional_share")), "share", "conditional_share")
+    return _r(M.conditional_share(w, ["realm", "year"], "label", "PROMO", ["PROMO", "SMALL"]), "share", "conditional_share")
 
 
 def outer_match_gap(spark, sf):
@@ -92,9 +85,7 @@ def outer_match_gap(spark, sf):
 def region_gap(spark, sf):
     ev = countries(spark, sf).select("id", "region").distinct().groupBy("region").agg(F.count(F.lit(1)).alias("evidence"))
     cu = realms(spark, sf).groupBy(F.col("cregion").alias("region")).agg(F.count(F.lit(1)).alias("need"))
-    w = W.partitionBy()  # a row per region
-    out = ev.join(cu, "region").withColumns({"evidence_share": 100 * F.col("evidence") / F.sum("evidence").over(w), "need_share": 100 * F.col("need") / F.sum("need").over(w)})
-    return _r(out.withColumn("gap", F.col("evidence_share") - F.col("need_share")), "evidence_share", "need_share", "gap")
+    return _r(M.share_gap(ev, cu, "region", "evidence", "need"), "evidence_share", "need_share", "gap")
 
 
 def regional_trend(spark, sf):
@@ -111,10 +102,8 @@ def pooled_dedup_region_evidence(spark, sf):
 def definition_sensitivity_rank(spark, sf):
     """Region shares under three definitions of weight, ranked within each."""
     li = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    wide = li.groupBy(F.col("r_name").alias("region")).agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).cast("double").alias("lines"), F.count_distinct("l_orderkey").cast("double").alias("orders"))
-    long = wide.unpivot(["region"], ["quantity", "lines", "orders"], "definition", "value")
-    long = long.withColumn("share_pct", F.round(100 * F.col("value") / F.sum("value").over(W.partitionBy("definition")), R))
-    return long.withColumn("rank", F.row_number().over(W.partitionBy("definition").orderBy(F.desc("share_pct"), "region")).cast("long")).drop("value")
+    wide = li.groupBy(F.col("r_name").alias("region")).agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("lines"), F.count_distinct("l_orderkey").alias("orders"))
+    return M.definition_shares(wide, "region", ["quantity", "lines", "orders"], R).drop("value")
 
 
 PATH = ("cregion", "nation", "realm", "priority")
@@ -142,21 +131,15 @@ def path_alignment(spark, sf):
 
 def exact_path_comparison(spark, sf):
     """Paths on both sides only; weights are balanced again over what is left of each record."""
-    s = countries(spark, sf).select("id", "region", "country").distinct()
-    known = realms(spark, sf).where("year >= 1999").select(F.col("cregion").alias("region"), F.col("nation").alias("country")).distinct()
-    left = s.join(known, ["region", "country"], "left_semi")
-    out = A.fractional_weights(left).groupBy("region", "country").agg(F.sum("w").alias("weight"))
-    return _r(out.withColumn("share_pct", 100 * F.col("weight") / F.sum("weight").over(W.partitionBy())), "weight", "share_pct")
+    known = realms(spark, sf).where("year >= 1999").select(F.col("cregion").alias("region"), F.col("nation").alias("country"))
+    return _r(M.common_path_weights(countries(spark, sf), known, ["region", "country"]), "weight", "share_pct")
 
 
 def largest_remainder_percent(spark, sf):
     """Whole per cents of nations' customers that add up to 100 in each region."""
     n = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "n_name").agg(F.count(F.lit(1)).alias("n"))
-    raw = (100 * F.col("n") / F.sum("n").over(W.partitionBy("n_regionkey"))).alias("raw")
-    n = n.select("n_regionkey", "n_name", "n", raw).withColumn("base", F.floor("raw"))
-    left = 100 - F.sum("base").over(W.partitionBy("n_regionkey"))
-    r = F.row_number().over(W.partitionBy("n_regionkey").orderBy(F.desc(F.round(F.col("raw") - F.col("base"), 9)), "n_name"))
-    return n.withColumn("pct", (F.col("base") + F.when(r <= left, 1).otherwise(0)).cast("long")).select("n_regionkey", "n_name", "pct")
+    n = n.withColumn("raw", F.round(100 * F.col("n") / F.sum("n").over(W.partitionBy("n_regionkey")), 9))
+    return B.rounded_to_whole(n, "raw", "n_name", ["n_regionkey"], out="pct").select("n_regionkey", "n_name", "pct")
 
 
 _P = {k: " || ' > ' || ".join(PATH[:k]) for k in range(1, 5)}

@@ -40,10 +40,21 @@ def label_patterns(spark, sf):
     return B.patterns(labels(spark, sf)).select(F.array_join("pattern", ";").alias("pattern"), "n")
 
 
+SPECS = ("main", "counts", "single", "open", "early", "urgent")
+
+
 def specification_sensitivity(spark, sf):
-    w = A.fractional_weights(labels(spark, sf)).groupBy("label").agg(F.sum("w").alias("main"), F.count(F.lit(1)).cast("double").alias("counts"), F.sum(F.when(F.col("w") > 0.99, 1.0).otherwise(0.0)).alias("single"))
+    """Fractional shares against five other specifications: full counts, single labels, open orders, early years and
+    urgent orders only."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus", F.year("o_orderdate").alias("y"), "o_orderpriority")
+    w = A.fractional_weights(labels(spark, sf)).join(orders, "id")
+    only = lambda test: F.sum(F.when(test, F.col("w")).otherwise(0.0))
+    w = w.groupBy("label").agg(
+        F.sum("w").alias("main"), F.count(F.lit(1)).cast("double").alias("counts"), F.sum(F.when(F.col("w") > 0.99, 1.0).otherwise(0.0)).alias("single"), only(F.col("o_orderstatus") == "O").alias("open"), only(F.col("y") <= 1998).alias("early"),
+        only(F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
+    )
     share = lambda c: F.round(100 * F.col(c) / F.sum(c).over(A.W.partitionBy()), R).alias(c)  # noqa: E731  a row per label
-    long = w.select("label", *map(share, ("main", "counts", "single"))).unpivot(["label"], ["main", "counts", "single"], "spec", "value")
+    long = w.select("label", *map(share, SPECS)).unpivot(["label"], list(SPECS), "spec", "value")
     return _rounded(B.compare_specs(long, "spec", "label", "value", "main"), "spearman", "max_abs_change", "same_sign")
 
 
@@ -90,13 +101,13 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 
-_LW = "lw AS (SELECT label, 1.0::DOUBLE / count(*) OVER (PARTITION BY id) AS w FROM lab)"
 
 ORACLES = {
     "label_patterns": f"WITH {SQL}, o AS (SELECT id, string_agg(label, ';' ORDER BY label) AS pattern FROM lab GROUP BY id) SELECT pattern, count(*) AS n FROM o GROUP BY pattern",
-    "specification_sensitivity": f"""WITH {SQL}, {_LW}, s AS (SELECT label, sum(w) AS main, count(*)::DOUBLE AS counts, sum(CASE WHEN w > 0.99 THEN 1.0 ELSE 0.0 END)::DOUBLE AS single FROM lw GROUP BY label),
-sh AS (SELECT label, round(100 * main / sum(main) OVER (), {R}) AS main, round(100 * counts / sum(counts) OVER (), {R}) AS counts, round(100 * single / sum(single) OVER (), {R}) AS single FROM s),
-l AS (SELECT 'counts' AS spec, label, counts AS v, main AS b FROM sh UNION ALL SELECT 'single', label, single, main FROM sh),
+    "specification_sensitivity": f"""WITH {SQL}, lw AS (SELECT l.label, 1.0::DOUBLE / count(*) OVER (PARTITION BY id) AS w, o_orderstatus AS st, year(o_orderdate) AS y, o_orderpriority AS pr FROM lab l JOIN orders ON id = o_orderkey),
+s AS (SELECT label, sum(w) AS main, count(*)::DOUBLE AS counts, sum(CASE WHEN w > 0.99 THEN 1.0 ELSE 0.0 END)::DOUBLE AS single, sum(CASE WHEN st = 'O' THEN w ELSE 0 END) AS open, sum(CASE WHEN y <= 1998 THEN w ELSE 0 END) AS early, sum(CASE WHEN pr = '1-URGENT' THEN w ELSE 0 END) AS urgent FROM lw GROUP BY label),
+sh AS (SELECT label, {", ".join(f"round(100 * {c} / sum({c}) OVER (), {R}) AS {c}" for c in SPECS)} FROM s),
+l AS ({" UNION ALL ".join(f"SELECT '{c}' AS spec, label, {c} AS v, main AS b FROM sh" for c in SPECS[1:])}),
 k AS (SELECT *, rank() OVER (PARTITION BY spec ORDER BY v) + (count(*) OVER (PARTITION BY spec, v) - 1) / 2 AS x, rank() OVER (PARTITION BY spec ORDER BY b) + (count(*) OVER (PARTITION BY spec, b) - 1) / 2 AS y FROM l)
 SELECT spec, count(*) AS n, round(corr(x, y), {R}) AS spearman, round(max(abs(v - b)), {R}) AS max_abs_change, round(avg((sign(v) = sign(b))::INT), {R}) AS same_sign FROM k GROUP BY spec""",
     "whole_percent": f"WITH {SQL}, c AS (SELECT label, count(*) AS n FROM lab GROUP BY label), s AS (SELECT *, 100 * n / sum(n) OVER () AS sh FROM c), r AS (SELECT *, row_number() OVER (ORDER BY sh - floor(sh) DESC, label) AS r, sum(floor(sh)) OVER () AS t FROM s) SELECT label, n, (floor(sh) + CASE WHEN r <= 100 - t THEN 1 ELSE 0 END)::BIGINT AS whole FROM r",
