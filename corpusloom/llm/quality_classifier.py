@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import crc_of, materialize, table
+from corpusloom.llm.common import crc_of, materialize, named, table
 
 FEATURES = (
     "log_words", "word_length", "upper_share", "symbol_share", "digit_share", "punctuation_share", "letter_share",
@@ -134,7 +134,9 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score threshold or more, learnt as classify() does; all columns, no shuffle of texts."""
+    """The rows of docs that score threshold or more, learnt as classify() does; all columns, whatever their names, no
+    shuffle of texts. A null or empty text is scored as one of no words; repeated rows share their fate; an empty table
+    gives an empty one, and without labels all rows stay (every score is a half)."""
     known = labels.groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).alias("label"))
     learnt = docs.where(crc_of(F.col(doc_id)) % FOLDS != 0)
     model = fit(with_statistics(learnt, doc_id, text).join(known, "doc_id"))  # statistics are shuffled at most, no texts
@@ -143,7 +145,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     def good(t: pd.Series) -> pd.Series:
         return pd.Series(model.scores(np.stack([statistics(x) for x in t])) >= threshold if len(t) else np.zeros(0, bool))
 
-    return docs.where(good(F.col(text)))
+    return docs.where(good(named(text)))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
