@@ -211,14 +211,15 @@ def frequent(profiled: DataFrame, limit: int = FREQUENT) -> tuple[np.ndarray, fl
 
 
 def with_keys(docs: DataFrame, often: np.ndarray, boundary: int, percent: int = PERCENT, width: int = SHINGLE_WORDS) -> DataFrame:
-    """f1, f2, n, rare (shingles that are not frequent), parity bits and keys of every document."""
+    """f1, f2, n, rare (shingles that are not frequent), parity bits, prefix (of light sets) and keys of every document:
+    first the pairs of prefix shingles, row by row of their triangle, then the single ones."""
     shared = docs.sparkSession.sparkContext.broadcast(often)  # at most MAX_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         mask = np.uint64(len(bits) * 64 - 1)
         for batch in batches:
-            rows, keys, wide = [], [], []
+            rows, keys, wide, prefixes = [], [], [], []
             for t in batch.column(0):
                 s = shingles(t.as_py(), width)
                 n = len(s)
@@ -232,14 +233,35 @@ def with_keys(docs: DataFrame, often: np.ndarray, boundary: int, percent: int =
                     if 100 * n >= percent * (boundary + 1):
                         own.append(mixed(ordered[: prefix(n, 1, percent)] ^ _M2))
                 keys.append(np.concatenate(own).view(np.int64))
+                prefixes.append(ordered[: prefix(n, 2, percent)].view(np.int64) if n <= boundary else None)
                 rows.append((*fingerprint(s), n, int(n - last.sum()), *parity(s)))
                 wide.append(parity(s, WIDE_BITS) if n > WIDE_FROM else None)
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 8)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(wide, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["f1", "f2", "n", "rare", *BITS, "wide", "keys"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(wide, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["f1", "f2", "n", "rare", *BITS, "wide", "prefix", "keys"])
 
-    return docs.select("text").mapInArrow(run, "f1 long, f2 long, n long, rare long, b0 long, b1 long, b2 long, b3 long, wide array<long>, keys array<long>")
+    return docs.select("text").mapInArrow(run, "f1 long, f2 long, n long, rare long, b0 long, b1 long, b2 long, b3 long, wide array<long>, prefix array<long>, keys array<long>")
+
+
+def with_shingles(keyed: DataFrame) -> DataFrame:
+    """keyed (prefix, and pos, a key's place among its set's) with s0 and s1, the key's shingles; s1 is null of a single
+    one, both are null of a set without a prefix."""
+    p, pos = F.size("prefix").cast("long"), F.col("pos").cast("long")
+    total = F.floor(p * (p - 1) / 2)
+    pair = pos < total
+    i = F.when(pair, p - 2 - F.floor(F.sqrt((4 * p * (p - 1) - 8 * pos - 7).cast("double")) / 2 - 0.5)).otherwise(pos - total)
+    j = pos + i + 1 - total + F.floor((p - i) * (p - i - 1) / 2)
+    at = lambda k: F.get("prefix", k.cast("int"))
+    return keyed.withColumns({"s0": at(i), "s1": F.when(pair, at(j))})
+
+
+def first_key(x: str, y: str) -> Column:
+    """Whether a key is the first of those that two sets share: that of the first shingles that both prefixes hold. Both are
+    in one order. True where a set has no prefix here."""
+    both = F.array_intersect(f"{x}prefix", f"{y}prefix")
+    first = F.get(both, F.lit(0)).eqNullSafe(F.col(f"{x}s0")) & (F.col(f"{x}s1").isNull() | F.get(both, F.lit(1)).eqNullSafe(F.col(f"{x}s1")))
+    return F.col(f"{x}prefix").isNull() | F.col(f"{y}prefix").isNull() | first
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
@@ -303,13 +325,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     boundary = best_boundary(histogram, length, percent)
     # one class per distinct set; hot sets are combined before the shuffle
     classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("first"))
-    keyed = with_keys(docs, often, boundary, percent, width).where("n > 0").groupBy("f1", "f2", "n").agg(*[F.first(c).alias(c) for c in ("rare", *BITS, "wide", "keys")])
+    keyed = with_keys(docs, often, boundary, percent, width).where("n > 0").groupBy("f1", "f2", "n").agg(*[F.first(c).alias(c) for c in ("rare", *BITS, "wide", "prefix", "keys")])
     with_posts = materialize(classes.join(keyed, ["f1", "f2", "n"]).withColumn("cid", F.monotonically_increasing_id()), "classes-keys")
     classes = materialize(with_posts.drop("keys"), "classes")
 
-    posted = with_posts.select(F.explode("keys").alias("key"), "cid", "n", "rare")
+    posted = with_posts.select(F.posexplode("keys").alias("pos", "key"), "cid", "n", "rare")
     pivots = posted.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rare", "cid", "n")).alias("p")).where("m > 1").select(F.col("key").alias("k"), F.col("p.cid").alias("pivot"), F.col("p.n").alias("pn"))
-    shared = materialize(posted.join(pivots, F.col("key") == F.col("k")).select("key", "cid", "n", "pivot", "pn"), "shared-keys")
+    shared = materialize(posted.join(pivots, F.col("key") == F.col("k")).select("key", "pos", "cid", "n", "pivot", "pn"), "shared-keys")
     release(with_posts)
     fits = lambda x, y: f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
     star = shared.where("cid <> pivot").where(fits("n", "pn")).select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
@@ -322,14 +344,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # what is left: members of a key in different components
     marked = labelled(shared)
     mixed_keys = marked.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count(F.lit(1)) / CHUNK_MEMBERS).cast("int").alias("chunks")).where("lo < hi").select("k", "chunks")
-    left = marked.join(mixed_keys, F.col("key") == F.col("k")).select("key", "cid", "n", "pivot", "c", "chunks")
-    left = materialize(left.join(classes.select("cid", *BITS), "cid"), "unsettled")
+    left = marked.join(mixed_keys, F.col("key") == F.col("k")).select("key", "pos", "cid", "n", "pivot", "c", "chunks")
+    left = materialize(with_shingles(left.join(classes.select("cid", "prefix", *BITS), "cid")).drop("pos"), "unsettled")
     release(shared, component)
-    # a key of many members is spread over pairs of chunks; each pair of members meets in one
+    # a key of many members is spread over pairs of chunks; each pair of members meets in one. Near copies share hundreds of
+    # keys: they are a pair at the first of them only
     own, every = F.pmod(F.xxhash64("cid"), "chunks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     x, y = left.withColumn("i", own).withColumn("j", every).alias("x"), left.withColumn("j", own).withColumn("i", every).alias("y")
     alike = may_match("x.", "y.", percent)
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.c") < F.col("y.c")) & F.expr(fits("x.n", "y.n")) & alike & (F.col("x.cid") != F.col("x.pivot")) & (F.col("y.cid") != F.col("x.pivot")))
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.c") < F.col("y.c")) & F.expr(fits("x.n", "y.n")) & alike & (F.col("x.cid") != F.col("x.pivot")) & (F.col("y.cid") != F.col("x.pivot")) & first_key("x.", "y."))
     more = more.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
     found = verify(plausible(more, classes, percent), docs, classes, percent, width)
     component = materialize(connected_components(links.union(found)), "components")

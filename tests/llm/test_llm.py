@@ -289,3 +289,22 @@ def test_empty_tables(spark, docs):
     assert chat_format.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_jaccard_keys_name_their_shingles(spark):
+    """Of each key its shingles, from its place; and a pair of sets meets at one key only, the first they share."""
+    rng = np.random.default_rng(3)
+    rows, posted = [], []
+    for cid in range(12):
+        p = int(rng.integers(0, 30))
+        own = np.sort(rng.choice(40, p, replace=False)).tolist()
+        pairs = [(own[i], own[j]) for i, j in zip(*np.triu_indices(p, 1))]
+        for pos, k in enumerate([*pairs, *[(x, None) for x in own]]):
+            posted.append((cid, own, pos, k[0], k[1]))
+        rows.append(set(pairs))
+    df = jaccard_join.with_shingles(spark.createDataFrame(posted, "cid int, prefix array<long>, pos int, a long, b long")).cache()
+    assert df.where("not (s0 <=> a) or not (s1 <=> b)").count() == 0
+    x, y = df.where("s1 is not null").alias("x"), df.where("s1 is not null").alias("y")
+    met = x.join(y, (F.col("x.s0") == F.col("y.s0")) & (F.col("x.s1") == F.col("y.s1")) & (F.col("x.cid") < F.col("y.cid")) & jaccard_join.first_key("x.", "y.")).select("x.cid", "y.cid").collect()
+    want = {(i, j) for i in range(12) for j in range(i + 1, 12) if rows[i] & rows[j]}
+    assert len(met) == len(set(met)) == len(want) and set(map(tuple, met)) == want
