@@ -7,10 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from corpusloom.operators.contracts import assert_same_keys, assert_unique_key, match_sides
 
-_ALL = W.partitionBy()  # for tables of a row per label, region or the like
+
+def _whole() -> WindowSpec:
+    """For tables of a row per label, region or the like."""
+    return W.partitionBy()
 
 
 def level_masks(df: DataFrame, levels: Sequence[tuple[str, Sequence[str]]], banned: Sequence[str]) -> DataFrame:
@@ -30,7 +34,7 @@ def vocabulary_counts(df: DataFrame, column: str, vocabulary: Sequence[str], wha
     grid = df.sparkSession.createDataFrame([(v,) for v in vocabulary], f"{column} string")
     full = grid.join(counts, column, "left")
     n = F.when(F.col("n").isNull(), F.raise_error(F.concat(F.lit(f"no record of {what} "), F.col(column))).cast("long")).otherwise(F.col("n"))
-    return full.withColumn("n", n).withColumn("share_pct", 100 * F.col("n") / F.sum("n").over(_ALL))
+    return full.withColumn("n", n).withColumn("share_pct", 100 * F.col("n") / F.sum("n").over(_whole()))
 
 
 def label_legend(df: DataFrame, labels: str, skip: Sequence[str] = ("Not Applicable",), top: int | None = None, other: str = "Other") -> DataFrame:
@@ -80,7 +84,7 @@ def definition_shares(wide: DataFrame, key: str, definitions: Sequence[str], dig
 
 def against_benchmark(own: DataFrame, benchmark: DataFrame, key: str, value: str, expected: str) -> DataFrame:
     """key, share, expected, gap, ratio, log2_ratio, flag over the keys that both have: shares in per cent."""
-    j = own.join(benchmark, key).select(key, (100 * F.col(value) / F.sum(value).over(_ALL)).alias("share"), (100 * F.col(expected) / F.sum(expected).over(_ALL)).alias("expected"))
+    j = own.join(benchmark, key).select(key, (100 * F.col(value) / F.sum(value).over(_whole())).alias("share"), (100 * F.col(expected) / F.sum(expected).over(_whole())).alias("expected"))
     j = j.withColumns({"gap": F.col("share") - F.col("expected"), "ratio": F.try_divide("share", "expected")})
     return j.withColumns({"log2_ratio": F.when(F.col("ratio") > 0, F.log2("ratio")), "flag": F.when(F.col("ratio") > 1, "over").otherwise("under")})
 
@@ -95,7 +99,7 @@ def covering_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def share_gap(left: DataFrame, right: DataFrame, key: str, value: str, other: str) -> DataFrame:
     """key, both values, their shares in per cent and the gap; the tables must cover the same keys."""
-    out = covering_join(left, right, key).withColumns({f"{c}_share": 100 * F.col(c) / F.sum(c).over(_ALL) for c in (value, other)})
+    out = covering_join(left, right, key).withColumns({f"{c}_share": 100 * F.col(c) / F.sum(c).over(_whole()) for c in (value, other)})
     return out.withColumn("gap", F.col(f"{value}_share") - F.col(f"{other}_share"))
 
 
@@ -151,4 +155,4 @@ def common_path_weights(paths: DataFrame, benchmark: DataFrame, columns: Sequenc
     that each record weighs 1."""
     left = paths.select(id_col, *columns).distinct().join(benchmark.select(*columns).distinct(), list(columns), "left_semi")
     w = left.withColumn("_w", 1.0 / F.count(F.lit(1)).over(W.partitionBy(id_col)))
-    return w.groupBy(*columns).agg(F.sum("_w").alias("weight")).withColumn("share_pct", 100 * F.col("weight") / F.sum("weight").over(_ALL))
+    return w.groupBy(*columns).agg(F.sum("_w").alias("weight")).withColumn("share_pct", 100 * F.col("weight") / F.sum("weight").over(_whole()))
