@@ -43,6 +43,8 @@ BROADCAST_IDS = 1_000_000
 PART_BYTES, WIDE_PART_BYTES = 4e6, 64e6
 #: Members of a key that are held against each other in one task; a key with more is cut into pairs of chunks.
 CHUNK_MEMBERS = 2000
+#: Longest prefix that travels with a set's keys, to tell the first key of a pair; sets with longer ones are pairs at every key.
+TOLD_PREFIX = 128
 #: Shingles that a task sorts at a time; bytes of text split at a time.
 FLUSH, TEXT_BLOCK = 4_000_000, 1 << 23
 BITS = ("b0", "b1", "b2", "b3")
@@ -211,7 +213,7 @@ def frequent(profiled: DataFrame, limit: int = FREQUENT) -> tuple[np.ndarray, fl
 
 
 def with_keys(docs: DataFrame, often: np.ndarray, boundary: int, percent: int = PERCENT, width: int = SHINGLE_WORDS) -> DataFrame:
-    """f1, f2, n, rare (shingles that are not frequent), parity bits, prefix (of light sets) and keys of every document:
+    """f1, f2, n, rare (shingles that are not frequent), parity bits, prefix (a short one) and keys of every document:
     first the pairs of prefix shingles, row by row of their triangle, then the single ones."""
     shared = docs.sparkSession.sparkContext.broadcast(often)  # at most MAX_BITS bits
 
@@ -233,7 +235,7 @@ def with_keys(docs: DataFrame, often: np.ndarray, boundary: int, percent: int =
                     if 100 * n >= percent * (boundary + 1):
                         own.append(mixed(ordered[: prefix(n, 1, percent)] ^ _M2))
                 keys.append(np.concatenate(own).view(np.int64))
-                prefixes.append(ordered[: prefix(n, 2, percent)].view(np.int64) if n <= boundary else None)
+                prefixes.append(ordered[: prefix(n, 2, percent)].view(np.int64) if prefix(n, 2, percent) <= TOLD_PREFIX else None)
                 rows.append((*fingerprint(s), n, int(n - last.sum()), *parity(s)))
                 wide.append(parity(s, WIDE_BITS) if n > WIDE_FROM else None)
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
@@ -244,11 +246,11 @@ def with_keys(docs: DataFrame, often: np.ndarray, boundary: int, percent: int =
     return docs.select("text").mapInArrow(run, "f1 long, f2 long, n long, rare long, b0 long, b1 long, b2 long, b3 long, wide array<long>, prefix array<long>, keys array<long>")
 
 
-def with_shingles(keyed: DataFrame) -> DataFrame:
+def with_shingles(keyed: DataFrame, light: Column) -> DataFrame:
     """keyed (prefix, and pos, a key's place among its set's) with s0 and s1, the key's shingles; s1 is null of a single
-    one, both are null of a set without a prefix."""
+    one, both are null of a set without a prefix. light sets have pairs before their single ones."""
     p, pos = F.size("prefix").cast("long"), F.col("pos").cast("long")
-    total = F.floor(p * (p - 1) / 2)
+    total = F.when(light, F.floor(p * (p - 1) / 2)).otherwise(F.lit(0).cast("long"))
     pair = pos < total
     i = F.when(pair, p - 2 - F.floor(F.sqrt((4 * p * (p - 1) - 8 * pos - 7).cast("double")) / 2 - 0.5)).otherwise(pos - total)
     j = pos + i + 1 - total + F.floor((p - i) * (p - i - 1) / 2)
@@ -345,7 +347,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     marked = labelled(shared)
     mixed_keys = marked.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count(F.lit(1)) / CHUNK_MEMBERS).cast("int").alias("chunks")).where("lo < hi").select("k", "chunks")
     left = marked.join(mixed_keys, F.col("key") == F.col("k")).select("key", "pos", "cid", "n", "pivot", "c", "chunks")
-    left = materialize(with_shingles(left.join(classes.select("cid", "prefix", *BITS), "cid")).drop("pos"), "unsettled")
+    left = materialize(with_shingles(left.join(classes.select("cid", "prefix", *BITS), "cid"), F.col("n") <= boundary).drop("pos"), "unsettled")
     release(shared, component)
     # a key of many members is spread over pairs of chunks; each pair of members meets in one. Near copies share hundreds of
     # keys: they are a pair at the first of them only

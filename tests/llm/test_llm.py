@@ -302,7 +302,7 @@ def test_jaccard_keys_name_their_shingles(spark):
         for pos, k in enumerate([*pairs, *[(x, None) for x in own]]):
             posted.append((cid, own, pos, k[0], k[1]))
         rows.append(set(pairs))
-    df = jaccard_join.with_shingles(spark.createDataFrame(posted, "cid int, prefix array<long>, pos int, a long, b long")).cache()
+    df = jaccard_join.with_shingles(spark.createDataFrame(posted, "cid int, prefix array<long>, pos int, a long, b long"), F.lit(True)).cache()
     assert df.where("not (s0 <=> a) or not (s1 <=> b)").count() == 0
     x, y = df.where("s1 is not null").alias("x"), df.where("s1 is not null").alias("y")
     met = x.join(y, (F.col("x.s0") == F.col("y.s0")) & (F.col("x.s1") == F.col("y.s1")) & (F.col("x.cid") < F.col("y.cid")) & jaccard_join.first_key("x.", "y.")).select("x.cid", "y.cid").collect()
