@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from corpusloom.llm import (
-    chat_format, embedding_dedup, jaccard_join, language_id, license_scan, mixing, packing, quality_classifier, quality_rules, url_filter,
+    chat_format, embedding_dedup, jaccard_join, language_id, license_scan, mixing, packing, piece_codec, quality_classifier, quality_rules, url_filter,
 )
 
-_MODULES = (quality_rules, quality_classifier, mixing, license_scan, packing, language_id, jaccard_join, chat_format, url_filter, embedding_dedup)
+_MODULES = (quality_rules, quality_classifier, mixing, license_scan, packing, language_id, jaccard_join, chat_format, url_filter, embedding_dedup, piece_codec)
 
 
 def queries() -> dict:
