@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.json_repair import repair_json
+
 _BODY = "model string, created_at string, output array<struct<type: string, content: array<struct<type: string, text: string>>>>"
 #: An output record: the body lies in a response, or in the record itself.
 ENVELOPE = f"custom_id string, error string, response struct<body: struct<{_BODY}>>, body struct<{_BODY}>"
@@ -27,12 +29,6 @@ def output_text(body_: Column) -> Column:
     return F.get(F.filter(parts, lambda p: p["type"] == "output_text"), F.lit(0))["text"]
 
 
-def repaired(text: Column) -> Column:
-    """What stands from the first bracket to the last, code fences and commas before a closing bracket taken out."""
-    inner = F.regexp_extract(F.regexp_replace(text, "```[a-zA-Z]*", ""), r"(?s)([{\[].*[}\]])", 1)
-    return F.regexp_replace(inner, r",(\s*[}\]])", "$1")
-
-
 def valid_json(text: Column) -> Column:
     """Whether a text is a JSON object or list. Never null."""
     opened = F.coalesce(F.regexp_replace(text, r"^\s+", "").substr(1, 1).isin("{", "["), F.lit(False))
@@ -40,9 +36,8 @@ def valid_json(text: Column) -> Column:
 
 
 def json_payload(text: Column) -> Column:
-    """The text if it is JSON, else the repaired text if that is, else null."""
-    fixed = repaired(text)
-    return F.when(valid_json(text), text).when(valid_json(fixed), fixed)
+    """The text if it is JSON, else its first object or list, repaired; null if it has none."""
+    return F.when(valid_json(text), text).otherwise(repair_json(text))
 
 
 def screening_steps(payload: Column) -> dict[str, Column]:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import payloads as P
+from corpusloom.functions.json_repair import repair_json
 from corpusloom.operators import predictions as O
 from corpusloom.sources.tables import labels, publications, table
 
@@ -40,6 +41,16 @@ def coded_outputs(spark, sf):
     return out.groupBy("driver").agg(F.count(F.lit(1)).alias("n"))
 
 
+def repaired_payloads(spark, sf):
+    """Each event's properties cut off at each length and repaired, and a payload of it with single quotes, a line break, bare
+    words and an open list, cut off as far."""
+    ev = table(spark, sf, "events").select("event_id", "event_type", "props", F.get_json_object("props", "$.k").alias("k"))
+    cut = ev.withColumn("cut", F.explode(F.sequence(F.lit(1), F.length("props"))))
+    loose = F.concat(F.lit("{'type': '"), "event_type", F.lit("\n', seen: [True, "), "k", F.lit(", None, {at: ["))
+    of = F.length(loose) - F.length("props") + F.col("cut")  # the last of it
+    return cut.select("event_id", "cut", repair_json(F.left("props", F.col("cut"))).alias("props"), repair_json(F.left(loose, of)).alias("loose"))
+
+
 def truth_for_predictions(spark, sf):
     preds = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", (F.col("n_chars") > 900).alias("predicted"))
     return O.truth_for_predictions(preds, table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
@@ -88,7 +99,7 @@ def cascade_requests(spark, sf):
     return lines.join(begins, "candidate_key").select("custom_id", "body", "at")
 
 
-QUERIES = {f.__name__: f for f in (model_output_steps, coded_outputs, truth_for_predictions, first_prediction, prediction_coverage, label_distribution, rater_agreement, cascade_outcomes, cascade_requests)}
+QUERIES = {f.__name__: f for f in (model_output_steps, coded_outputs, repaired_payloads, truth_for_predictions, first_prediction, prediction_coverage, label_distribution, rater_agreement, cascade_outcomes, cascade_requests)}
 
 _K = "props->>'k'"
 _CASC = """ord AS (SELECT o_orderkey AS id, o_orderstatus AS st, o_orderpriority AS pr, CASE c_mktsegment WHEN 'FURNITURE' THEN 'ECONOMY' WHEN 'MACHINERY' THEN 'PROMO' WHEN 'BUILDING' THEN 'LARGE' WHEN 'AUTOMOBILE' THEN 'MEDIUM' ELSE 'NONE' END AS label FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
@@ -99,6 +110,14 @@ ORACLES = {
       CASE event_type WHEN 'view' THEN '["a","b"]' WHEN 'click' THEN 'q' END AS s1_bio, CASE event_type WHEN 'click' THEN '0' WHEN 'purchase' THEN {_K} END AS s2_r, CASE event_type WHEN 'click' THEN 'negative' WHEN 'purchase' THEN 'positive' END AS s2_dir,
       CASE event_type WHEN 'view' THEN '1' END AS s3_r, CASE event_type WHEN 'view' THEN 'd' || ({_K}) END AS s3_drivers, NULL::VARCHAR AS s4_r, NULL::VARCHAR AS s4_link, CASE event_type WHEN 'view' THEN 'x' || ({_K}) END AS driver FROM events""",
     "coded_outputs": f"SELECT CASE event_type WHEN 'view' THEN 'x' || ({_K}) END AS driver, count(*) AS n FROM events GROUP BY ALL",
+    "repaired_payloads": """WITH c AS (SELECT event_id, event_type, props, props->>'k' AS k, unnest(range(1, length(props) + 1)) AS cut FROM events),
+      t AS (SELECT *, length(props) - cut AS off, '{"type":"' || event_type || '\\n","seen":[true' AS head FROM c)
+      SELECT event_id, cut::INTEGER AS cut,
+        CASE WHEN cut = 1 THEN '{}' WHEN cut = 2 THEN '{"":""}' WHEN cut <= 6 THEN '{"k":""}' ELSE '{"k":' || left(k, cut - 6) || '}' END AS props,
+        head || CASE
+          WHEN off = 0 THEN ',' || k || ',null,{"at":[]}]}' WHEN off <= 3 THEN ',' || k || ',null,{"at":""}]}' WHEN off = 4 THEN ',' || k || ',null,{"a":""}]}' WHEN off = 5 THEN ',' || k || ',null,{}]}'
+          WHEN off <= 8 THEN ',' || k || ',null]}' ELSE '' END AS loose
+      FROM t""",
     "truth_for_predictions": "SELECT d.doc_id, n_chars > 900 AS predicted, quality FROM documents d LEFT JOIN labels USING (doc_id) WHERE lang = 'en'",
     "first_prediction": "SELECT c_custkey, c_mktsegment, o_orderpriority AS pred_priority, o_orderstatus AS pred_status FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) o ON o_custkey = c_custkey AND r = 1",
     "prediction_coverage": "SELECT count(*) AS total, count(k) AS covered, count(*) - count(k) AS missing FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 400000) ON k = c_custkey",

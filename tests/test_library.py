@@ -23,9 +23,9 @@ def one(spark, c):
 
 
 def test_payload_repair(spark):
-    texts = ['{"a": 1}', 'so:\n```json\n[{"a": [1, 2,],}]\n```', "{broken", "", None, "12", '{"a": "x,}"}']
+    texts = ['{"a": 1}', 'so:\n```json\n[{"a": [1, 2,],}]\n```', '{"a": [1, {"b": "x', "", None, "12", '{"a": "x,}"}']
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    assert [r.x for r in df.orderBy("i").select(P.json_payload(F.col("t")).alias("x")).collect()] == ['{"a": 1}', '[{"a": [1, 2]}]', None, None, None, None, '{"a": "x,}"}']
+    assert [r.x for r in df.orderBy("i").select(P.json_payload(F.col("t")).alias("x")).collect()] == ['{"a": 1}', '[{"a":[1,2]}]', '{"a":[1,{"b":"x"}]}', None, None, None, '{"a": "x,}"}']
 
 
 def test_predictions_are_checked(spark):
