@@ -1,13 +1,15 @@
-"""SentencePiece encoding and decoding over a table of distinct chunks.
-
-No piece of the model runs on past a whitespace marker, nor over a character that is in no piece, so a
-text's pieces are those of its chunks: runs of markers, or one such character, with what follows up to
-the next. Each distinct chunk of the corpus is segmented once, whatever the number of texts that hold it,
-and its ids are put back by position.
-
-The chunks that occur most, HEAD_ROWS of HEAD_BYTES at most, are broadcast; texts that hold others too get
-those by a join on the chunk, and meet them by one shuffle of these texts alone. A chunk of the tail occurs
-no more often than any of the head, so its join has no hot key; chunks too long for the head are salted.
+"""SentencePiece encoding and decoding over distinct chunks.
+
+No piece of the model runs on past a whitespace marker, nor from a letter to a sign that stands beside no
+letter in any piece, so a text's pieces are those of its chunks: words with the markers before them, and
+signs. Each distinct chunk is segmented once, whatever the number of texts that hold it, and its ids are
+put back by position.
+
+Which chunks are frequent is learnt from SAMPLE_ROWS texts; HEAD_ROWS of them at most are segmented and
+broadcast. This choice bears on cost alone: any other chunk is sent, once a text, to the one task of that
+chunk, which segments it and sends its ids to the texts. A text itself travels as numbers of its chunks,
+and meets those ids in one shuffle. Chunks of the tail are rare by the choice of the head; those that are
+too long for the head are salted.
 """
 
 from __future__ import annotations
@@ -23,17 +25,19 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, named, numbered, rows_in, table
+from corpusloom.llm.common import named, numbered, table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Chunks that are broadcast, at most, and the longest of them in bytes: about 100 MB in a worker.
+#: Texts from which the head is chosen, about.
+SAMPLE_ROWS = 20_000
+#: Chunks that are broadcast, at most, and the longest of them in bytes: about 60 MB in a worker.
 HEAD_ROWS, HEAD_BYTES = 262_144, 48
 #: Chunks that a task counts before it hands its counts on, and the bytes of them.
 COUNTED_ROWS, COUNTED_BYTES = 400_000, 32 << 20
-#: A chunk too long for the head is joined in so many shares of its texts.
+#: A chunk too long for the head has so many tasks.
 LONG_SHARES = 16
-#: Bytes of text whose results make a batch.
+#: Bytes of results that make a batch.
 OUT_BYTES = 4 << 20
 
 
@@ -53,21 +57,38 @@ class Codec:
             raise ValueError("the model must leave texts as they are, mark spaces before words, merge pairs and have no pieces of the user's")
         if any(MARK in p.lstrip(MARK) for p in pieces) or MARK not in pieces:
             raise ValueError("a piece of the model crosses a whitespace marker")
-        alone = "".join(c for c in "\n\t" if not any(c in p for p in pieces))
-        self.chunk = re.compile(f"{MARK}+[^{MARK}{alone}]*" + (f"|[{alone}][^{MARK}{alone}]*" if alone else ""))
+        # single signs stand beside nothing in any piece; others may stand beside each other and markers only
+        beside = {pair for p in pieces for pair in zip(p, p[1:])}
+        signs = {c for c in {*map(chr, range(128)), *"".join(pieces)} if not c.isalpha() and c not in (MARK, " ")}
+        single = sorted(s for s in signs if not any(s in pair for pair in beside))
+        apart = signs.difference(single)
+        while crossed := {s for a, b in beside for s, other in ((a, b), (b, a)) if s in apart and other != MARK and other not in apart}:
+            apart -= crossed
+        if not single:
+            raise ValueError("the model has no sign that stands apart from all others")
+        self.lead, self.led = single[0], len(self.model.encode(single[0], num_threads=1))
+        one, some = re.escape("".join(single)), re.escape("".join(sorted(apart)))
+        self.chunk = re.compile(f"[{one}]|{MARK}*[^{MARK}{one}{some}]+" + (f"|{MARK}*[{some}]+" if some else "") + f"|{MARK}+")
+        self.kind = np.uint16 if self.model.get_piece_size() <= 1 << 16 else np.int32  # of ids between tasks
+        self.pieces = [None if self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i) else self.model.id_to_piece(i).replace(MARK, " ") for i in range(self.model.get_piece_size())]
 
     def chunks(self, text: str) -> list[str]:
         return self.chunk.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def segment(self, chunk: str) -> tuple[list[int], str]:
-        """Its ids within a text, and what they decode to there."""
-        if chunk == MARK:
-            return [self.model.piece_to_id(MARK)], " "
-        if chunk[0] == MARK:  # encode() puts the first marker there itself, decode() takes it away
+    def segment(self, chunk: str) -> bytes:
+        """Its ids within a text."""
+        if chunk[0] == MARK and chunk != MARK:  # encode() puts the first marker there itself
             ids = self.model.encode(chunk[1:], num_threads=1)
-            return ids, " " + self.model.decode(ids)
-        ids = self.model.encode(chunk, num_threads=1)[1:]
-        return ids, self.model.decode(ids)
+        else:
+            ids = self.model.encode(self.lead + chunk, num_threads=1)[self.led :]
+        return np.asarray(ids, self.kind).tobytes()
+
+    def said(self, ids: bytes) -> str:
+        """What the ids of a chunk decode to within a text. Bytes of a character never lie in two chunks."""
+        found = [self.pieces[i] for i in np.frombuffer(ids, self.kind).tolist()]
+        if None not in found:
+            return "".join(found)
+        return self.model.decode([*self.model.encode(self.lead, num_threads=1), *np.frombuffer(ids, self.kind).tolist()])[1:]
 
 
 @functools.cache
@@ -85,19 +106,17 @@ def _count(model: str | None) -> Callable:
         chunks, seen, size = codec(model).chunks, Counter(), 0
 
         def told() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"chunk": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
+            short = {c: n for c, n in seen.items() if len(c.encode()) <= HEAD_BYTES}
             seen.clear()
-            return out
+            return pa.RecordBatch.from_pydict({"chunk": pa.array(short.keys(), pa.string()), "n": pa.array(short.values(), pa.int64())})
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if text:
-                    new, before = chunks(text), len(seen)
-                    seen.update(new)
-                    size += (len(text) * (len(seen) - before)) // max(1, len(new))
-                    if len(seen) > COUNTED_ROWS or size > COUNTED_BYTES:
-                        yield told()
-                        size = 0
+                seen.update(chunks(text or ""))
+                size += len(text or "")
+                if len(seen) > COUNTED_ROWS or size > COUNTED_BYTES:
+                    yield told()
+                    size = 0
         if seen:
             yield told()
 
@@ -108,60 +127,157 @@ def _segment(model: str | None) -> Callable:
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(model).segment
         for batch in batches:
-            found = [one(c) for c in batch.column("chunk").to_pylist()]
-            ids = pa.array([np.asarray(i, np.int32).tobytes() for i, _ in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array([t for _, t in found], pa.string())], names=["chunk", "n", "ids", "said"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([one(c) for c in batch.column("chunk").to_pylist()], pa.binary())], names=["chunk", "n", "ids"])
 
     return segment
 
 
-def chunk_table(docs: DataFrame, text: str = "text", model: str | None = None) -> DataFrame:
-    """chunk, n, ids, said: every distinct chunk of the texts, how often it occurs, its ids (32-bit, little-endian)
-    and what they decode to. Null and empty texts have none."""
-    counted = docs.select(named(text).cast("string").alias("text")).mapInArrow(_count(model), "chunk string, n long")
-    distinct = counted.groupBy("chunk").agg(F.sum("n").alias("n"))
-    return distinct.mapInArrow(_segment(model), "chunk string, n long, ids binary, said string")
+def frequent_chunks(texts: DataFrame, head_rows: int, model: str | None = None) -> list[tuple[str, bytes]]:
+    """Chunks of the texts and their ids, head_rows at most, the most frequent first."""
+    counted = texts.mapInArrow(_count(model), "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    # steps of an eighth of a power of two: so many chunks of the highest counts as are within the bound
+    step, left, least = F.floor(8 * F.log2("n")), head_rows, None
+    for r in counted.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # a row a step, 504 at most
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r["step"]
+    if least is None:
+        return []
+    rows = counted.where(step >= least).mapInArrow(_segment(model), "chunk string, n long, ids binary").collect()  # head_rows at most
+    return [(r["chunk"], bytes(r["ids"])) for r in sorted(rows, key=lambda r: (-r["n"], r["chunk"]))]
+
 
+def _number(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
 
-def _batch(keys: list, kind: pa.DataType, ids: list[bytes], said: list[str]) -> pa.RecordBatch:
-    ends = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(keys, kind), lists, pa.array(said, pa.string())], names=["key", "ids", "decoded"])
 
+def _numbers(data: bytes) -> np.ndarray:
+    b = np.frombuffer(data, np.uint8)
+    ends = np.nonzero(b < 128)[0]
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    out = np.zeros(len(ends), np.int64)
+    for k in range(int((ends - starts).max()) + 1 if len(ends) else 0):
+        on = starts + k <= ends
+        out[on] |= (b[starts[on] + k].astype(np.int64) & 127) << 7 * k
+    return out
 
-def _put_back(model: str | None, head, wanted: str) -> Callable:
-    """Of texts, and of what the last column holds of their chunks beyond the head: the ids and decoded text of
-    those whose chunks are all known ("whole"), or the unknown chunks of the others ("unknown")."""
 
-    def put_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rare(model: str | None, head) -> Callable:
+    """f, i, at, chunk: each text's chunks beyond the head, each once, numbered from 1."""
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks, known = codec(model).chunks, head.value
         for batch in batches:
-            kind, more = batch.schema.field(0).type, batch.column(2).to_pylist() if batch.num_columns > 2 else None
-            keys, ids, said, size = [], [], [], 0
-            for k, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            rows, at, found, size = [], [], [], 0
+
+            def told() -> pa.RecordBatch:
+                where = pa.array(rows, pa.int64())
+                return pa.RecordBatch.from_arrays([batch.column("f").take(where), batch.column("i").take(where), pa.array(at, pa.int64()), pa.array(found, pa.string())], names=["f", "i", "at", "chunk"])
+
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                new = list(dict.fromkeys(c for c in chunks(text or "") if c not in known))
+                rows += [k] * len(new)
+                at += range(1, len(new) + 1)
+                found += new
+                size += sum(map(len, new))
+                if size > OUT_BYTES:
+                    yield told()
+                    rows, at, found, size = [], [], [], 0
+            if rows:
+                yield told()
+
+    return rare
+
+
+def _segment_runs(model: str | None) -> Callable:
+    """Ids of each row's chunk; rows come in the order of chunks, and a run of equal ones is segmented once."""
+
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, last, ids = codec(model).segment, None, b""
+        for batch in batches:
+            out = []
+            for chunk in batch.column("chunk").to_pylist():
+                if chunk != last:
+                    last, ids = chunk, one(chunk)
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([batch.column("f"), batch.column("i"), batch.column("at"), pa.array(out, pa.binary())], names=["f", "i", "at", "data"])
+
+    return segment
+
+
+def _by_number(model: str | None, head) -> Callable:
+    """Each text as the numbers of its chunks: those of the head, and after them its own others."""
+
+    def by_number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, known = codec(model).chunks, head.value
+        for batch in batches:
+            said = []
+            for text in batch.column("text").to_pylist():
                 own = chunks(text or "")
-                found = [known.get(c) for c in own] if more is None else None
-                if more is not None:
-                    extra = {e["chunk"]: (e["ids"], e["said"]) for e in more[k]}
-                    found = [known.get(c) or extra[c] for c in own]
-                lacks = more is None and None in found
-                if wanted == "unknown":
-                    new = list(dict.fromkeys(c for c, f in zip(own, found) if f is None)) if lacks else []
-                    keys += [key] * len(new)
-                    said += new
-                    size += sum(map(len, new))
-                elif not lacks:
-                    keys.append(key)
-                    ids.append(b"".join([i for i, _ in found]))
-                    said.append("".join([s for _, s in found])[1:])
-                    size += len(text or "") + 1
+                found = [known.get(c) for c in own]
+                if None in found:
+                    more = {c: _number(len(known) + k) for k, c in enumerate(dict.fromkeys(c for c, f in zip(own, found) if f is None))}
+                    found = [f or more[c] for f, c in zip(found, own)]
+                said.append(b"".join(found))
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("f"), batch.column("i"), pa.array([0] * n, pa.int64()), pa.array(said, pa.binary()), batch.column("key")], names=["f", "i", "at", "data", "key"])
+
+    return by_number
+
+
+def _put_together(model: str | None, listed) -> Callable:
+    """Ids and decoded text; a text's row of numbers comes before the ids of its other chunks."""
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(model)
+        ids_of = listed.value
+        said_of = [None] * len(ids_of)  # on demand
+        held, more, kind = None, [], pa.null()
+        keys, ids, said, size = [], [], [], 0
+
+        def finish() -> int:
+            numbers, n = _numbers(held[1]).tolist(), len(ids_of)
+            own = [ids_of[k] if k < n else more[k - n] for k in numbers]
+            words = []
+            for k, i in zip(numbers, own):
+                if k >= n:
+                    words.append(c.said(i))
+                else:
+                    if said_of[k] is None:
+                        said_of[k] = c.said(i)
+                    words.append(said_of[k])
+            keys.append(held[0])
+            ids.append(b"".join(own))
+            said.append("".join(words)[1:])  # the first marker is not the text's
+            return len(ids[-1]) + len(said[-1]) + 1
+
+        def batch_of() -> pa.RecordBatch:
+            width = np.dtype(c.kind).itemsize
+            ends = pa.array(np.cumsum([0, *(len(i) // width for i in ids)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), c.kind).astype(np.int32)))
+            return pa.RecordBatch.from_arrays([pa.array(keys, kind), lists, pa.array(said, pa.string())], names=["key", "ids", "decoded"])
+
+        for batch in batches:
+            kind = batch.schema.field("key").type
+            for at, data, key in zip(*(batch.column(n).to_pylist() for n in ("at", "data", "key"))):
+                if at:
+                    more.append(data)
+                    continue
+                size += finish() if held is not None else 0
+                held, more = (key, data), []
                 if size > OUT_BYTES:
-                    yield _batch(keys, kind, ids, said) if wanted == "whole" else pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(said, pa.string())], names=["row", "chunk"])
+                    yield batch_of()
                     keys, ids, said, size = [], [], [], 0
-            if keys:
-                yield _batch(keys, kind, ids, said) if wanted == "whole" else pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(said, pa.string())], names=["row", "chunk"])
+        if held is not None:
+            finish()
+            yield batch_of()
 
-    return put_back
+    return put_together
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None, head_rows: int = HEAD_ROWS) -> DataFrame:
@@ -173,32 +289,22 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
     names; an empty table gives an empty table. model is a path that every machine has.
     """
     spark, kind = docs.sparkSession, docs.select(named(key)).schema[0].dataType.simpleString()
-    base, row = numbered(docs.select(named(key).alias("key"), named(text).cast("string").alias("text")), "texts")
-    found = materialize(chunk_table(base, "text", model), "chunks")
-    # steps of an eighth of a power of two: so many chunks of the highest counts as are within the bound
-    step, fits = F.floor(8 * F.log2("n")), F.octet_length("chunk") <= HEAD_BYTES
-    left, least = head_rows, None
-    for r in found.where(fits).groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # a row a step, 504 at most
-        if r["count"] > left:
-            break
-        left, least = left - r["count"], r["step"]
-    in_head = fits & (step >= least) if least is not None else F.lit(False)
-    known = {r["chunk"]: (bytes(r["ids"]), r["said"]) for r in found.where(in_head).select("chunk", "ids", "said").collect()}  # head_rows at most
-    head, tail = spark.sparkContext.broadcast(known), found.where(~in_head).select("chunk", "ids", "said")
-    schema = f"key {kind}, ids array<int>, decoded string"
-    whole = base.select("key", "text").mapInArrow(_put_back(model, head, "whole"), schema)
-    if not tail.isEmpty():
-        rows = base.select(F.col(row).alias("row"), "text")
-        lacking = materialize(rows.mapInArrow(_put_back(model, head, "unknown"), "row struct<f: long, i: long>, chunk string"), "tail-chunks")
-        long = F.octet_length("chunk") > HEAD_BYTES
-        share = F.when(long, F.pmod(F.xxhash64("row"), F.lit(LONG_SHARES))).otherwise(0)
-        shares = F.explode(F.sequence(F.lit(0).cast("long"), F.when(long, LONG_SHARES - 1).otherwise(0).cast("long")))
-        joined = lacking.withColumn("share", share.cast("long")).join(tail.withColumn("share", shares), ["chunk", "share"])
-        extra = joined.groupBy("row").agg(F.collect_list(F.struct("chunk", "ids", "said")).alias("more"))
-        some = rows_in(base, row, lacking.select("row").distinct()).select(F.col(row).alias("row"), "key", "text")
-        met = some.join(extra, "row").select("key", "text", "more")
-        whole = whole.union(met.mapInArrow(_put_back(model, head, "whole"), schema))
-    return whole.withColumnRenamed("key", key)
+    base, row = numbered(docs, "texts")
+    place = F.col(row)
+    base = base.select(place["f"].alias("f"), place["i"].alias("i"), named(key).alias("key"), named(text).cast("string").alias("text"))
+    share = min(1.0, SAMPLE_ROWS / max(1, base.count()))
+    picked = F.pmod(F.xxhash64("f", "i"), F.lit(1 << 20)) < int(share * (1 << 20)) if share < 1 else F.lit(True)
+    head = frequent_chunks(base.where(picked).select("text"), head_rows, model)
+    known = spark.sparkContext.broadcast({c: _number(k) for k, (c, _) in enumerate(head)})
+    listed = spark.sparkContext.broadcast([i for _, i in head])
+    rare = base.select("f", "i", "text").mapInArrow(_rare(model, known), "f long, i long, at long, chunk string")
+    salt = F.when(F.octet_length("chunk") > HEAD_BYTES, F.pmod(F.xxhash64("f", "i"), F.lit(LONG_SHARES))).otherwise(0)
+    runs = rare.withColumn("share", salt).repartition("chunk", "share").sortWithinPartitions("chunk")
+    segmented = runs.mapInArrow(_segment_runs(model), "f long, i long, at long, data binary")
+    texts = base.mapInArrow(_by_number(model, known), f"f long, i long, at long, data binary, key {kind}")
+    both = texts.union(segmented.withColumn("key", F.lit(None).cast(kind)))
+    met = both.repartition("f", "i").sortWithinPartitions("f", "i", "at")
+    return met.mapInArrow(_put_together(model, listed), f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)
 
 
 def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,10 +40,16 @@ def test_odd_texts_with_heads_of_all_sizes(spark, library, head_rows):
     assert piece_codec.encode(docs.limit(0), head_rows=head_rows).count() == 0
 
 
-def test_each_distinct_chunk_is_in_the_table_once(spark):
-    docs = spark.createDataFrame([(1, "a b a b"), (2, "a  b\nb"), (3, None)], "doc_id long, text string")
-    got = {r.chunk: r.n for r in piece_codec.chunk_table(docs).collect()}
-    assert got == {"▁a": 3, "▁b": 2, "▁▁b": 1, "\nb": 1}
+def test_chunks_are_marked_words_and_signs():
+    c = piece_codec.codec()
+    assert c.chunks("a b, a1\n b") == ["▁a", "▁b", ",", "▁a", "1", "\n", "▁b"]
+    assert all("".join(c.chunks(t)) == "▁" + t.replace(" ", "▁") for _, t in ODD if t)
+
+
+def test_the_head_is_within_its_bound(spark):
+    texts = spark.createDataFrame([(" ".join(f"w{'abcdefghij'[i % 10]}x{'klm'[i % 3]}" for i in range(200)),)], "text string")
+    for rows in (0, 3, 1000):
+        assert len(piece_codec.frequent_chunks(texts, rows)) <= rows
 
 
 def test_a_model_whose_pieces_cross_markers_is_refused(tmp_path):
