@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corpusloom.sources.csv_records import fields, header, read_csv, read_records
+
 
 def staged(df: DataFrame) -> DataFrame:
     """df written to the shared folder of spark.checkpoint.dir and read again: what depends on sampled ranges or on row
@@ -49,11 +51,12 @@ def read_exports(spark: SparkSession, paths: Sequence[str], variants: Mapping[st
     number = F.create_map(*[F.lit(x) for p, n in order.items() for x in (_bare(p), n)])
     out: DataFrame | None = None
     for same in kinds.values():
-        raw = spark.read.option("multiLine", True).option("escape", '"').csv(same, header=True, sep=sep)
-        named = {c.strip().lstrip("\ufeff").lower(): c for c in reversed(raw.columns)}
+        columns = header(spark, same[0], sep)
+        named = {c.strip().lstrip("\ufeff").lower(): i for i, c in reversed(list(enumerate(columns)))}
         at = {want: next((named[v.lower()] for v in (want, *others) if v.lower() in named), None) for want, others in variants.items()}
-        file = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:/+", "/")
-        one = raw.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(want) for want, c in at.items()], F.element_at(number, file).alias("_file"), F.monotonically_increasing_id().alias("_at"))
+        raw = read_records(spark, same, sep).where("not (block = 0 and n = 0)").select(fields(F.col("record"), len(columns), sep).alias("r"), "file", "block", "n")
+        file = F.regexp_replace(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:/+", "/")
+        one = raw.select(*[(F.lit(None).cast("string") if i is None else F.col("r")[f"c{i}"]).alias(want) for want, i in at.items()], F.element_at(number, file).alias("_file"), F.struct("block", "n").alias("_at"))
         out = one if out is None else out.unionByName(one)
     held = out.where(F.length(F.trim(F.coalesce(F.col(key), F.lit("")))) > 0)
     best = held.groupBy(key).agg(F.min_by(F.struct(*[c for c in variants if c != key]), F.struct("_file", "_at")).alias("_v")) if len(variants) > 1 else held.select(key).distinct()
@@ -66,9 +69,8 @@ def _bare(path: str) -> str:
 
 
 def read_text_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """A CSV file whose fields may hold line breaks, all columns as strings, only the wanted ones parsed."""
-    out = spark.read.option("multiLine", True).option("escape", '"').option("inferSchema", False).csv(path, header=True)
-    return project(out, columns) if columns else out
+    """A CSV file whose fields may hold line breaks, the wanted columns as strings; a task a split."""
+    return read_csv(spark, path, columns)
 
 
 def split_outputs(df: DataFrame, test: Column, whole: str, some: str) -> tuple[DataFrame, DataFrame]:
@@ -112,8 +114,8 @@ def write_batches(requests: DataFrame, path: str, key: str, per_file: int) -> di
 
 
 def read_filtered_csv(spark: SparkSession, path: str, schema: StructType | str, flag: str) -> DataFrame:
-    """Rows whose flag is true, 1 or yes; columns that are not used are not parsed."""
-    return spark.read.schema(schema).option("multiLine", True).csv(path, header=True).where(F.lower(F.trim(F.col(flag).cast("string"))).isin("true", "1", "yes"))
+    """Rows whose flag is true, 1 or yes; a task a split."""
+    return read_csv(spark, path, schema=schema).where(F.lower(F.trim(F.col(flag).cast("string"))).isin("true", "1", "yes"))
 
 
 def read_strict_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
