@@ -2,9 +2,11 @@
 
 Records that are alike (one pattern of group, stratum, labels and weights) are counted first, and a
 replicate draws the patterns' numbers by the multinomial law, which is what drawing as many records
-with replacement comes to. Work grows with patterns x replicates, not with the records. A task draws
-some replicates of one resampled population from seed, population and replicate alone, so one that
-is lost and run again draws the same.
+with replacement comes to. A population's patterns lie in ranges of their hash, the leaves of a binary tree: each
+node deals its number of records out to its halves by the binomial law, and a range draws its own patterns given
+the number that reaches it. The halves' shares come from seed, population, replicates and node alone, so every range
+finds its number by itself, going down from the root, and a task that is lost and run again draws the same. No task
+holds a population; work is patterns x replicates.
 """
 
 from __future__ import annotations
@@ -13,51 +15,81 @@ import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Between the parts of a key.
 SEP = "\u001f"
-#: Replicates that a task draws at a time.
-CHUNK = 50
-
-
-def multinomial(counts: Sequence[int], seed: int, population: str, replicate: int) -> np.ndarray:
-    """One draw of sum(counts) records with replacement: how often each pattern comes."""
-    n = np.asarray(counts, np.int64)
-    rng = np.random.default_rng([seed, zlib.crc32(population.encode()), replicate])
-    return rng.multinomial(int(n.sum()), n / n.sum())
-
-
-def resampled(patterns: DataFrame, population: str, n: int, seed: int) -> DataFrame:
+#: Replicates that are drawn at a time, and patterns of a range, about.
+CHUNK, RANGE_PATTERNS = 50, 512
+#: Where there are fewer ranges than this, the replicates are spread over tasks too.
+MANY_RANGES = 256
+
+
+def range_totals(n: int, totals: Sequence[int], leaf: int, seed: int, population: str, first: int) -> np.ndarray:
+    """How many records of each of n replicates (numbered from first) fall into a range. totals: records of the nodes on the
+    way from the root to the range, both included; leaf: the range's number, whose bits are the way."""
+    depth, left = len(totals) - 1, np.full(n, totals[0], np.int64)
+    for d in range(depth):
+        node, bit = leaf >> depth - d, leaf >> depth - d - 1 & 1
+        lower = totals[d] - totals[d + 1] if bit else totals[d + 1]
+        rng = np.random.default_rng([seed, zlib.crc32(population.encode()), first, d, node])
+        drawn = rng.binomial(left, lower / totals[d])
+        left = left - drawn if bit else drawn
+    return left
+
+
+def draw_range(n: int, counts: Sequence[int], totals: Sequence[int], leaf: int, seed: int, population: str, first: int) -> np.ndarray:
+    """(n, patterns): how often each pattern of a range comes in n replicates."""
+    own = np.asarray(counts, np.int64)
+    rng = np.random.default_rng([seed, zlib.crc32(population.encode()), first, len(totals), leaf])
+    return rng.multinomial(range_totals(n, totals, leaf, seed, population, first), own / own.sum())
+
+
+def ranges(patterns: DataFrame, population: str, size: int = RANGE_PATTERNS) -> DataFrame:
+    """population, leaf, totals (of the nodes from the root to the range), patterns (array of items and n): a row a range."""
+    own = patterns.select(F.col(population).alias("population"), "items", F.col("n").cast("long").alias("n")).where("n > 0")
+    depths = own.groupBy("population").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / size))).cast("int").alias("depth"))
+    leaf = F.expr("if(depth = 0, 0L, shiftrightunsigned(xxhash64(items), 64 - depth))")
+    leaves = own.join(depths, "population").groupBy("population", "depth", leaf.alias("leaf")).agg(F.array_sort(F.collect_list(F.struct("items", "n"))).alias("patterns"), F.sum("n").alias("total"))
+    way = leaves.select("population", "leaf", "depth", "total", F.explode(F.sequence(F.lit(0), "depth")).alias("d")).withColumn("node", F.expr("shiftright(leaf, depth - d)"))
+    nodes = way.groupBy("population", "d", "node").agg(F.sum("total").alias("t"))
+    gone = way.join(nodes, ["population", "d", "node"]).groupBy("population", "leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "t"))), lambda x: x["t"]).alias("totals"))
+    return leaves.join(gone, ["population", "leaf"]).select("population", "leaf", "totals", "patterns")
+
+
+def resampled(patterns: DataFrame, population: str, n: int, seed: int, size: int = RANGE_PATTERNS) -> DataFrame:
     """r, key, x: the weight of each key in each of n replicates.
 
     patterns: population (text), items (array of key and w), n (records that are alike). The records of each population are
-    resampled by themselves. A population's patterns go to its tasks as one array: they are few; the replicates are spread
-    over tasks. A key that no record of a replicate has is absent."""
+    resampled by themselves. A key that no record of a replicate has is absent."""
     kind = dict(patterns.select(F.col("items")[0]["key"].alias("k")).dtypes)["k"]
-    held = patterns.groupBy(population).agg(F.array_sort(F.collect_list(F.struct("items", "n"))).alias("all"))
-    tasks = held.withColumn("first", F.explode(F.sequence(F.lit(1), F.lit(n), F.lit(CHUNK))))
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for row in b.itertuples():
-                counts = [p["n"] for p in row.all]
-                keys = sorted({i["key"] for p in row.all for i in p["items"]})
-                at = {k: j for j, k in enumerate(keys)}
-                w = np.zeros((len(counts), len(keys)))
-                for j, p in enumerate(row.all):
-                    for i in p["items"]:
-                        w[j, at[i["key"]]] += i["w"]
-                for r in range(row.first, min(n, row.first + CHUNK - 1) + 1):
-                    m = multinomial(counts, seed, getattr(row, population), r)
-                    there = m @ (w != 0) > 0
-                    yield pd.DataFrame({"r": r, "key": np.array(keys, object)[there], "x": (m @ w)[there]})
-
-    spread = tasks.select(population, "all", "first").repartition(F.col(population), F.col("first"))
-    return spread.mapInPandas(draw, f"r int, key {kind}, x double")
+    held = ranges(patterns, population, size)
+    spread = F.explode(F.sequence(F.lit(1), F.lit(n), F.lit(CHUNK)))
+    if patterns.count() < size * MANY_RANGES:
+        tasks = held.withColumn("first", spread).withColumn("firsts", F.array("first")).drop("first")
+    else:
+        tasks = held.withColumn("firsts", F.sequence(F.lit(1), F.lit(n), F.lit(CHUNK)))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for r in b.to_pylist()):
+            counts = [p["n"] for p in row["patterns"]]
+            entries = sorted(((i["key"], j, i["w"]) for j, p in enumerate(row["patterns"]) for i in p["items"] if i["w"]), key=lambda e: e[:2])
+            if not entries:
+                continue
+            of, w = np.array([e[1] for e in entries]), np.array([e[2] for e in entries], float)
+            starts = [k for k, e in enumerate(entries) if k == 0 or e[0] != entries[k - 1][0]]
+            keys = np.array([entries[k][0] for k in starts], object)
+            for first in row["firsts"]:
+                m = draw_range(min(CHUNK, n - first + 1), counts, row["totals"], row["leaf"], seed, row["population"], first)[:, of]
+                x = np.add.reduceat(m * w, starts, axis=1)
+                r, k = np.nonzero(np.add.reduceat(m, starts, axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array((r + first).astype(np.int32)), pa.array(keys[k]), pa.array(x[r, k])], names=["r", "key", "x"])
+
+    drawn = tasks.repartition("population", "leaf", F.col("firsts")[0]).mapInArrow(draw, f"r int, key {kind}, x double")
+    return drawn.groupBy("r", "key").agg(F.sum("x").alias("x"))
 
 
 def interval(by: Sequence[str], value: str, level: float = 0.95) -> list[Column]:
@@ -109,7 +141,7 @@ def standardized_bootstrap(cells: DataFrame, tiers: tuple[str, str], stratum: Se
     drawn = resampled(alike, "population", n, seed).select("r", F.from_json("key", "s string, tier string, label string").alias("k"), "x").select("r", "k.*", "x")
 
     def contrast(summed: DataFrame, keys: Sequence[str]) -> DataFrame:
-        s = summed.join(F.broadcast(fixed), "s").withColumn("s_", 100 * F.col("wt") * F.col("x") / F.sum("x").over(W.partitionBy(*keys, "s", "tier")))  # a row per stratum is broadcast
+        s = summed.join(fixed, "s").withColumn("s_", 100 * F.col("wt") * F.col("x") / F.sum("x").over(W.partitionBy(*keys, "s", "tier")))
         a, b = (F.sum(F.when(F.col("tier") == t, F.col("s_")).otherwise(0.0)) for t in tiers)
         return s.groupBy(*keys, "label").agg((a - b).alias("d"))
 

@@ -98,8 +98,8 @@ def test_pattern_bootstrap_matches_plain_numpy(spark):
     patterns = sorted({"".join(s) for s in sets.values()}, key=lambda s: [(c, 1 / len(s)) for c in s])
     counts = [sum(s == p for s in sets.values()) for p in patterns]
     drawn = []
-    for r in range(1, 201):
-        m = B.multinomial(counts, 3, "all", r)
+    draws = [m for first in range(1, 201, B.CHUNK) for m in B.draw_range(B.CHUNK, counts, [6], 0, 3, "all", first)]  # one range
+    for m in draws:
         assert m.sum() == 6
         x = {c: sum(k / len(p) for k, p in zip(m, patterns) if c in p) for c in "abc"}
         drawn.append([100 * x[c] / sum(x.values()) for c in "abc"])
@@ -117,10 +117,11 @@ def test_contrast_bootstrap_matches_plain_numpy(spark):
     order = {"g": [1, 0, 2], "h": [0, 1]}  # patterns as the operator sorts them: by label, then weight
     n = {"g": [1, 1, 1], "h": [1, 2]}
     diffs = {c: [] for c in "abc"}
-    for r in range(1, 101):
+    draws = {g: [m for first in range(1, 101, B.CHUNK) for m in B.draw_range(B.CHUNK, [n[g][k] for k in order[g]], [3], 0, 9, g, first)] for g in "gh"}
+    for r in range(100):
         s = {}
         for g in "gh":
-            m = B.multinomial([n[g][k] for k in order[g]], 9, g, r)
+            m = draws[g][r]
             x = {c: sum(q * own[g][k].get(c, 0) for q, k in zip(m, order[g])) for c in "abc"}
             s[g] = {c: 100 * v / sum(x.values()) for c, v in x.items()}
         for c in "abc":
