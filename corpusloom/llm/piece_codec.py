@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,14 +32,18 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Texts from which the head is chosen, about.
 SAMPLE_ROWS = 20_000
-#: Chunks that are broadcast, at most, and the longest of them in bytes: about 60 MB in a worker.
-HEAD_ROWS, HEAD_BYTES = 262_144, 48
+#: Chunks that are broadcast, at most, and the longest of them in bytes: about 80 MB in a worker.
+HEAD_ROWS, HEAD_BYTES = 300_000, 48
+#: Words, with their signs, whose chunks a worker keeps: about 50 MB.
+MEMO_WORDS = 200_000
 #: Chunks that a task counts before it hands its counts on, and the bytes of them.
 COUNTED_ROWS, COUNTED_BYTES = 400_000, 32 << 20
 #: A chunk too long for the head has so many tasks.
 LONG_SHARES = 16
-#: Bytes of results that make a batch.
-OUT_BYTES = 4 << 20
+#: Bytes of chunks or numbers that make a batch.
+OUT_BYTES = 1 << 20
+#: A place within a text, below the text's place in its file: more than a cell of 2 GB can hold chunks.
+AT_BITS = 28
 
 
 class Codec:
@@ -111,7 +116,7 @@ def _count(model: str | None) -> Callable:
             return pa.RecordBatch.from_pydict({"chunk": pa.array(short.keys(), pa.string()), "n": pa.array(short.values(), pa.int64())})
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in (t.as_py() for t in batch.column(0)):
                 seen.update(chunks(text or ""))
                 size += len(text or "")
                 if len(seen) > COUNTED_ROWS or size > COUNTED_BYTES:
@@ -132,7 +137,7 @@ def _segment(model: str | None) -> Callable:
     return segment
 
 
-def frequent_chunks(texts: DataFrame, head_rows: int, model: str | None = None) -> list[tuple[str, bytes]]:
+def frequent_chunks(texts: DataFrame, head_rows: int, model: str | None = None) -> tuple[list[str], list[bytes]]:
     """Chunks of the texts and their ids, head_rows at most, the most frequent first."""
     counted = texts.mapInArrow(_count(model), "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
     # steps of an eighth of a power of two: so many chunks of the highest counts as are within the bound
@@ -142,9 +147,10 @@ def frequent_chunks(texts: DataFrame, head_rows: int, model: str | None = None)
             break
         left, least = left - r["count"], r["step"]
     if least is None:
-        return []
-    rows = counted.where(step >= least).mapInArrow(_segment(model), "chunk string, n long, ids binary").collect()  # head_rows at most
-    return [(r["chunk"], bytes(r["ids"])) for r in sorted(rows, key=lambda r: (-r["n"], r["chunk"]))]
+        return [], []
+    rows = counted.where(step >= least).mapInArrow(_segment(model), "chunk string, n long, ids binary").toArrow()  # head_rows at most
+    rows = rows.sort_by([("n", "descending"), ("chunk", "ascending")])
+    return rows["chunk"].to_pylist(), rows["ids"].to_pylist()
 
 
 def _number(n: int) -> bytes:
@@ -167,28 +173,122 @@ def _numbers(data: bytes) -> np.ndarray:
     return out
 
 
+class Strings:
+    """Byte strings end to end; several are picked, in any order, at once."""
+
+    def __init__(self, items: list[bytes]):
+        self.data = np.frombuffer(b"".join(items), np.uint8)
+        self.ends = np.cumsum([0, *map(len, items)])
+
+    def pick(self, which: np.ndarray, skip: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Their bytes end to end, without the first skip of each, and their lengths."""
+        starts = self.ends[which] + skip
+        n = self.ends[which + 1] - starts
+        at = np.repeat(starts - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        return self.data[at], n
+
+    def with_more(self, items: list[bytes]) -> Strings:
+        out = Strings.__new__(Strings)
+        more = Strings(items)
+        out.data, out.ends = np.concatenate([self.data, more.data]), np.concatenate([self.ends, self.ends[-1] + more.ends[1:]])
+        return out
+
+
+class Head:
+    """The frequent chunks, their ids and what these decode to, as flat arrays; the table of their numbers is made where it is
+    used, once a worker."""
+
+    def __init__(self, chunks: list[str], ids: list[bytes], said: list[bytes]):
+        self.chunks, self.ids, self.said = Strings([c.encode() for c in chunks]), Strings(ids), Strings(said)
+        self.table: dict[str, bytes] | None = None
+        self.clean: set[str] = set()
+        self.words: dict[str, bytes] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None, "clean": set(), "words": {}}
+
+    def known(self) -> dict[str, bytes]:
+        """Each chunk's number as it is written."""
+        if self.table is None:
+            data, ends = self.chunks.data.tobytes(), self.chunks.ends.tolist()
+            self.table = {data[i:j].decode(): _number(k) for k, (i, j) in enumerate(zip(ends, ends[1:]))}
+        return self.table
+
+    def beyond(self, c: Codec, text: str) -> list[str]:
+        """A text's chunks that are not frequent, each once, in order."""
+        known = self.known()
+        if not regular(text):
+            found = set(c.chunks(text)).difference(known)
+        else:
+            found = set()
+            for word in set(text.split(" ")).difference(self.clean):
+                rare = [x for x in c.chunks(word) if x not in known]
+                found.update(rare)
+                if not rare and len(self.clean) < MEMO_WORDS and len(word) <= HEAD_BYTES:
+                    self.clean.add(word)
+        return in_order(found)
+
+    def numbers(self, c: Codec, text: str) -> bytes:
+        """A text as the numbers of its chunks: those of the head, and after them its own others."""
+        known, n = self.known(), len(self.table)
+        if not regular(text):
+            own = c.chunks(text)
+            more = {x: _number(n + k) for k, x in enumerate(in_order(set(own).difference(known)))}
+            return b"".join([known.get(x) or more[x] for x in own])
+        words, here, held, found = text.split(" "), {}, [], set()
+        for word in set(words).difference(self.words):
+            own = c.chunks(word)
+            rare = [x for x in own if x not in known]
+            if rare:
+                held.append((word, own))
+                found.update(rare)
+            else:
+                kept = self.words if len(self.words) < MEMO_WORDS and len(word) <= HEAD_BYTES else here
+                kept[word] = b"".join([known[x] for x in own])
+        more = {x: _number(n + k) for k, x in enumerate(in_order(found))}
+        here.update((word, b"".join([known.get(x) or more[x] for x in own])) for word, own in held)
+        self.words.update(here)  # for this text only
+        out = b"".join(map(self.words.__getitem__, words))
+        for word in here:
+            del self.words[word]
+        return out
+
+
+def regular(text: str) -> bool:
+    """Whether single spaces alone part a text into words, so that each has the chunks that it has by itself."""
+    return bool(text) and "  " not in text and MARK not in text and text[0] != " " and text[-1] != " "
+
+
+def in_order(chunks: set[str]) -> list[str]:
+    if len(chunks) >= 1 << AT_BITS:
+        raise ValueError("a text holds too many chunks")
+    return sorted(chunks)
+
+
 def _rare(model: str | None, head) -> Callable:
-    """f, i, at, chunk: each text's chunks beyond the head, each once, numbered from 1."""
+    """f, at, chunk: each text's chunks beyond the head, each once, in order; at is the text's place and their number from 1."""
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, known = codec(model).chunks, head.value
+        c, frequent = codec(model), head.value
         for batch in batches:
-            rows, at, found, size = [], [], [], 0
+            place, counts, found, size, first = batch.column("i").to_numpy() << AT_BITS, [], [], 0, 0
 
             def told() -> pa.RecordBatch:
-                where = pa.array(rows, pa.int64())
-                return pa.RecordBatch.from_arrays([batch.column("f").take(where), batch.column("i").take(where), pa.array(at, pa.int64()), pa.array(found, pa.string())], names=["f", "i", "at", "chunk"])
-
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                new = list(dict.fromkeys(c for c in chunks(text or "") if c not in known))
-                rows += [k] * len(new)
-                at += range(1, len(new) + 1)
+                n = np.array(counts, np.int64)
+                rows = np.repeat(np.arange(first, first + len(counts)), n)
+                at = place[rows] + 1 + np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+                return pa.RecordBatch.from_arrays([batch.column("f").take(pa.array(rows)), pa.array(at), pa.array(found, pa.string())], names=["f", "at", "chunk"])
+
+            for text in (t.as_py() for t in batch.column("text")):
+                new = frequent.beyond(c, text or "")
+                counts.append(len(new))
                 found += new
                 size += sum(map(len, new))
                 if size > OUT_BYTES:
                     yield told()
-                    rows, at, found, size = [], [], [], 0
-            if rows:
+                    counts, found, size, first = [], [], 0, first + len(counts)
+            if found:
                 yield told()
 
     return rare
@@ -200,12 +300,16 @@ def _segment_runs(model: str | None) -> Callable:
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, last, ids = codec(model).segment, None, b""
         for batch in batches:
-            out = []
-            for chunk in batch.column("chunk").to_pylist():
+            if not batch.num_rows:
+                continue
+            runs = pc.run_end_encode(batch.column("chunk"))
+            names, lengths, out = runs.values.to_pylist(), np.diff(runs.run_ends.to_numpy(), prepend=0), []
+            for chunk in names:
                 if chunk != last:
                     last, ids = chunk, one(chunk)
                 out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("f"), batch.column("i"), batch.column("at"), pa.array(out, pa.binary())], names=["f", "i", "at", "data"])
+            data = pa.array(out, pa.binary()).take(pa.array(np.repeat(np.arange(len(names)), lengths)))
+            yield pa.RecordBatch.from_arrays([batch.column("f"), batch.column("at"), data], names=["f", "at", "data"])
 
     return segment
 
@@ -214,68 +318,73 @@ def _by_number(model: str | None, head) -> Callable:
     """Each text as the numbers of its chunks: those of the head, and after them its own others."""
 
     def by_number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, known = codec(model).chunks, head.value
+        c, frequent = codec(model), head.value
         for batch in batches:
-            said = []
-            for text in batch.column("text").to_pylist():
-                own = chunks(text or "")
-                found = [known.get(c) for c in own]
-                if None in found:
-                    more = {c: _number(len(known) + k) for k, c in enumerate(dict.fromkeys(c for c, f in zip(own, found) if f is None))}
-                    found = [f or more[c] for f, c in zip(found, own)]
-                said.append(b"".join(found))
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("f"), batch.column("i"), pa.array([0] * n, pa.int64()), pa.array(said, pa.binary()), batch.column("key")], names=["f", "i", "at", "data", "key"])
+            place = pa.array(batch.column("i").to_numpy() << AT_BITS)
+            said, size, first = [], 0, 0
+
+            def told() -> pa.RecordBatch:
+                at, own = slice(first, first + len(said)), pa.array(said, pa.binary())
+                return pa.RecordBatch.from_arrays([batch.column("f")[at], place[at], own, batch.column("key")[at]], names=["f", "at", "data", "key"])
+
+            for text in (t.as_py() for t in batch.column("text")):
+                said.append(frequent.numbers(c, text or ""))
+                size += len(said[-1])
+                if size > OUT_BYTES:
+                    yield told()
+                    said, size, first = [], 0, first + len(said)
+            if said:
+                yield told()
 
     return by_number
 
 
-def _put_together(model: str | None, listed) -> Callable:
+def _put_together(model: str | None, head) -> Callable:
     """Ids and decoded text; a text's row of numbers comes before the ids of its other chunks."""
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        ids_of = listed.value
-        said_of = [None] * len(ids_of)  # on demand
-        held, more, kind = None, [], pa.null()
-        keys, ids, said, size = [], [], [], 0
-
-        def finish() -> int:
-            numbers, n = _numbers(held[1]).tolist(), len(ids_of)
-            own = [ids_of[k] if k < n else more[k - n] for k in numbers]
-            words = []
-            for k, i in zip(numbers, own):
-                if k >= n:
-                    words.append(c.said(i))
-                else:
-                    if said_of[k] is None:
-                        said_of[k] = c.said(i)
-                    words.append(said_of[k])
-            keys.append(held[0])
-            ids.append(b"".join(own))
-            said.append("".join(words)[1:])  # the first marker is not the text's
-            return len(ids[-1]) + len(said[-1]) + 1
-
-        def batch_of() -> pa.RecordBatch:
+        head_ids, head_said = head.value.ids, head.value.said
+        n_head = len(head_ids.ends) - 1
+
+        def met(rows: pa.RecordBatch) -> pa.RecordBatch:
+            first = np.nonzero(rows.column("at").to_numpy() % (1 << AT_BITS) == 0)[0]
+            is_text = np.zeros(rows.num_rows, bool)
+            is_text[first] = True
+            payloads = rows.column("data").filter(pa.array(is_text)).to_pylist()
+            more = rows.column("data").filter(pa.array(~is_text)).to_pylist()
+            numbers = _numbers(b"".join(payloads))
+            n = np.array([int((np.frombuffer(p, np.uint8) < 128).sum()) for p in payloads], np.int64)
+            of = np.repeat(np.arange(len(n)), n)
+            which = np.where(numbers < n_head, numbers, numbers + (first - np.arange(len(first)))[of])  # extras follow the head
+            ids, n_ids = head_ids.with_more(more).pick(which)
+            opening = np.zeros(len(which), np.int64)
+            opening[(np.cumsum(n) - n)[n > 0]] = 1  # the first marker is not the text's
+            said, n_said = head_said.with_more([c.said(i).encode() for i in more]).pick(which, opening)
             width = np.dtype(c.kind).itemsize
-            ends = pa.array(np.cumsum([0, *(len(i) // width for i in ids)]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), c.kind).astype(np.int32)))
-            return pa.RecordBatch.from_arrays([pa.array(keys, kind), lists, pa.array(said, pa.string())], names=["key", "ids", "decoded"])
+            total = lambda lengths: np.concatenate([[0], np.cumsum(np.bincount(of, lengths, len(n)).astype(np.int64))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(total(n_ids // width)), pa.array(np.ascontiguousarray(ids).view(c.kind).astype(np.int32)))
+            texts = pa.StringArray.from_buffers(len(n), pa.py_buffer(total(n_said).tobytes()), pa.py_buffer(said.tobytes()))
+            return pa.RecordBatch.from_arrays([rows.column("key").take(pa.array(first)), lists, texts], names=["key", "ids", "decoded"])
 
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            kind = batch.schema.field("key").type
-            for at, data, key in zip(*(batch.column(n).to_pylist() for n in ("at", "data", "key"))):
-                if at:
-                    more.append(data)
-                    continue
-                size += finish() if held is not None else 0
-                held, more = (key, data), []
-                if size > OUT_BYTES:
-                    yield batch_of()
-                    keys, ids, said, size = [], [], [], 0
-        if held is not None:
-            finish()
-            yield batch_of()
+            # texts of about OUT_BYTES at a time; the last text's other chunks may follow in the next batch
+            first = np.nonzero(batch.column("at").to_numpy() % (1 << AT_BITS) == 0)[0]
+            sizes = np.cumsum(pc.binary_length(batch.column("data")).to_numpy(zero_copy_only=False))
+            lo = 0
+            for cut in first.tolist():
+                full = cut > lo and sizes[cut - 1] - (sizes[lo - 1] if lo else 0) > OUT_BYTES
+                if full or cut == first[-1] or cut == first[0]:
+                    if cut > lo:
+                        held.append(batch.slice(lo, cut - lo))
+                    if held:
+                        yield met(pa.concat_batches(held))
+                    held, lo = [], cut
+            if lo < batch.num_rows:
+                held.append(batch.slice(lo))
+        if held:
+            yield met(pa.concat_batches(held))
 
     return put_together
 
@@ -294,17 +403,15 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
     base = base.select(place["f"].alias("f"), place["i"].alias("i"), named(key).alias("key"), named(text).cast("string").alias("text"))
     share = min(1.0, SAMPLE_ROWS / max(1, base.count()))
     picked = F.pmod(F.xxhash64("f", "i"), F.lit(1 << 20)) < int(share * (1 << 20)) if share < 1 else F.lit(True)
-    head = frequent_chunks(base.where(picked).select("text"), head_rows, model)
-    known = spark.sparkContext.broadcast({c: _number(k) for k, (c, _) in enumerate(head)})
-    listed = spark.sparkContext.broadcast([i for _, i in head])
-    rare = base.select("f", "i", "text").mapInArrow(_rare(model, known), "f long, i long, at long, chunk string")
-    salt = F.when(F.octet_length("chunk") > HEAD_BYTES, F.pmod(F.xxhash64("f", "i"), F.lit(LONG_SHARES))).otherwise(0)
-    runs = rare.withColumn("share", salt).repartition("chunk", "share").sortWithinPartitions("chunk")
-    segmented = runs.mapInArrow(_segment_runs(model), "f long, i long, at long, data binary")
-    texts = base.mapInArrow(_by_number(model, known), f"f long, i long, at long, data binary, key {kind}")
+    chunks, ids = frequent_chunks(base.where(picked).select("text"), head_rows, model)
+    head = spark.sparkContext.broadcast(Head(chunks, ids, [codec(model).said(i).encode() for i in ids]))
+    rare = base.select("f", "i", "text").mapInArrow(_rare(model, head), "f long, at long, chunk string")
+    salt = F.when(F.octet_length("chunk") > HEAD_BYTES, F.pmod(F.xxhash64("f", "at"), F.lit(LONG_SHARES))).otherwise(0)
+    segmented = rare.repartition("chunk", salt).sortWithinPartitions("chunk").mapInArrow(_segment_runs(model), "f long, at long, data binary")
+    texts = base.mapInArrow(_by_number(model, head), f"f long, at long, data binary, key {kind}")
     both = texts.union(segmented.withColumn("key", F.lit(None).cast(kind)))
-    met = both.repartition("f", "i").sortWithinPartitions("f", "i", "at")
-    return met.mapInArrow(_put_together(model, listed), f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)
+    met = both.repartition("f", F.shiftright("at", AT_BITS)).sortWithinPartitions("f", "at")
+    return met.mapInArrow(_put_together(model, head), f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)
 
 
 def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
