@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from corpusloom.operators.contracts import assert_same_keys, assert_unique_key, match_sides
+from corpusloom.sources.files import staged
 
 
 def _whole() -> WindowSpec:
@@ -125,12 +126,12 @@ def realm_summary(docs: DataFrame, weights: DataFrame, realm: str, label: str =
     per = weights.groupBy(id_col).agg(F.collect_list(F.struct(label, "w")).alias("_l"))
     cells = docs.join(per, id_col).select(realm, F.explode(F.concat("_l", F.array(F.struct(F.lit(None).cast("string").alias(label), F.lit(0.0).alias("w"))))).alias("x")).select(realm, f"x.{label}", "x.w")
     counts = cells.groupBy(realm, label).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
-    row = counts.agg(  # a row per realm and label: the grid is made of one row
-        F.collect_list(F.when(F.col(label).isNull(), F.struct(F.col(realm), F.col("n").alias("n_documents")))).alias("rs"), F.collect_set(label).alias("ls"),
-        F.map_from_entries(F.collect_list(F.when(F.col(label).isNotNull(), F.struct(F.struct(realm, label), F.struct("n", "w"))))).alias("found"),
-    )
-    grid = row.select("ls", "found", F.inline("rs")).select("found", realm, "n_documents", F.explode("ls").alias(label)).withColumn("_x", F.try_element_at("found", F.struct(realm, label)))
-    full = grid.select(realm, label, F.coalesce("_x.n", F.lit(0)).alias("n_label_documents"), "n_documents", F.coalesce("_x.w", F.lit(0.0)).alias("w"))
+    counts = staged(counts)  # the result is the grid of all realms and labels
+    realms = counts.where(F.col(label).isNull()).select(F.col(realm).alias("_r"), F.col("n").alias("n_documents"))
+    labels = counts.where(F.col(label).isNotNull()).select(F.col(label).alias("_l")).distinct()
+    cells = counts.where(F.col(label).isNotNull())
+    grid = realms.crossJoin(labels).join(cells, F.col("_r").eqNullSafe(F.col(realm)) & (F.col("_l") == F.col(label)), "left")
+    full = grid.select(F.col("_r").alias(realm), F.col("_l").alias(label), F.coalesce("n", F.lit(0)).alias("n_label_documents"), "n_documents", F.coalesce("w", F.lit(0.0)).alias("w"))
     by = W.partitionBy(label)  # a row per realm
     full = full.withColumns({"prevalence": F.col("n_label_documents") / F.col("n_documents"), "pooled_prevalence": F.sum("n_label_documents").over(by) / F.sum("n_documents").over(by), "fractional_share": F.col("w") / F.col("n_documents")}).drop("w")
     return full.withColumn("lq", F.try_divide("prevalence", "pooled_prevalence")).withColumn("log2_lq", F.when(F.col("lq") > 0, F.log2("lq")).otherwise(F.lit(float("-inf"))))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.operators.attribution import fractional_weights
+from corpusloom.sources.files import staged
 
 
 def geo_counts(places: DataFrame, labels: DataFrame, place: str, label: str = "label", id_col: str = "id") -> DataFrame:
@@ -41,15 +42,14 @@ def quotients(records: DataFrame, places: str, labels: str, place: str = "place"
         of = lambda test, *by: F.max(F.when(test, F.col("n"))).over(W.partitionBy(*by))
         p, l = F.col("p").isNull(), F.col("l").isNull()
         out = counts.withColumns({"support": of(l & ~p, "p"), "class_total": of(p & ~l, "l"), "universe": of(p & l)}).where("p is not null and l is not null")
-    else:  # places and labels are small dimensions: their grid is made of one row
-        listed = lambda test, x: F.collect_list(F.when(test, x))
-        p, l = F.col("p").isNull(), F.col("l").isNull()
-        row = counts.agg(
-            listed(l & ~p, F.struct(F.col("p"), F.col("n").alias("support"))).alias("ps"), listed(p & ~l, F.struct(F.col("l"), F.col("n").alias("class_total"))).alias("ls"),
-            F.max(F.when(p & l, F.col("n"))).alias("universe"), F.map_from_entries(listed(~p & ~l, F.struct(F.struct("p", "l"), F.col("n")))).alias("found"),
-        )
-        grid = row.select("universe", "found", "ls", F.inline("ps")).select("universe", "found", "p", "support", F.inline("ls"))
-        out = grid.withColumn("n", F.coalesce(F.try_element_at("found", F.struct("p", "l")), F.lit(0).cast("long"))).drop("found")
+    else:  # the result is the grid of all places and labels
+        counts = staged(counts)
+        ps = counts.where("l is null and p is not null").select("p", F.col("n").alias("support"))
+        ls = counts.where("p is null and l is not null").select("l", F.col("n").alias("class_total"))
+        whole = counts.where("p is null and l is null").select(F.col("n").alias("universe"))
+        cells = counts.where("p is not null and l is not null").select(F.col("p").alias("_p"), F.col("l").alias("_l"), "n")
+        grid = ps.crossJoin(ls).crossJoin(whole).join(cells, (F.col("p") == F.col("_p")) & (F.col("l") == F.col("_l")), "left")
+        out = grid.withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).drop("_p", "_l")
     out = out.select(F.col("p").alias(place), F.col("l").alias(label), "support", "class_total", "n", "universe")
     out = out.withColumns({"within_share": F.col("n") / F.col("support"), "global_share": F.col("class_total") / F.col("universe")})
     out = out.withColumn("lq", F.col("within_share") / F.col("global_share")).withColumn("log2_lq", F.when(F.col("lq") > 0, F.log2("lq")))
