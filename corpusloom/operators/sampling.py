@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def allocation(n: int, ratios: Sequence[float]) -> list[int]:
@@ -45,9 +46,14 @@ def split_rows(df: DataFrame, stratum: str, key: str, ratios: Mapping[str, float
     return held.withColumn("split", out).drop("_n", "_r")
 
 
+def _in_order(strata: Mapping) -> list:
+    """Strata by name, the null one last."""
+    return sorted(strata, key=lambda k: (k is None, 0 if k is None else k))
+
+
 def equal_allocation(sizes: Mapping[str, int], n: int) -> dict[str, int]:
     """n shared equally among strata, capped at their sizes, the shortfall given to the first with room."""
-    keys = sorted(sizes)
+    keys = _in_order(sizes)
     n = min(n, sum(sizes.values()))
     got = [min(c, sizes[k]) for c, k in zip(allocation(n, [1 / len(keys)] * len(keys)), keys)] if keys else []
     short = n - sum(got)
@@ -74,11 +80,12 @@ def ranked(df: DataFrame, stratum: str, key: str, seed: int, rank: str = "_r", s
     return out.withColumn(rank, F.col("_k") + F.col("_b")).select(*[F.col(f"`{c}`") for c in df.columns], rank, size)
 
 
-def take_per_stratum(df: DataFrame, stratum: str, key: str, counts: Mapping[str, int], seed: int) -> DataFrame:
-    """So many rows of each stratum, in seeded order. counts has a number per stratum, few."""
-    spark = df.sparkSession
-    want = spark.createDataFrame([(k, c) for k, c in counts.items() if k is not None] or [("", 0)], "_stratum string, _want int")
-    held = ranked(df, stratum, key, seed).join(F.broadcast(want), F.col(stratum) == F.col("_stratum"))
+def take_per_stratum(df: DataFrame, stratum: str, key: str, counts: Mapping, seed: int) -> DataFrame:
+    """So many rows of each stratum, in seeded order; rows whose stratum is null are a stratum of their own (None). counts has
+    a number per stratum, few."""
+    kind = StructType([StructField("_stratum", df.schema[stratum].dataType), StructField("_want", LongType())])
+    want = df.sparkSession.createDataFrame(list(counts.items()), kind)
+    held = ranked(df, stratum, key, seed).join(want, F.col(stratum).eqNullSafe(F.col("_stratum")))
     return held.where("_r <= _want").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
@@ -96,7 +103,7 @@ def stratum_key(labels: Column) -> Column:
 
 def proportional_allocation(sizes: Mapping[str, int], n: int) -> dict[str, int]:
     """n shared among strata by their sizes, whole numbers by largest remainder, none above its size."""
-    keys, total = sorted(sizes), sum(sizes.values())
+    keys, total = _in_order(sizes), sum(sizes.values())
     return dict(zip(keys, allocation(min(n, total), [sizes[k] / total for k in keys]))) if total else {}
 
 
@@ -113,13 +120,13 @@ def proportional_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int
 def sample_each(df: DataFrame, part: str, key: str, n: int, seed: int) -> DataFrame:
     """n rows of each part, or all of a smaller one."""
     sizes = strata_sizes(df, part)
-    return take_per_stratum(df, part, key, {k: min(n, v) for k, v in sizes.items() if k is not None}, seed)
+    return take_per_stratum(df, part, key, {k: min(n, v) for k, v in sizes.items()}, seed)
 
 
 def balanced_split(df: DataFrame, source: str, key: str, weights: Mapping[str, float], ratios: Mapping[str, float], seed: int) -> DataFrame:
     """The largest sample in which sources have their weights, split by ratio within each source."""
     sizes, total = strata_sizes(df, source), sum(weights.values())
     n = balanced_size(sizes, weights)
-    names = sorted(weights)
+    names = _in_order(weights)
     counts = dict(zip(names, allocation(n, [weights[k] / total for k in names])))
     return split_rows(take_per_stratum(df, source, key, {k: min(c, sizes.get(k, 0)) for k, c in counts.items()}, seed), source, key, ratios, seed)

@@ -114,3 +114,14 @@ def test_series_keep_every_supplier_and_year(spark, tmp_path):
     assert rows(R.series_unpivot(spark, sf)) == [(3, 1995, 5.0), (3, 1999, 4.0), (4, 1997, 5.0), (6, 1996, 6.0)]
     assert rows(R.series_coverage(spark, sf)) == [(3, 2, 1995, 1999), (4, 1, 1997, 1997), (6, 1, 1996, 1996)]
     assert rows(R.series_latest(spark, sf)) == [(3, 1999, 4.0), (4, 1997, 5.0), (6, 1996, 6.0)]
+
+
+def test_null_strata_are_strata(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else "ab"[i % 2]) for i in range(60)], "id int, s string")
+    assert S.proportional_allocation({"b": 20, None: 20, "a": 20}, 6) == {"a": 2, "b": 2, None: 2} and S.equal_allocation({None: 5, "a": 1}, 4) == {"a": 1, None: 3}
+    count = lambda out: {r.s: r["count"] for r in out.groupBy("s").count().collect()}
+    assert count(S.sample_each(df, "s", "id", 4, 1)) == {"a": 4, "b": 4, None: 4}
+    assert count(S.proportional_sample(df, "s", "id", 12, 1)) == {"a": 4, "b": 4, None: 4}
+    assert count(S.take_per_stratum(df.select("id", (F.col("id") % 3).alias("s")), "s", "id", {0: 2, 2: 1}, 1)) == {0: 2, 2: 1}
+    split = S.split_rows(df, "s", "id", {"train": 0.5, "test": 0.5}, 1).groupBy("s", "split").count().collect()
+    assert {(r.s, r.split): r["count"] for r in split} == {(s, x): 10 for s in ("a", "b", None) for x in ("train", "test")}
