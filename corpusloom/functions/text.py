@@ -49,8 +49,8 @@ def slug(x: Column) -> Column:
 
 
 def html_text(html: Column) -> Column:
-    """Text of a page: scripts, styles and tags out, the common entities replaced."""
-    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<[^>]*>", " ")
+    """Text of a page: scripts, styles, comments and tags out, the common entities replaced."""
+    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(name), F.lit(char))
     return F.trim(F.regexp_replace(bare, r"\s+", " "))

@@ -18,8 +18,7 @@ D = 6
 
 
 def text_presence(spark, sf):
-    d = table(spark, sf, "documents").withColumn("text", F.when(F.col("lang") != "de", F.when(F.col("lang") == "es", F.lit(" \n\t")).otherwise(F.col("text"))))
-    return O.with_text(d, "text").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return O.with_text(table(spark, sf, "documents"), "text").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _lists(spark, sf):
@@ -149,27 +148,36 @@ def angular_layout(spark, sf):
 
 
 def label_readings(spark, sf):
-    """One cell of each kind read in each way, by the nation's number."""
-    cells = ['["A", "b ", "A"]', "['A', 'c']", " A ; b; ;A", "'A'|\"b\"", "[]", "nan", "", None, "Housing & Urban areas;A"]
-    cell = F.get(F.array(*[F.lit(c) for c in cells]), F.col("n_nationkey") % len(cells))
-    join = lambda c: F.array_join(c, "+")
-    return table(spark, sf, "nation").select(
-        "n_nationkey", join(L.parse_list_labels(cell)).alias("parsed"), join(L.split_cell(cell)).alias("split"), join(L.sample_cell(cell)).alias("sampled"), join(L.label_set(cell)).alias("lowered"),
-        join(L.collapse(L.label_set(cell), L.THREAT_ALIASES)).alias("collapsed"), L.exactly(L.parse_list_labels(cell), "A").alias("only_a"),
-        join(L.collapse(L.label_set(cell), {"housing & urban areas;a": "h"})).alias("aliased"),
+    """Each order's types of parts as one cell, written as a JSON list, a quoted list, with semicolons, with bars, or as an empty
+    marker by its priority, and read in each way."""
+    held = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "p_type"))).alias("l"))
+    d = table(spark, sf, "orders").join(held, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("t", F.transform("l", lambda x: x["p_type"]))
+    quoted = F.concat(F.lit("['"), F.array_join("t", "', '"), F.lit("']"))
+    barred = F.concat(F.lit("'"), F.array_join("t", "'|\""), F.lit('"'))
+    p = F.col("o_orderpriority")
+    cell = F.when(p == "1-URGENT", F.to_json("t")).when(p == "2-HIGH", quoted).when(p == "3-MEDIUM", F.concat(F.lit(" "), F.array_join("t", " ; "), F.lit(";"))).when(p == "4-NOT SPECIFIED", barred).when(F.col("o_orderstatus") == "F", "nan")
+    d = d.select("o_orderkey", cell.alias("cell"))
+    cell, join = F.col("cell"), lambda c: F.array_join(c, "+")
+    return d.select(
+        "o_orderkey", join(L.parse_list_labels(cell)).alias("parsed"), join(L.split_cell(cell)).alias("split"), join(L.sample_cell(cell)).alias("sampled"), join(L.label_set(cell)).alias("lowered"),
+        join(L.collapse(L.label_set(cell), {"standard": "plain", "economy": "plain"})).alias("collapsed"), L.exactly(L.parse_list_labels(cell), "STANDARD").alias("only_standard"),
     )
 
 
 def label_classes(spark, sf):
-    """Countries, screening words, truth words and levels."""
-    words = ["united states (the)", "USA", "Nation_3, north", "nation_4", "elsewhere", " Not-Eligible", "ELIGIBLE", "ineligible", "maybe", "True", "yes", "0", None]
-    w = F.get(F.array(*[F.lit(c) for c in words]), F.col("n_nationkey") % len(words))
-    codes, aliases = {"united states": "USA", "nation_3": "NTH", "nation_4": "NFO"}, {"elsewhere": "ELS"}
-    lists = F.array_compact(F.array(w))
-    return table(spark, sf, "nation").select(
-        "n_nationkey", L.country_code(w, codes, aliases).alias("code"), L.screening_label(w).alias("screening"), L.truthy(w).alias("truth"),
-        F.array_join(L.standard_levels(lists, F.coalesce(w == "yes", F.lit(False))), ";").alias("standard"), F.array_join(L.ordered_vocabulary(F.array_compact(F.array(F.when(w == "USA", "b"), F.lit("a"))), ["b", "a"]), ";").alias("ordered"),
-    )
+    """Each customer's nation, written in the ways that a country may be, and what is said of documents' quality."""
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    segment, name = F.col("c_mktsegment"), F.col("n_name")
+    cell = F.when(segment == "BUILDING", F.concat(name, F.lit(" (the)"))).when(segment == "MACHINERY", F.concat(F.lower(name), F.lit(", north"))).when(segment == "FURNITURE", F.substring(name, 1, 3)).when(segment == "HOUSEHOLD", F.concat(F.lit("the "), name)).otherwise(name)
+    codes, aliases = {f"nation_{i}": f"N{i:02d}" for i in range(25)}, {f"the nation_{i}": f"T{i:02d}" for i in range(25)}
+    countries = c.select(F.concat(F.lit("c"), "c_custkey").alias("k"), L.country_code(cell, codes, aliases).alias("class"), F.lit(None).cast("boolean").alias("truth"))
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    said = F.when(F.col("quality") == 1, F.when(F.col("lang") == "en", "Eligible").otherwise(" eligible ")).otherwise(F.when(F.col("lang") == "en", "not-eligible").when(F.col("lang") == "de", "Not Eligible").otherwise(F.concat(F.lit("un "), "lang")))
+    truth = F.when(F.col("lang") == "fr", F.when(F.col("toxic") == 1, "Yes").otherwise("no")).otherwise(F.col("toxic").cast("string"))
+    screened = d.select(F.concat(F.lit("d"), "doc_id").alias("k"), L.screening_label(said).alias("class"), L.truthy(truth).alias("truth"))
+    held = F.coalesce("statuses", F.array().cast("array<string>"))
+    levels = _lists(spark, sf).select(F.concat(F.lit("l"), "c_custkey").alias("k"), F.array_join(L.standard_levels(held, F.size("segments") == 2), ";").alias("class"), (F.array_join(L.ordered_vocabulary(held, ["P", "O", "F"]), "") == "PO").alias("truth"))
+    return countries.union(screened).union(levels)
 
 
 def text_functions(spark, sf):
@@ -183,9 +191,7 @@ def text_functions(spark, sf):
 
 
 def page_texts(spark, sf):
-    """Lengths of pages' texts."""
-    t = X.html_text(F.concat(F.lit("<style>p {x}</style><p>"), F.col("url"), F.lit("</p>&nbsp;&amp;&lt;b&gt; <script type='a'>if (a < b) {}</script>end")))
-    return table(spark, sf, "pages").select("page_id", t.alias("text"))
+    return table(spark, sf, "pages").select("page_id", X.html_text(F.col("html")).alias("text"))
 
 
 def vector_cosines(spark, sf):
@@ -213,9 +219,9 @@ QUERIES = {f.__name__: f for f in (
 _LS = """ls AS (SELECT c_custkey, c_nationkey, statuses, CASE c_mktsegment WHEN 'MACHINERY' THEN ['Not Applicable'] WHEN 'FURNITURE' THEN ['Not Applicable', 'x'] WHEN 'BUILDING' THEN []::VARCHAR[] ELSE [c_mktsegment] END AS segments
   FROM customer LEFT JOIN (SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus)) AS statuses FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey)"""
 _ALLOT = "r AS (SELECT doc_id, {s}, row_number() OVER (PARTITION BY {s} ORDER BY md5('{seed}|' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY {s}) AS n FROM documents)"
-_CELL = "CASE n_nationkey % 9 WHEN 0 THEN '{}' WHEN 1 THEN '{}' WHEN 2 THEN '{}' WHEN 3 THEN '{}' WHEN 8 THEN '{}' ELSE '' END AS {}"
+_ONCE = "list_filter(t, lambda x, i: list_position(t, x) = i)"  # each once, in order
 ORACLES = {
-    "text_presence": "SELECT lang, count(*) AS n FROM documents WHERE lang NOT IN ('de', 'es') AND regexp_matches(text, '\\S') GROUP BY lang",
+    "text_presence": "SELECT lang, count(*) AS n FROM documents WHERE regexp_matches(text, '\\S') GROUP BY lang",
     "labelled_rows": f"WITH {_LS} SELECT c_custkey FROM ls WHERE coalesce(len(statuses), 0) > 0 OR len(segments) > 0",
     "blanked_cells": f"WITH {_LS} SELECT 'statuses' AS \"column\", count(*) FILTER (len(statuses) = 1) AS n FROM ls UNION ALL SELECT 'segments', count(*) FILTER (segments = ['Not Applicable']) FROM ls",
     "blanked_lists": f"WITH {_LS} SELECT c_custkey, CASE WHEN segments <> ['Not Applicable'] THEN array_to_string(segments, ';') END AS segments FROM ls",
@@ -243,17 +249,21 @@ ORACLES = {
       b AS (SELECT n_name, b.n, a.width * b.n / a.n AS width, a.start + a.width * (sum(b.n) OVER (PARTITION BY a.r_name ORDER BY b.n DESC, n_name) - b.n) / a.n AS start FROM (SELECT n_name, r_name, count(*) AS n FROM c GROUP BY ALL) b JOIN a USING (r_name)),
       d AS (SELECT leaf, d.n, b.width * d.n / b.n AS width, b.start + b.width * (sum(d.n) OVER (PARTITION BY b.n_name ORDER BY d.n DESC, leaf) - d.n) / b.n AS start FROM (SELECT leaf, n_name, count(*) AS n FROM c GROUP BY ALL) d JOIN b USING (n_name))
       SELECT r_name AS node, 1 AS depth, round(start, 6) AS start, round(width, 6) AS width FROM a UNION ALL SELECT n_name, 2, round(start, 6), round(width, 6) FROM b UNION ALL SELECT leaf, 3, round(start, 6), round(width, 6) FROM d""",
-    "label_readings": "SELECT n_nationkey, " + ", ".join(_CELL.format(*v) for v in (
-        ("A+b", "A+c", "A+b", "''A''|\"b\"", "Housing & Urban areas+A", "parsed"), ("A+b+A", "A+c", "A+b+A", "A+b", "Housing & Urban areas+A", "split"), ("A+b", "A+c", "A ; b; ;A", "''A''|\"b\"", "Housing & Urban areas;A", "sampled"),
-        ("a+b", "a+c", "a ; b; ;a", "''a''|\"b\"", "housing & urban areas;a", "lowered"), ("a+b", "a+c", "a ; b; ;a", "''a''|\"b\"", "housing & urban areas;a", "collapsed"), ("a+b", "a+c", "a ; b; ;a", "''a''|\"b\"", "h", "aliased"),
-    )) + ", false AS only_a FROM nation",
-    "label_classes": """WITH w AS (SELECT n_nationkey, (['united states (the)', 'USA', 'Nation_3, north', 'nation_4', 'elsewhere', ' Not-Eligible', 'ELIGIBLE', 'ineligible', 'maybe', 'True', 'yes', '0', NULL])[n_nationkey % 13 + 1] AS w, n_nationkey % 13 AS k FROM nation)
-      SELECT n_nationkey, CASE k WHEN 0 THEN 'USA' WHEN 1 THEN 'USA' WHEN 2 THEN 'NTH' WHEN 3 THEN 'NFO' WHEN 4 THEN 'ELS' WHEN 10 THEN 'YES' WHEN 12 THEN '' ELSE lower(trim(w)) END AS code,
-        CASE k WHEN 5 THEN 'NOT_ELIGIBLE' WHEN 6 THEN 'ELIGIBLE' WHEN 7 THEN 'NOT_ELIGIBLE' WHEN 12 THEN '' ELSE upper(regexp_replace(trim(w), '[- ]', '_', 'g')) END AS screening, CASE WHEN k = 12 THEN NULL ELSE k IN (9, 10) END AS truth,
-        CASE WHEN k IN (10, 12) THEN 'Not Applicable' ELSE w END AS standard, CASE WHEN k = 1 THEN 'b;a' ELSE 'a' END AS ordered FROM w""",
+    "label_readings": f"""WITH l AS (SELECT l_orderkey, list(p_type ORDER BY l_linenumber, l_partkey, p_type) AS t FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey),
+      c AS (SELECT o_orderkey, left(o_orderpriority, 1) AS p, t, {_ONCE} AS once, array_to_string(t, ' ; ') || ';' AS spaced, chr(39) || array_to_string(t, chr(39) || '|"') || '"' AS bars FROM orders JOIN l ON l_orderkey = o_orderkey),
+      s AS (SELECT *, CASE p WHEN '1' THEN once WHEN '2' THEN once WHEN '3' THEN [spaced] WHEN '4' THEN [bars] ELSE [] END AS sampled FROM c)
+      SELECT o_orderkey, CASE WHEN p IN ('1', '2', '3') THEN array_to_string(once, '+') WHEN p = '4' THEN bars ELSE '' END AS parsed, CASE WHEN p <> '5' THEN array_to_string(t, '+') ELSE '' END AS split,
+        coalesce(array_to_string(sampled, '+'), '') AS sampled, coalesce(array_to_string(list_sort(list_transform(sampled, lambda x: lower(x))), '+'), '') AS lowered,
+        coalesce(array_to_string(list_sort(list_distinct(list_transform(sampled, lambda x: CASE WHEN lower(x) IN ('standard', 'economy') THEN 'plain' ELSE lower(x) END))), '+'), '') AS collapsed,
+        p IN ('1', '2', '3') AND once = ['STANDARD'] AS only_standard FROM s""",
+    "label_classes": f"""WITH {_LS}
+      SELECT 'c' || c_custkey AS k, CASE c_mktsegment WHEN 'FURNITURE' THEN 'NAT' WHEN 'HOUSEHOLD' THEN 'T' ELSE 'N' END || CASE c_mktsegment WHEN 'FURNITURE' THEN '' ELSE lpad(n_nationkey::VARCHAR, 2, '0') END AS class, NULL::BOOLEAN AS truth FROM customer JOIN nation ON c_nationkey = n_nationkey
+      UNION ALL SELECT 'd' || doc_id, CASE WHEN quality = 1 THEN 'ELIGIBLE' WHEN lang IN ('en', 'de') THEN 'NOT_ELIGIBLE' ELSE 'UN_' || upper(lang) END, toxic = 1 FROM documents JOIN labels USING (doc_id)
+      UNION ALL SELECT 'l' || c_custkey, CASE WHEN len(segments) = 2 OR statuses IS NULL THEN 'Not Applicable' ELSE array_to_string(statuses, ';') END, coalesce(statuses = ['O', 'P'], false) FROM ls""",
     "text_functions": """SELECT doc_id, 'q: ' || CASE lang WHEN 'en' THEN 'T ' || source ELSE '' END || '. ' || coalesce(source, '') AS embedding, concat_ws('//', CASE lang WHEN 'en' THEN 'T ' || source END, nullif(source, '')) AS article,
       concat_ws('+', lang, CASE lang WHEN 'en' THEN 'T ' || source END) AS split, 'ab c ' || lang AS plain, round(ln(1 + n_chars), 6) AS scaled, CASE WHEN n_chars > 0 THEN pow(10, floor(log10(n_chars)))::BIGINT END AS bin, lang <> 'fr' AS empty FROM documents""",
-    "page_texts": "SELECT page_id, coalesce(url || ' &<b> end') AS text FROM pages",
+    "page_texts": r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
+      '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""",
     "vector_cosines": "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE label IS NOT NULL), f AS (SELECT label, arg_min(e, vec_id) AS f FROM e GROUP BY label) SELECT vec_id, round(list_dot_product(e, f) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(f, f))), 5) AS cosine FROM e JOIN f USING (label)",
     "lists_as_text": f"WITH {_LS} SELECT c_custkey, CASE WHEN statuses IS NOT NULL THEN '[\"' || array_to_string(statuses, '\",\"') || '\"]' END AS statuses, CASE WHEN len(segments) = 0 THEN '[]' ELSE '[\"' || array_to_string(segments, '\",\"') || '\"]' END AS segments FROM ls",
     "documents_by_label": "SELECT p_type AS label, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type",
