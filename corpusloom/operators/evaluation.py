@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,13 +60,15 @@ def _ratios(counts: DataFrame) -> DataFrame:
     return out.withColumns({"f1": F.coalesce(F.try_divide(2 * p * r, p + r), zero), "kappa": kappa(tp, fp, fn, F.col("tn"))})
 
 
-def label_metrics(df: DataFrame, truth: str, pred: str) -> DataFrame:
+def label_metrics(df: DataFrame, truth: str, pred: str, normalize: Callable[[Column], Column] | None = None) -> DataFrame:
     """label, tp, fp, fn, tn, n, precision, recall, f1, kappa, support per label, and rows _macro,
     _weighted, _micro.
 
-    truth and pred are sets; records with an empty truth are not scored, empty predictions are. The
+    normalize makes a set of labels (an array) of a cell, such as label_set() or a collapse() of it; without it truth and
+    pred are sets; records with an empty truth are not scored, empty predictions are. The
     weighted kappa divides by the whole support, labels without one adding nothing; macro skips them."""
-    scored = df.where(F.size(truth) > 0).select(F.col(truth).alias("t"), F.col(pred).alias("p"))
+    as_set = (lambda c: F.array_distinct(normalize(F.col(c)))) if normalize else F.col
+    scored = df.select(as_set(truth).alias("t"), as_set(pred).alias("p")).where(F.size("t") > 0)
     total = scored.agg(F.count(F.lit(1)).alias("n"))
     hit = scored.select(F.explode(F.array_union("t", "p")).alias("label"), "t", "p").select("label", F.array_contains("t", F.col("label")).alias("t"), F.array_contains("p", F.col("label")).alias("p"))
     counts = hit.groupBy("label").agg(F.count_if(F.col("t") & F.col("p")).alias("tp"), F.count_if(~F.col("t") & F.col("p")).alias("fp"), F.count_if(F.col("t") & ~F.col("p")).alias("fn"))

@@ -92,22 +92,34 @@ def request_lines(requests: DataFrame, key: str, text: Column, model: str, instr
     return requests.select(F.col(key).cast("string").alias("custom_id"), F.to_json(body).alias("body"), F.array_join("candidates", ";").alias("candidate_key"))
 
 
-#: Tasks: their names, other names for them, and the columns that their payload's results become.
-TASKS: dict[str, tuple[tuple[str, ...], Sequence[str]]] = {
-    "screening": (("screen", "eligibility"), ("eligibility",)), "drivers": (("driver",), ("driver",)), "threats": (("threat", "threats_l0"), ("threat_l0", "threat_l1")),
-    "geography": (("geo", "countries"), ("region", "subregion", "country")), "ecosystems": (("ecosystem", "realms"), ("realm", "biome")), "study": (("study_design",), ("study_design",)),
+# The tasks' names and the other names for them.
+ALIASES = {
+    "driver": ("drivers", "direct_driver", "direct_drivers"), "screening": ("screen", "eligibility"), "geography": ("geo", "region", "regions"), "taxa": (), "study": ("studies",),
+    "ecosystems_realm": ("ecosystem_realm",), "ecosystems_biome": ("ecosystem_biome",), "ecosystems_efg": ("ecosystem_efg",), "threats_l0": (), "threats_l1": (), "threats_l2": (),
 }
+#: The columns that a task's payload's results become, and the task of the level above, whose labels its candidates hang on.
+COLUMNS = {
+    "driver": ("driver",), "screening": ("eligibility",), "geography": ("region", "subregion", "country"), "taxa": ("taxon", "rank"), "study": ("study_design",), "ecosystems_realm": ("realm",), "ecosystems_biome": ("biome",),
+    "ecosystems_efg": ("functional_group",), "threats_l0": ("threat_l0",), "threats_l1": ("threat_l1",), "threats_l2": ("threat_l2",),
+}
+ABOVE = {"ecosystems_biome": "ecosystems_realm", "ecosystems_efg": "ecosystems_biome", "threats_l1": "threats_l0", "threats_l2": "threats_l1"}
 
 
 def task(name: str) -> str:
     """A task's own name by any of its names, whatever the case; unknown ones are an error."""
-    low = name.strip().lower().replace("-", "_")
-    for own, (others, _) in TASKS.items():
+    low = (name or "").strip().lower().replace("-", "_")
+    for own, others in ALIASES.items():
         if low == own or low in others:
             return own
-    raise ValueError(f"unknown task {name!r}; known: {', '.join(sorted(TASKS))}")
+    raise ValueError(f"unknown task {name!r}; known: {', '.join(sorted(ALIASES))}")
 
 
 def coded_columns(outputs: DataFrame, name: str, key: str = "custom_id") -> DataFrame:
     """The key and a task's columns from its payloads' first results."""
-    return outputs.select(key, *[P.first_result(F.col("payload"), c).alias(c) for c in TASKS[task(name)][1]])
+    return outputs.select(key, *[P.first_result(F.col("payload"), c).alias(c) for c in COLUMNS[task(name)]])
+
+
+def in_candidate_order(lines: DataFrame) -> DataFrame:
+    """Request lines sorted so that equal candidate lists stand together, over all partitions: a service that keeps what
+    begins alike reads each list once."""
+    return lines.orderBy("candidate_key", "custom_id")

@@ -68,6 +68,28 @@ def attention_trend_grid(spark, sf):
     return g.withColumn("share", F.round(100 * F.coalesce(F.try_divide(F.col("fractional_count"), F.sum("fractional_count").over(A.W.partitionBy("year"))), F.lit(0.0)), R)).withColumn("fractional_count", F.round("fractional_count", R))
 
 
+def _trend(spark, sf, **how):
+    held = labels(spark, sf).groupBy("id").agg(F.collect_list("label").alias("groups"))
+    return T.attention_trend(publications(spark, sf).join(held, "id"), "year", "groups", TYPES, **how)
+
+
+def attention_trend_single_group(spark, sf):
+    """Publications of one type only, shares among four types."""
+    return _rounded(_trend(spark, sf, single_only=True, over=TYPES[:4]), "attention", "share_pct", "year_total")
+
+
+def attention_trend_summary(spark, sf):
+    """Trends of four types' shares, against the types' shares of all parts."""
+    parts = table(spark, sf, "part").groupBy(F.col("p_type").alias("group")).agg(F.count(F.lit(1)).alias("n"))
+    described = parts.select("group", (100 * F.col("n") / F.sum("n").over(A.W.partitionBy())).alias("described_pct")).where(F.col("group") != "LARGE")  # a row a type
+    out = T.trend_summary(_trend(spark, sf, over=TYPES[:4]), described)
+    return _rounded(out, "start_share_pct", "end_share_pct", "change_pp", "slope_pp_per_decade", "described_pct", "start_ratio", "end_ratio")
+
+
+_SOME = ", ".join(f"'{t}'" for t in TYPES[:4])
+_TREND = f"""{SQL}, k AS (SELECT id, label, count(*) OVER (PARTITION BY id) AS k FROM lab), m AS (SELECT id, label, k, count(*) OVER (PARTITION BY id) AS j FROM k WHERE label IN ({_SOME}) AND k <= {{most}}),
+t AS (SELECT year, label, sum(1.0::DOUBLE / j) AS w FROM m JOIN pub USING (id) GROUP BY ALL), tg AS (SELECT y.year, l.label AS "group", coalesce(w, 0) AS attention, sum(coalesce(w, 0)) OVER (PARTITION BY y.year) AS year_total
+  FROM (SELECT DISTINCT year FROM t) y CROSS JOIN (SELECT unnest([{_SOME}]) AS label) l LEFT JOIN t ON t.year = y.year AND t.label = l.label)"""
 _GRID = f"""{_FRAC}, g AS (SELECT y.year, l.label, coalesce(fc, 0.0) AS v FROM (SELECT unnest(range({YEARS[0]}, {YEARS[1] + 1}))::BIGINT AS year) y CROSS JOIN (SELECT DISTINCT label FROM lab) l LEFT JOIN f ON f.year = y.year AND f.label = l.label)"""
 
 
@@ -152,7 +174,7 @@ _TW = f"""{SQL}, tw AS (SELECT c.id, c.country, c.region, l.label, 1.0::DOUBLE /
 _COMP = "SELECT region, label, sum(w) AS weight FROM tw GROUP BY region, label"
 
 QUERIES = {f.__name__: f for f in (
-    fractional_label_share_by_year, annual_counts_cumulative_yoy, cagr_by_period, rolling_cagr, centered_rolling_mean, trend_slope, attention_trend_grid, two_way_attribution, group_composition, composition_matrix,
+    fractional_label_share_by_year, annual_counts_cumulative_yoy, cagr_by_period, rolling_cagr, centered_rolling_mean, trend_slope, attention_trend_grid, attention_trend_single_group, attention_trend_summary, two_way_attribution, group_composition, composition_matrix,
     full_weight_legacy_composition, standardized_tier_contrast, complete_case_exclusions, versioned_dimension_join, income_transition_matrix, country_counts_metadata_check, label_legend_topn_other, attention_vs_benchmark,
 )}
 
@@ -166,6 +188,11 @@ SELECT label, start_year, end_year, round(base, {R}) AS base, round(e, {R}) AS "
     "centered_rolling_mean": f"WITH {_GRID} SELECT year, label, round(v, {R}) AS fractional_count, CASE WHEN count(v) OVER w >= 3 THEN round(avg(v) OVER w, {R}) END AS rolling_mean FROM g WINDOW w AS (PARTITION BY label ORDER BY year ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)",
     "trend_slope": f"WITH {_GRID} SELECT label, round(regr_slope(v, year) * 10, {R}) AS slope_per_decade, round(min_by(v, year), {R}) AS first_value, round(max_by(v, year), {R}) AS last_value FROM g GROUP BY label",
     "attention_trend_grid": f"WITH {_GRID} SELECT year, label, round(v, {R}) AS fractional_count, round(coalesce(100 * v / nullif(sum(v) OVER (PARTITION BY year), 0), 0), {R}) AS share FROM g",
+    "attention_trend_single_group": f"""WITH {_TREND.format(most=1)} SELECT year, "group", round(attention, {R}) AS attention, round(100 * attention / year_total, {R}) AS share_pct, round(year_total, {R}) AS year_total FROM tg""",
+    "attention_trend_summary": f"""WITH {_TREND.format(most=99)}, s AS (SELECT year, "group", 100 * attention / year_total AS s FROM tg), d AS (SELECT p_type AS "group", 100.0::DOUBLE * count(*) / sum(count(*)) OVER () AS described_pct FROM part GROUP BY p_type),
+a AS (SELECT "group", min(year) AS start_year, max(year) AS end_year, min_by(s, year) AS s0, max_by(s, year) AS s1, regr_slope(s, year) * 10 AS slope FROM s GROUP BY "group")
+SELECT a."group", start_year, end_year, round(s0, {R}) AS start_share_pct, round(s1, {R}) AS end_share_pct, round(s1 - s0, {R}) AS change_pp, round(slope, {R}) AS slope_pp_per_decade, round(described_pct, {R}) AS described_pct, round(s0 / described_pct, {R}) AS start_ratio, round(s1 / described_pct, {R}) AS end_ratio
+FROM a LEFT JOIN d ON a."group" = d."group" AND a."group" <> 'LARGE'""",
     "two_way_attribution": f"WITH {_TW} SELECT country, label, round(sum(w), {R}) AS weight, count(*) AS n FROM tw GROUP BY country, label",
     "composition_matrix": f"WITH {_TW}, c AS ({_COMP}), s AS (SELECT region, label, 100 * weight / sum(weight) OVER (PARTITION BY region) AS s FROM c) SELECT region, " + ", ".join(f"round(coalesce(sum(s) FILTER (label = '{t}'), 0), {R}) AS c_{t.lower()}" for t in TYPES) + " FROM s GROUP BY region",
     "group_composition": f"WITH {_TW}, c AS ({_COMP}) SELECT region, label, round(weight, {R}) AS weight, round(100 * weight / sum(weight) OVER (PARTITION BY region), {R}) AS share_pct FROM c",

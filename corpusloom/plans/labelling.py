@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import payloads as P
 from corpusloom.functions.json_repair import repair_json
 from corpusloom.operators import predictions as O
+from corpusloom.operators import rows as R
 from corpusloom.sources.tables import labels, publications, table
 
 
@@ -92,14 +93,20 @@ def cascade_outcomes(spark, sf):
     return _cascade(spark, sf).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("outcome") == "request", F.size("candidates"))), F.lit(0)).alias("candidates"))
 
 
+def ordered_requests(spark, sf):
+    """The same requests' places in the order of their candidate lists."""
+    lines = O.request_lines(_cascade(spark, sf).where("outcome = 'request'"), "id", F.col("id").cast("string"), "m1", "code it")
+    return R.numbered_rows(O.in_candidate_order(lines).select("custom_id", "candidate_key"), "place", F.col("candidate_key"), F.col("custom_id"))
+
+
 def cascade_requests(spark, sf):
-    """Request lines in the order of their candidate lists: at says where a list's requests begin."""
+    """Request lines, and in the order of their candidate lists where a list's requests begin (at)."""
     lines = O.request_lines(_cascade(spark, sf).where("outcome = 'request'"), "id", F.concat(F.lit("doc "), F.col("id").cast("string")), "m1", "code it")
     begins = lines.groupBy("candidate_key").agg(F.count(F.lit(1)).alias("n")).withColumn("at", F.sum("n").over(W.orderBy("candidate_key")) - F.col("n"))  # a row per list
     return lines.join(begins, "candidate_key").select("custom_id", "body", "at")
 
 
-QUERIES = {f.__name__: f for f in (model_output_steps, coded_outputs, repaired_payloads, truth_for_predictions, first_prediction, prediction_coverage, label_distribution, rater_agreement, cascade_outcomes, cascade_requests)}
+QUERIES = {f.__name__: f for f in (model_output_steps, coded_outputs, repaired_payloads, truth_for_predictions, first_prediction, prediction_coverage, label_distribution, rater_agreement, cascade_outcomes, cascade_requests, ordered_requests)}
 
 _K = "props->>'k'"
 _CASC = """ord AS (SELECT o_orderkey AS id, o_orderstatus AS st, o_orderpriority AS pr, CASE c_mktsegment WHEN 'FURNITURE' THEN 'ECONOMY' WHEN 'MACHINERY' THEN 'PROMO' WHEN 'BUILDING' THEN 'LARGE' WHEN 'AUTOMOBILE' THEN 'MEDIUM' ELSE 'NONE' END AS label FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
@@ -124,6 +131,7 @@ ORACLES = {
     "label_distribution": "WITH l AS (SELECT DISTINCT l_orderkey AS id, p_type AS label FROM lineitem JOIN part ON l_partkey = p_partkey), k AS (SELECT o_orderkey, count(label) AS k FROM orders LEFT JOIN l ON id = o_orderkey GROUP BY o_orderkey) SELECT * FROM (SELECT label, count(*) AS n FROM l JOIN orders ON id = o_orderkey GROUP BY label ORDER BY n DESC, label LIMIT 100) UNION ALL SELECT '_null', count(*) FILTER (k = 0) FROM k UNION ALL SELECT '_multi', count(*) FILTER (k > 1) FROM k",
     "rater_agreement": "SELECT CASE WHEN n_chars > 900 THEN 1 ELSE 0 END AS first, quality AS second, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL",
     "cascade_outcomes": f"WITH {_CASC} SELECT outcome, count(*) AS n, coalesce(sum(CASE WHEN outcome = 'request' THEN len(names) END), 0)::BIGINT AS candidates FROM casc GROUP BY outcome",
+    "ordered_requests": f"WITH {_CASC} SELECT id::VARCHAR AS custom_id, array_to_string(names, ';') AS candidate_key, row_number() OVER (ORDER BY array_to_string(names, ';'), id::VARCHAR) AS place FROM casc WHERE outcome = 'request'",
     "cascade_requests": f"""WITH {_CASC}, r AS (SELECT id, names, array_to_string(names, ';') AS key FROM casc WHERE outcome = 'request')
       SELECT id::VARCHAR AS custom_id, rank() OVER (ORDER BY key) - 1 AS at,
         '{{"model":"m1","instructions":"code it","input":[{{"role":"user","content":"doc ' || id || '"}},{{"role":"user","content":"candidates: ' || array_to_string(names, '; ') || '"}}],"schema":"{{\\"type\\":\\"object\\",\\"properties\\":{{\\"label\\":{{\\"type\\":\\"array\\",\\"items\\":{{\\"type\\":\\"string\\",\\"enum\\":[\\"' || array_to_string(names, '\\",\\"') || '\\",\\"Unclear\\"]}}}}}}}}"}}' AS body FROM r""",

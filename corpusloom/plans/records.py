@@ -56,6 +56,14 @@ def label_confusion_metrics(spark, sf):
     return out.withColumns({c: F.round(c, R) for c in ("precision", "recall", "f1", "kappa")})
 
 
+def normalized_label_metrics(spark, sf):
+    """The same of labels written as cells, read as evaluation reads them, one label standing for another; with the summary
+    rows."""
+    cells = _judged(spark, sf).select(F.to_json("t").alias("t"), F.concat(F.lit("['"), F.array_join(F.transform("p", lambda x: F.initcap(x)), "', '"), F.lit("']")).alias("p"))
+    out = E.label_metrics(cells, "t", "p", lambda c: L.collapse(L.label_set(c), {"toxic": "harmful"}))
+    return out.withColumns({c: F.round(c, R) for c in ("precision", "recall", "f1", "kappa")})
+
+
 def per_record_confusion(spark, sf):
     out = E.record_confusion(_judged(spark, sf), "t", "p", 2)
     return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn", "tn")])
@@ -161,7 +169,7 @@ def crosswalk_precedence(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    screening_eligibility, first_failing_stage, exclusion_overlap, label_confusion_metrics, per_record_confusion, binary_metrics, placeholder_mask, stratified_split_rows, equal_allocation_sample, keep_first_dedupe, latest_valid_wins,
+    screening_eligibility, first_failing_stage, exclusion_overlap, label_confusion_metrics, normalized_label_metrics, per_record_confusion, binary_metrics, placeholder_mask, stratified_split_rows, equal_allocation_sample, keep_first_dedupe, latest_valid_wins,
     series_unpivot, series_coverage, series_latest, json_props_extract, keyword_regex_feature, token_normalize, partition_assignment, ordered_string_agg, corpus_merge_key_audit, crosswalk_precedence,
 )}
 
@@ -172,6 +180,14 @@ ORACLES = {
     "first_failing_stage": f"WITH {_ST} SELECT CASE WHEN s1 = 0 THEN 's1' WHEN s1 = 1 AND s2 = 0 THEN 's2' WHEN s1 = 1 AND s2 = 1 AND s3 = 0 THEN 's3' WHEN s1 = 1 AND s2 = 1 AND s3 = 1 AND s4 = 0 THEN 's4' END AS stage, count(*) AS n FROM st GROUP BY ALL",
     "exclusion_overlap": f"WITH {_ST} SELECT concat_ws(' & ', CASE WHEN s1 = 0 THEN 's1' END, CASE WHEN s2 = 0 THEN 's2' END, CASE WHEN s3 = 0 THEN 's3' END, CASE WHEN s4 = 0 THEN 's4' END) AS combination, count(*) AS n FROM st WHERE {_BAD} GROUP BY ALL",
     "label_confusion_metrics": f"WITH {_JD}, s AS (SELECT * FROM jd WHERE len(t) > 0), u AS (SELECT DISTINCT unnest(list_concat(t, p)) AS label FROM s), c AS (SELECT label, count(*) FILTER (list_contains(t, label) AND list_contains(p, label)) AS tp, count(*) FILTER (NOT list_contains(t, label) AND list_contains(p, label)) AS fp, count(*) FILTER (list_contains(t, label) AND NOT list_contains(p, label)) AS fn, count(*) FILTER (NOT list_contains(t, label) AND NOT list_contains(p, label)) AS tn, count(*) AS n FROM s CROSS JOIN u GROUP BY label) SELECT label, n, {_CM}, tp + fn AS support FROM c",
+    "normalized_label_metrics": f"""WITH {_JD}, s AS (SELECT list_transform(t, lambda x: CASE x WHEN 'toxic' THEN 'harmful' ELSE x END) AS t, list_transform(p, lambda x: CASE x WHEN 'toxic' THEN 'harmful' ELSE x END) AS p FROM jd WHERE len(t) > 0), u AS (SELECT DISTINCT unnest(list_concat(t, p)) AS label FROM s),
+      c AS (SELECT label, count(*) FILTER (list_contains(t, label) AND list_contains(p, label)) AS tp, count(*) FILTER (NOT list_contains(t, label) AND list_contains(p, label)) AS fp, count(*) FILTER (list_contains(t, label) AND NOT list_contains(p, label)) AS fn, count(*) FILTER (NOT list_contains(t, label) AND NOT list_contains(p, label)) AS tn, count(*) AS n FROM s CROSS JOIN u GROUP BY label),
+      raw AS (SELECT *, tp + fn AS support, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS re, CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f, ((tp + tn) / n - (((tp + fp) / n) * ((tp + fn) / n) + ((fn + tn) / n) * ((fp + tn) / n))) / nullif(1 - (((tp + fp) / n) * ((tp + fn) / n) + ((fn + tn) / n) * ((fp + tn) / n)), 0) AS k FROM c),
+      m AS (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tn)::BIGINT AS tn, sum(support)::BIGINT AS support, sum(n)::BIGINT AS n FROM raw)
+      SELECT label, tp, fp, fn, tn, n, round(pr, 6) AS precision, round(re, 6) AS recall, round(f, 6) AS f1, round(k, 6) AS kappa, support FROM raw
+      UNION ALL SELECT '_macro', NULL, NULL, NULL, NULL, max(n), round(avg(pr), 6), round(avg(re), 6), round(avg(f), 6), round(avg(k), 6), sum(support)::BIGINT FROM raw
+      UNION ALL SELECT '_weighted', NULL, NULL, NULL, NULL, max(n), round(sum(pr * support) / sum(support), 6), round(sum(re * support) / sum(support), 6), round(sum(f * support) / sum(support), 6), round(sum(coalesce(k, 0) * support) / sum(support), 6), sum(support)::BIGINT FROM raw
+      UNION ALL SELECT '_micro', tp, fp, fn, tn, n, {_CM.removeprefix("tp, fp, fn, tn, ")}, support FROM m""",
     "per_record_confusion": f"WITH {_JD} SELECT doc_id, len(list_intersect(t, p))::BIGINT AS tp, (len(p) - len(list_intersect(t, p)))::BIGINT AS fp, (len(t) - len(list_intersect(t, p)))::BIGINT AS fn, (2 - len(t) - len(p) + len(list_intersect(t, p)))::BIGINT AS tn FROM jd",
     "binary_metrics": f"WITH {_JD}, b AS (SELECT list_contains(t, 'good') AS t, list_contains(p, 'good') AS p FROM jd), c AS (SELECT count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (NOT t AND NOT p) AS tn, count(*) AS n FROM b) SELECT {_CM}, round((tp + tn) / n, 6) AS accuracy FROM c",
     "placeholder_mask": f"WITH {_JD} SELECT NOT (list_contains(t, 'toxic') OR list_contains(p, 'toxic')) AS scored, count(*) AS n FROM jd GROUP BY ALL",

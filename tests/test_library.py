@@ -34,7 +34,7 @@ def test_predictions_are_checked(spark):
     assert sorted(map(tuple, O.attach_first(base, preds, "k", {"p": "pred"}, F.col("at")).collect())) == [("a", 1, "early"), ("b", 2, None)]
     with pytest.raises(ContractError, match="lacks"):
         O.attach_first(base.where("k = 'b'"), preds, "k", {"p": "pred"}, F.col("at"))
-    assert O.task("Threats-L0") == "threats"
+    assert O.task("Threats-L0") == "threats_l0" and O.task(" Regions") == "geography" and len(O.ALIASES) == len(O.COLUMNS) == 11 and sum(1 + len(x) for x in O.ALIASES.values()) == 23
     with pytest.raises(ValueError, match="unknown task"):
         O.task("nothing")
 
