@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import columns_of, count_words, materialize, numbered, small, table
+from corpusloom.llm.common import MAX_SMALL, columns_of, count_words, materialize, numbered, small, table
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -35,6 +35,9 @@ BLOCK_WORDS = 50_000
 SHARD_BLOCKS = 64
 #: Counts of the splitting tree that the driver draws; the rest of the tree is drawn by tasks.
 TOP_CELLS = 200_000
+#: Where too few documents are shorter than a block, the one that comes nearest to what is left is sought in so many
+#: blocks' words of the others.
+LONG_BLOCKS = 64
 #: A source's blocks are ranked in so many ranges of their hash, each by itself.
 RANGES = 4096
 SEED = 11
@@ -200,12 +203,15 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     blocks = d.groupBy("sid", "block", "passes", "rest").agg(F.sum("size").alias("words")).withColumn("turn", F.xxhash64(F.lit(seed), "passes", "block"))
     ranked = materialize(in_order(blocks, ["sid"], "turn", {"before": "words"}), "blocks")
     ranked = ranked.withColumn("part", F.when(F.col("before") + F.col("words") <= F.col("rest"), "whole").when((F.col("before") < F.col("rest")), "cut").otherwise("none"))
-    # documents longer than a block may not fill what is left: later blocks are cut too until the others hold enough
+    # documents longer than a block may not fill what is left: later blocks are cut too until the others hold enough, or until
+    # there are plenty of long ones to choose from, so that what is chosen from has a bound
     at = small(ranked.where("part = 'cut'").select(F.col("sid").alias("c_sid"), F.col("rank").alias("c_rank"), (F.col("rest") - F.col("before")).alias("left")), "cuts")
     fits = d.join(at, F.col("sid") == F.col("c_sid")).where(F.col("size") <= block_words).groupBy("sid", "block").agg(F.sum("size").alias("fit"))
-    ranked = ranked.join(at, F.col("sid") == F.col("c_sid"), "left").join(fits, ["sid", "block"], "left").withColumn("fit", F.when(F.col("rank") >= F.col("c_rank"), F.coalesce("fit", F.lit(0))).otherwise(0)).drop("rank", "before")
-    ranked = in_order(ranked, ["sid"], "turn", {"fit_before": "fit"})
-    ranked = ranked.withColumn("part", F.when((F.col("rank") > F.col("c_rank")) & (F.col("fit_before") < F.col("left")), "cut").otherwise(F.col("part"))).drop("c_sid", "c_rank", "fit", "fit_before")
+    from_cut = lambda c: F.when(F.col("rank") >= F.col("c_rank"), F.coalesce(c, F.lit(0))).otherwise(0)
+    ranked = ranked.join(at, F.col("sid") == F.col("c_sid"), "left").join(fits, ["sid", "block"], "left").withColumns({"fit": from_cut("fit"), "any": from_cut("words")}).drop("rank", "before")
+    ranked = in_order(ranked, ["sid"], "turn", {"fit_before": "fit", "any_before": "any"})
+    more = (F.col("rank") > F.col("c_rank")) & (F.col("fit_before") < F.col("left")) & (F.col("any_before") < F.col("left") + LONG_BLOCKS * block_words)
+    ranked = ranked.withColumn("part", F.when(more, "cut").otherwise(F.col("part"))).drop("c_sid", "c_rank", "fit", "fit_before", "any", "any_before")
     ranked = materialize(ranked, "ranked-blocks")
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
@@ -251,7 +257,8 @@ def apply_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     m = mix(rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.col(source).alias("s"), rid.alias("_rid")), "doc_id", "t", "s", keep="_rid", **how)
     whole = F.struct(*columns_of(docs)).alias("_doc")  # names may clash
     d = rows.select(whole, F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(F.col(text)).alias("text_hash"), rid.alias("_rid"))
-    d = d.join(F.broadcast(m.sources), F.col("source").eqNullSafe(F.col("s_source"))).withColumn("block", block_of(seed))
+    sources = F.broadcast(m.sources) if len(m.quotas) <= MAX_SMALL else m.sources  # a row a source
+    d = d.join(sources, F.col("source").eqNullSafe(F.col("s_source"))).withColumn("block", block_of(seed))
     dealt = small(m.dealt, "dealt")
     chosen = small(m.chosen.withColumn("_chosen", F.lit(True)), "chosen")
     out = d.join(dealt, ["sid", "block"]).join(chosen, "_rid", "left").where(~F.col("cut") | F.col("_chosen"))
