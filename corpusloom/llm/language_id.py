@@ -15,14 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import crc_of, small, table
+from corpusloom.llm.common import crc_of, materialize, release, small, table
 
 GRAMS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 FOLDS, HELD = 4, 2
-#: The fit's sample: so many documents, languages balanced; each is learnt from as a whole.
-SAMPLE_DOCS = 1500
+#: The fit's sample: so many documents, languages balanced, each learnt from as a whole; fewer if their counts are more
+#: than so many bytes, of which the driver holds them all: 6 for each different n-gram of a text.
+SAMPLE_DOCS, SAMPLE_BYTES = 1500, 96 << 20
 EPOCHS = 5
 RATE = 1.0
 #: Embeddings move by so much more, as each gets a small share of its text's gradient.
@@ -123,7 +124,7 @@ def train(parts: list[tuple[np.ndarray, np.ndarray]], languages: list[str], grou
             rows = own[i : i + batch]
             sizes = np.array([len(parts[r][0]) for r in rows])
             found = np.concatenate([parts[r][0] for r in rows])
-            share = np.concatenate([parts[r][1] / parts[r][1].sum() for r in rows]).astype(np.float32)
+            share = np.concatenate([parts[r][1] / parts[r][1].sum(dtype=np.float64) for r in rows]).astype(np.float32)
             h = np.add.reduceat(e[found] * share[:, None], np.concatenate([[0], np.cumsum(sizes)[:-1]]), 0)
             p = softmax(h @ w + b)
             p[np.arange(len(rows)), y[rows]] -= 1
@@ -137,7 +138,7 @@ def train(parts: list[tuple[np.ndarray, np.ndarray]], languages: list[str], grou
             e[some] += SPEED * np.stack([np.bincount(at, spread[:, k], len(some)) for k in range(DIMENSIONS)], 1)
     model = Model(names, (e @ w).astype(np.float32), b.astype(np.float64), 1.0, 0.0)
     if len(hold):
-        z = np.stack([parts[i][1] @ model.logits[parts[i][0]].astype(np.float64) / parts[i][1].sum() + model.bias for i in hold])
+        z = np.stack([parts[i][1].astype(np.float64) @ model.logits[parts[i][0]].astype(np.float64) / parts[i][1].sum(dtype=np.float64) + model.bias for i in hold])
         odd = 1 / (len(hold) + 2)  # a share of each label is held to be wrong, so that a separable sample gives no certainty
 
         def loss(t: float) -> float:
@@ -152,8 +153,8 @@ def train(parts: list[tuple[np.ndarray, np.ndarray]], languages: list[str], grou
 
 
 def sample(docs: DataFrame, doc_id: str, text: str, lang: str) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str], list[int]]:
-    """The bounded sample of the learning folds, counted: SAMPLE_DOCS rows, those with the least hash times
-    the count of their language; and a hash of each text."""
+    """The bounded sample of the learning folds, counted: SAMPLE_DOCS rows, or as many as SAMPLE_BYTES allow, those with the
+    least hash times the count of their language; and a hash of each text."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (crc_of(F.col(doc_id)) % FOLDS != HELD))
     rows = rows.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.col(lang).cast("string").alias("_l"))
     counts = small(rows.groupBy(F.col("_l").alias("_c")).agg(F.count(F.lit(1)).alias("_n")), "languages")
@@ -170,14 +171,24 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str) -> tuple[list[tup
 
     # keys are even from 0 to their language's count: a bound on them passes about as many rows of any corpus, so
     # that few are counted and sorted; it is raised until the sample is full or all rows pass
-    bound, took = 1.3 * SAMPLE_DOCS / max(1, n_languages), []
+    bound, sizes, counted_rows = 1.3 * SAMPLE_DOCS / max(1, n_languages), [], None
     while n_languages:
         passed = keyed.where(F.col("_k") <= bound).mapInArrow(count, "_k double, _l string, _h long, some binary, n binary")
-        took = passed.orderBy("_k", "_h").limit(SAMPLE_DOCS).collect()
-        if len(took) == SAMPLE_DOCS or bound > most:
+        counted_rows = materialize(passed, "language-counts")
+        sizes = counted_rows.select("_k", "_h", (F.octet_length("some") + F.octet_length("n")).alias("bytes")).orderBy("_k", "_h").limit(SAMPLE_DOCS).collect()
+        if len(sizes) == SAMPLE_DOCS or bound > most:
             break
+        release(counted_rows)
         bound *= 16
-    parts = [(np.frombuffer(r["some"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<u4").astype(np.float64)) for r in took]
+    took = []
+    if sizes:
+        held = np.cumsum([r["bytes"] for r in sizes])
+        n = max(1, int((held <= SAMPLE_BYTES).sum()))  # the least keys, as many as the bytes allow
+        last = sizes[n - 1]
+        within = (F.col("_k") < last["_k"]) | ((F.col("_k") == last["_k"]) & (F.col("_h") <= last["_h"]))
+        took = counted_rows.where(within).orderBy("_k", "_h").limit(n).collect()
+    # as they came: widened in a mini-batch only
+    parts = [(np.frombuffer(r["some"], "<u2"), np.frombuffer(r["n"], "<u4")) for r in took]
     return parts, [r["_l"] for r in took], [r["_h"] for r in took]
 
 
