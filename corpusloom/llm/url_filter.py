@@ -34,10 +34,12 @@ RULES = (
 )
 
 #: The labelled table, (url, 1 to block): words of common block lists, and of plain sites, in the hosts' and paths' usual forms.
-_BLOCKED_HOSTS = ("casino-bonus", "best-poker", "free-slots", "cheap-pills", "viagra-online", "xxx-cams", "adult-dating", "porn-tube", "payday-loans", "fast-cash", "click-bait", "win-prizes", "warez-zone", "torrent-crack", "link-farm", "spam-farm", "seo-traffic", "replica-watches")
-_BLOCKED_PATHS = ("", "/", "/buy-now", "/free/bonus.html", "/win/prize", "/promo/click", "/adult/video", "/download/crack.exe")
-_PLAIN_HOSTS = ("www.library", "blog.garden", "docs.school", "m.museum", "news.city", "wiki.river", "www.county", "mail.bank", "m.radio", "docs.health", "www.university", "research.institute", "shop.bakery", "www.hospital", "forum.cycling", "data.weather", "en.travel", "www.recipes")
-_PLAIN_PATHS = ("", "/", "/en/12", "/about.html", "/article/7", "/2020/05/report.html", "/docs/guide", "/contact")
+_BLOCKED_HOSTS = ("casino-bonus", "best-poker", "free-slots", "cheap-pills", "viagra-online", "xxx-cams", "adult-dating", "porn-tube", "payday-loans", "fast-cash", "click-bait", "win-prizes", "warez-zone", "torrent-crack", "link-farm", "spam-farm", "seo-traffic", "replica-watches",
+                  "lucky-jackpot", "roulette-live", "sports-betting", "pharmacy-discount", "weight-loss-miracle", "escort-girls", "hot-singles", "nude-videos", "instant-credit", "get-rich-quick", "free-gift-cards", "prize-winner", "serial-keygen", "pirate-movies", "cheap-backlinks", "buy-followers", "fake-diploma", "luxury-replicas")
+_BLOCKED_PATHS = ("", "/", "/buy-now", "/free/bonus.html", "/win/prize", "/promo/click", "/adult/video", "/download/crack.exe", "/bet/now?id=1", "/cheap/offer", "/xxx/1.html", "/get/rich")
+_PLAIN_HOSTS = ("www.library", "blog.garden", "docs.school", "m.museum", "news.city", "wiki.river", "www.county", "mail.bank", "m.radio", "docs.health", "www.university", "research.institute", "shop.bakery", "www.hospital", "forum.cycling", "data.weather", "en.travel", "www.recipes",
+                "www.theatre", "archive.history", "support.printer", "journal.physics", "www.parliament", "catalog.seeds", "community.chess", "maps.railway", "www.gallery", "lab.chemistry", "events.town", "www.orchestra", "blog.astronomy", "api.transit", "www.kindergarten", "help.office", "www.architects", "static.zoo")
+_PLAIN_PATHS = ("", "/", "/en/12", "/about.html", "/article/7", "/2020/05/report.html", "/docs/guide", "/contact", "/news/2021", "/index.php?id=2", "/people/anna", "/search")
 _ENDINGS = ("org", "net", "com", "info")
 LABELLED = tuple(
     (f"https://{h}.{_ENDINGS[(i + j) % len(_ENDINGS)]}{p}", label)
