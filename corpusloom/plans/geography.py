@@ -9,6 +9,7 @@ from corpusloom.operators import attribution as A
 from corpusloom.operators import comparisons as M
 from corpusloom.operators import contracts as C
 from corpusloom.operators import geo as G
+from corpusloom.operators import geometry as GM
 from corpusloom.operators import resampling as B
 from corpusloom.sources.tables import SQL, axes, countries, labels, publications, realms, table
 
@@ -147,13 +148,24 @@ _GEO = "SELECT l.label, c.{p}, count(*) AS n FROM (SELECT DISTINCT id, {p} FROM
 _LQ = """p AS (SELECT DISTINCT id, {c} FROM ctry WHERE id IN (SELECT id FROM lab)), t AS (SELECT DISTINCT id, label FROM lab WHERE id IN (SELECT id FROM ctry)),
 sup AS (SELECT {c}, count(*) AS support FROM p GROUP BY ALL), tot AS (SELECT label, count(*) AS class_total FROM t GROUP BY ALL), uni AS (SELECT count(DISTINCT id) AS universe FROM t), ob AS (SELECT {c}, label, count(*) AS n FROM p JOIN t USING (id) GROUP BY ALL)"""
 
+def dissolved_areas(spark, sf):
+    """Parts as unit squares of a map, dissolved by type: area and length of border of each type."""
+    p = table(spark, sf, "part")
+    x, y = (F.col("p_partkey") % 64).cast("double"), F.floor(F.col("p_partkey") / 64).cast("double")
+    corner = lambda a, b: F.struct((x + a).alias("x"), (y + b).alias("y"))
+    rings = p.select("p_type", F.lit(0).alias("ring"), F.array(corner(0, 0), corner(0, 1), corner(1, 1), corner(1, 0)).alias("points"))
+    out = GM.dissolved(GM.turned(rings), "p_type")
+    return out.groupBy("p_type").agg(F.sum(F.when(F.col("hole"), -F.col("area")).otherwise(F.col("area"))).alias("area"), F.sum(F.size("points") - 1).cast("long").alias("border"))
+
+
 QUERIES = {f.__name__: f for f in (
     geo_counts_nation, geo_counts_region, location_quotient, location_quotient_eb, geo_attention_country, geo_attention_region, topk_cumulative_attention, realm_counts, realm_driver_summary, realm_exclusion_audit, conditional_annual_share,
-    outer_match_gap, region_gap, regional_trend, pooled_dedup_region_evidence, definition_sensitivity_rank, rank_path_attribution, rank_counts, path_alignment, exact_path_comparison, largest_remainder_percent,
+    outer_match_gap, region_gap, regional_trend, pooled_dedup_region_evidence, definition_sensitivity_rank, rank_path_attribution, rank_counts, path_alignment, exact_path_comparison, largest_remainder_percent, dissolved_areas,
 )}
 
 _ATT = "att AS (SELECT {p}, sum(w) AS a FROM (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY id) AS w FROM ctry) GROUP BY ALL)"
 ORACLES = {
+    "dissolved_areas": "WITH c AS (SELECT p_type, p_partkey % 64 AS x, p_partkey // 64 AS y FROM part) SELECT a.p_type, count(*)::DOUBLE AS area, (4 * count(*) - count(r.x) * 2 - count(u.x) * 2)::BIGINT AS border FROM c a LEFT JOIN c r ON r.p_type = a.p_type AND r.x = a.x + 1 AND r.y = a.y LEFT JOIN c u ON u.p_type = a.p_type AND u.x = a.x AND u.y = a.y + 1 GROUP BY a.p_type",
     **{f"geo_counts_{q}": f"WITH {SQL}, g AS ({_GEO.format(p=p)}), t AS (SELECT label, count(DISTINCT id) AS group_total FROM lab WHERE id IN (SELECT id FROM ctry) GROUP BY label) SELECT label, {p}, n, group_total FROM g JOIN t USING (label)" for q, p in (("nation", "country"), ("region", "region"))},
     "location_quotient": f"WITH {SQL}, {_LQ.format(c='country')} SELECT country, label, n, support, class_total, universe, round(n / support, {R}) AS within_share, round(class_total / universe, {R}) AS global_share, round((n / support) / (class_total / universe), {R}) AS lq, round(log2((n / support) / (class_total / universe)), {R}) AS log2_lq, support >= 30 AS sufficient FROM ob JOIN sup USING (country) JOIN tot USING (label) CROSS JOIN uni",
     "location_quotient_eb": f"WITH {SQL}, {_LQ.format(c='region')}, c AS (SELECT region, label, coalesce(n, 0) AS n, support, class_total, universe, class_total / universe AS pi FROM sup CROSS JOIN tot CROSS JOIN uni LEFT JOIN ob USING (region, label)) SELECT region, label, n, support, class_total, universe, round(n / support, {R}) AS within_share, round(pi, {R}) AS global_share, round(n / support / pi, {R}) AS lq, CASE WHEN n > 0 THEN round(log2(n / support / pi), {R}) END AS log2_lq, round((n + 30 * pi) / ((support + 30) * pi), {R}) AS lq_eb, round(log2((n + 30 * pi) / ((support + 30) * pi)), {R}) AS log2_lq_eb, support >= 30 AS sufficient FROM c",
