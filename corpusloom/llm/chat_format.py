@@ -31,7 +31,7 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     others. Participants are the distinct roles that are not null; a turn without a role is an
     unnamed user's, and a dialogue of such turns only has no perspective. Turns follow their number,
     nulls first; of equal numbers, speaker, then text, decide, and rows equal in all count each. Null
-    text is empty. Marks in names and texts are escaped by a backslash, line breaks in names become
+    text is empty; texts of any length are rendered whole. Marks in names and texts are escaped by a backslash, line breaks in names become
     spaces. A null conversation key is one dialogue. Other columns are not looked at; an empty
     table gives an empty table.
     """

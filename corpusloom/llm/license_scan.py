@@ -177,7 +177,7 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
 
     spans lists the alignments as label@word, a place once for each label. score is 1 where a base phrase
     stands, else the largest share of a template in place. A null or empty text has no words and no labels (empty strings),
-    null places and score 0. Repeated rows are scanned alike; other columns are not looked at; an
+    null places and score 0. Texts of any length are scanned whole, a task holds the words of one at a time. Repeated rows are scanned alike; other columns are not looked at; an
     empty table gives an empty table.
     """
     known = Index(templates).vocabulary

@@ -210,7 +210,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     tokenizer is the path of a tokenizers file, on every machine. A null or empty text is the end id
-    alone. Repeated rows are packed each; other columns are not looked at; an empty table gives no
+    alone; texts of any length are packed whole, their ids are held by one task. Repeated rows are packed each; other columns are not looked at; an empty table gives no
     rows. Sequence ids hold the partition above the worker's own count, so they are unique; a task
     that is run again over the same rows gives the same pieces. A worker holds the ids of the
     documents in its open bins: less than k pieces of capacity / k tokens for each class k.

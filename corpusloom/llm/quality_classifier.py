@@ -117,8 +117,8 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
     Labels are learnt from rows whose crc32(doc_id as text) mod folds is not 0. A document labelled
     more than once counts with its largest label; a null label or doc_id is not learnt from, but such
-    a document is scored. A null or empty text has the statistics of no words. Repeated rows are
-    scored alike; other columns are not looked at; an empty table gives an empty table.
+    a document is scored. A null or empty text has the statistics of no words; texts of any
+    length are read whole. Repeated rows are scored alike; other columns are not looked at; an empty table gives an empty table.
     """
     stored = materialize(with_statistics(docs, doc_id, text), "statistics")
     held = (crc_of(F.col("doc_id")) % folds == 0).alias("held_out")

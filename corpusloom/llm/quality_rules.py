@@ -101,7 +101,8 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     """Verdict per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, words_removed.
 
-    A null or empty text has no words and fails the base rules. A null host is a host of its own. A
+    A null or empty text has no words and fails the base rules; texts and lines of any length are
+    judged whole, a text's words lie in one row. A null host is a host of its own. A
     null doc_id is a line's first only where no holder has another; rows that share the first doc_id
     all keep the line. Rows that repeat are judged row by row; copies of a text count once. An empty
     table gives an empty table; other columns are not looked at.

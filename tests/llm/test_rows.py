@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import common, jaccard_join, mixing, quality_rules
+from corpusloom.llm import chat_format, common, jaccard_join, license_scan, mixing, quality_rules
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
 
@@ -56,3 +56,23 @@ def test_stages_take_clashing_columns(clashing):
     found = {r.doc_id: r.n for r in mixed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert sum(found.values()) == pytest.approx(sum(drawn.values()), abs=2)
     assert mixed.exceptAll(mixing.apply_mix(docs)).count() == 0
+
+
+def test_very_long_texts_and_lines(spark):
+    """One line of 150,000 words, a text of 30,000 lines, and a word of a million letters."""
+    line, many, word = " ".join(f"w{i % 70_000}" for i in range(150_000)), "\n".join(f"line{i} of{i} this{i} long{i} text{i}" for i in range(30_000)), "x" * 1_000_000
+    docs = spark.createDataFrame([(1, line, "en", "a", 1), (2, many, "en", "a", 1), (3, word, "en", "a", 1), (4, "short text", "en", "b", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    rules = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+    assert (rules[1].n_words, rules[2].n_words, rules[3].word_chars) == (150_000, 150_000, 1_000_000) and rules[1].base_failed and rules[2].n_dup_lines == 0 and not rules[2].base_failed
+    assert {r.doc_id for r in quality_rules.apply_quality_rules(docs).collect()} == {2}
+    mixed = mixing.mix(docs)
+    assert {r.doc_id: r.size for r in mixed.documents.collect()} == {1: 150_000, 2: 150_000, 3: 1, 4: 2}
+    assert {r.doc_id: r.n_words for r in license_scan.scan_licenses(docs).collect()}[2] == 150_000
+
+
+def test_very_many_turns_of_one_number(spark):
+    rows = [(1, 5, ("a", "b")[i % 2], f"t{i:05d}") for i in range(3000)] + [(1, None, "a", "first")]
+    out = chat_format.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), block_turns=8).collect()
+    for view in "ab":
+        own = sorted((r.start, r.length) for r in out if r.perspective == view)
+        assert len(own) == 3001 and own[0][0] == 0 and all(s + n == t for (s, n), (t, _) in zip(own, own[1:]))
