@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import tempfile
@@ -17,6 +18,11 @@ from pyspark.sql.types import StructType
 from corpusloom.sources.csv_records import fields, header, read_csv, read_records
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="corpusloom-")
+
+
 def staged(df: DataFrame) -> DataFrame:
     """df written to the shared folder of spark.checkpoint.dir and read again: what depends on sampled ranges or on row
     places must not change between reads. Local sessions may do without the setting; a cluster may not."""
@@ -25,7 +31,7 @@ def staged(df: DataFrame) -> DataFrame:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
+        folder = f"file://{_local_dir()}"
     path = f"{folder.rstrip('/')}/corpusloom/{spark.sparkContext.applicationId}/staged-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
