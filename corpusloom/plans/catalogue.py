@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import audits, comparisons, compositions, geography, inference, labelling, lineages, records, rows, trees
+from corpusloom.plans import audits, comparisons, compositions, geography, inference, labelling, lineages, records, rows, storage, trees
 
-_MODULES = (compositions, geography, inference, records, trees, labelling, audits, lineages, rows, comparisons)
+_MODULES = (compositions, geography, inference, records, trees, labelling, audits, lineages, rows, comparisons, storage)
 
 
 def queries() -> dict:

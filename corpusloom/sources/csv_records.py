@@ -73,6 +73,21 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
+def _entered(found: Sequence) -> dict[tuple[str, int], int]:
+    """The splits (file, block) that begin within a record, and the block in which that one begins, of all splits' summaries."""
+    entered: dict[tuple[str, int], int] = {}
+    state, began, file = False, 0, None
+    for r in sorted(found, key=lambda r: (r["file"], r["block"])):
+        if r["file"] != file:
+            file, state = r["file"], False
+        if state:
+            entered[(r["file"], r["block"])] = began
+        if not state or r["closes"]:  # what is open at its end began in it
+            began = r["block"]
+        state = r["within"] if state else r["first"]
+    return entered
+
+
 def _records(entered: dict[tuple[str, int], int]) -> Callable:
     """file, block, n, piece, record: whole records (piece is -1) and pieces of records that cross splits, with the split
     in which they begin and their number there. entered: splits that begin within a record, and where that one begins."""
@@ -132,16 +147,7 @@ def read_records(spark: SparkSession, paths: Sequence[str], sep: str = ",") -> D
     Where quotes are never closed, all that follows is one record, and one cell. The driver holds two bits a split."""
     lines = _lines(spark, paths, sep)
     found = lines.select("file", "block", "first", "within").mapInArrow(_summaries, "file string, block long, first boolean, within boolean, closes boolean").collect()  # a row a split
-    entered: dict[tuple[str, int], int] = {}
-    state, began, file = False, 0, None
-    for r in sorted(found, key=lambda r: (r["file"], r["block"])):
-        if r["file"] != file:
-            file, state = r["file"], False
-        if state:
-            entered[(r["file"], r["block"])] = began
-        if not state or r["closes"]:  # what is open at its end began in it
-            began = r["block"]
-        state = r["within"] if state else r["first"]
+    entered = _entered(found)
     kinds = "file string, block long, n long, piece long, record string"
     out = lines.mapInArrow(_records(entered), kinds)
     whole = out.where("piece = -1").select("file", "block", "n", "record")

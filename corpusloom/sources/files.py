@@ -23,20 +23,26 @@ def _local_dir() -> str:
     return tempfile.mkdtemp(prefix="corpusloom-")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir and read again: what depends on sampled ranges or on row
-    places must not change between reads. Local sessions may do without the setting; a cluster may not."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir, whose files go when the application ends. Local sessions may do
+    without the setting; a cluster may not."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{_local_dir()}"
-    path = f"{folder.rstrip('/')}/corpusloom/{spark.sparkContext.applicationId}/staged-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = f"{folder.rstrip('/')}/corpusloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: what depends on sampled ranges or on row places must not change
+    between reads."""
+    path = scratch(df.sparkSession, "staged")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_exports(spark: SparkSession, paths: Sequence[str], variants: Mapping[str, Sequence[str]], key: str, sep: str = ",") -> DataFrame:
@@ -180,7 +186,9 @@ def lists_to_text(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    lists_to_text(df).write.mode("overwrite").option("escape", '"').csv(path, header=True)
+    """CSV with lists as JSON text; white space at the ends of values stays."""
+    out = lists_to_text(df).write.mode("overwrite").option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    out.csv(path, header=True)
 
 
 def write_jsonl(df: DataFrame, path: str, per_file: int = 0) -> None:
