@@ -41,8 +41,12 @@ BITS_EACH, MAX_BITS = 32, 1 << 27
 BROADCAST_IDS = 1_000_000
 #: Bytes of text of a counting group, while there are at most 65,536 of them, and beyond.
 PART_BYTES, WIDE_PART_BYTES = 4e6, 64e6
+#: Spark takes tables that it knows nothing of to be larger than this; they are stored first.
+UNKNOWN_BYTES = 1 << 60
 #: Members of a key that are held against each other in one task; a key with more is cut into pairs of chunks.
 CHUNK_MEMBERS = 2000
+#: Members of a key beyond which they are held against those of about their size only.
+SIZED_MEMBERS = 256
 #: Longest prefix that travels with a set's keys, to tell the first key of a pair; sets with longer ones are pairs at every key.
 TOLD_PREFIX = 128
 #: Shingles that a task sorts at a time; bytes of text split at a time.
@@ -139,9 +143,16 @@ def best_boundary(histogram: dict[int, int], list_length: float, percent: int =
     return min(range(MAX_BOUNDARY + 1), key=lambda b: (cost(b), b))
 
 
+def tallied(heads: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted heads, each once, and how often each came (n: how often at each place)."""
+    starts = np.nonzero(np.concatenate([[len(heads) > 0], heads[1:] != heads[:-1]]))[0]
+    return heads[starts], np.diff(np.append(starts, len(heads))) if n is None else np.add.reduceat(n, starts)
+
+
 def profile(docs: DataFrame, parts: int, width: int = SHINGLE_WORDS) -> DataFrame:
-    """From docs(doc_id, text): a row per document with doc_id, n, f1, f2; and rows with part and blob,
-    sorted 32-bit shingle heads (as differences) of many documents, for counting."""
+    """From docs(doc_id, text): a row per document with doc_id, n, f1, f2; and rows with part, blob and more, for counting: the
+    different 32-bit shingle heads (sorted, as differences) of many documents, and of those that came more than once the
+    place and how often."""
     kind = docs.schema["doc_id"].dataType
     shift = np.uint64(64 - int(math.log2(parts)))
 
@@ -153,12 +164,16 @@ def profile(docs: DataFrame, parts: int, width: int = SHINGLE_WORDS) -> DataFram
             s = np.sort(np.concatenate(held))
             at = np.searchsorted(s >> shift, np.arange(parts + 1, dtype=np.uint64))
             heads = (s >> np.uint64(32)).astype("<u4")
-            some = [p for p in range(parts) if at[p] < at[p + 1]]
-            blobs = [np.diff(heads[at[p] : at[p + 1]], prepend=np.uint32(0)).astype("<u4").tobytes() for p in some]
+            some, blobs, more = [p for p in range(parts) if at[p] < at[p + 1]], [], []
+            for p in some:
+                own, n = tallied(heads[at[p] : at[p + 1]])
+                often = np.nonzero(n > 1)[0]
+                blobs.append(np.diff(own, prepend=np.uint32(0)).astype("<u4").tobytes())
+                more.append(np.stack([often, n[often]]).astype("<u4").tobytes())
             none = lambda k: pa.nulls(len(some), k)
-            return pa.RecordBatch.from_arrays([none(key_type), none(pa.int64()), none(pa.int64()), none(pa.int64()), pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([none(key_type), none(pa.int64()), none(pa.int64()), none(pa.int64()), pa.array(some, pa.int32()), pa.array(blobs, pa.binary()), pa.array(more, pa.binary())], names=names)
 
-        names = ["doc_id", "n", "f1", "f2", "part", "blob"]
+        names = ["doc_id", "n", "f1", "f2", "part", "blob", "more"]
         for batch in batches:
             key_type = batch.schema.field(0).type
             rows = []
@@ -172,11 +187,11 @@ def profile(docs: DataFrame, parts: int, width: int = SHINGLE_WORDS) -> DataFram
                     held, n_held = [], 0
             if rows:
                 n = len(rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in zip(*rows)], pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in zip(*rows)], pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
         if n_held:
             yield flush()
 
-    return docs.mapInArrow(run, f"doc_id {kind.simpleString()}, n long, f1 long, f2 long, part int, blob binary")
+    return docs.mapInArrow(run, f"doc_id {kind.simpleString()}, n long, f1 long, f2 long, part int, blob binary, more binary")
 
 
 def frequent(profiled: DataFrame, limit: int = FREQUENT) -> tuple[np.ndarray, float]:
@@ -186,15 +201,20 @@ def frequent(profiled: DataFrame, limit: int = FREQUENT) -> tuple[np.ndarray, fl
     result."""
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        heads = np.sort(np.concatenate([np.cumsum(np.frombuffer(b, "<u4"), dtype=np.uint32) for b in rows.blob]))
-        starts = np.nonzero(np.concatenate([[True], heads[1:] != heads[:-1]]))[0]
-        n = np.diff(np.append(starts, len(heads)))
+        heads = np.concatenate([np.cumsum(np.frombuffer(b, "<u4"), dtype=np.uint32) for b in rows.blob])
+        n, first = np.ones(len(heads), np.int64), 0
+        for b, m in zip(rows.blob, rows.more):
+            places, counts = np.frombuffer(m, "<u4").reshape(2, -1)
+            n[first + places.astype(np.int64)] = counts
+            first += len(b) // 4
+        order = np.argsort(heads, kind="stable")
+        heads, n = tallied(heads[order], n[order])
         often = n > limit
         few = n[~often].astype(float)
         k = int(often.sum())
-        return pd.DataFrame({"head": [*heads[starts[often]].astype(np.int64).tolist(), None], "held": [*n[often].tolist(), 0], "s1": [0.0] * k + [few.sum()], "s2": [0.0] * k + [(few * few).sum()]}).astype({"head": "Int64"})
+        return pd.DataFrame({"head": [*heads[often].astype(np.int64).tolist(), None], "held": [*n[often].tolist(), 0], "s1": [0.0] * k + [few.sum()], "s2": [0.0] * k + [(few * few).sum()]}).astype({"head": "Int64"})
 
-    found = materialize(profiled.where("part is not null").select("part", "blob").groupBy("part").applyInPandas(count, "head long, held long, s1 double, s2 double"), "frequent")
+    found = materialize(profiled.where("part is not null").select("part", "blob", "more").groupBy("part").applyInPandas(count, "head long, held long, s1 double, s2 double"), "frequent")
     s1, s2 = found.agg(F.coalesce(F.sum("s1"), F.lit(0.0)), F.coalesce(F.sum("s2"), F.lit(0.0))).first()
     # of each doubling of the limit, how many heads are held by more documents
     doublings = {r["d"]: r["n"] for r in found.where("head is not null").groupBy(F.ceil(F.log2(F.col("held") / F.lit(float(limit)))).cast("int").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -247,15 +267,16 @@ def with_keys(docs: DataFrame, often: np.ndarray, boundary: int, percent: int =
 
 
 def with_shingles(keyed: DataFrame, light: Column) -> DataFrame:
-    """keyed (prefix, and pos, a key's place among its set's) with s0 and s1, the key's shingles; s1 is null of a single
-    one, both are null of a set without a prefix. light sets have pairs before their single ones."""
+    """keyed (prefix, and pos, a key's place among its set's) with s0 and s1, the key's shingles, and at0, the place of s0 in
+    its set's order; s1 is null of a single one, both are null of a set without a prefix. light sets have pairs before their
+    single ones."""
     p, pos = F.size("prefix").cast("long"), F.col("pos").cast("long")
     total = F.when(light, F.floor(p * (p - 1) / 2)).otherwise(F.lit(0).cast("long"))
     pair = pos < total
     i = F.when(pair, p - 2 - F.floor(F.sqrt((4 * p * (p - 1) - 8 * pos - 7).cast("double")) / 2 - 0.5)).otherwise(pos - total)
     j = pos + i + 1 - total + F.floor((p - i) * (p - i - 1) / 2)
     at = lambda k: F.get("prefix", k.cast("int"))
-    return keyed.withColumns({"s0": at(i), "s1": F.when(pair, at(j))})
+    return keyed.withColumns({"s0": at(i), "s1": F.when(pair, at(j)), "at0": i.cast("long")})
 
 
 def first_key(x: str, y: str) -> Column:
@@ -266,6 +287,20 @@ def first_key(x: str, y: str) -> Column:
     return F.col(f"{x}prefix").isNull() | F.col(f"{y}prefix").isNull() | first
 
 
+def enough_left(x: str, y: str, percent: int = PERCENT) -> Column:
+    """Whether two sets that share a key's first shingle can have the overlap that a link needs, by how much of either comes
+    behind it; and before it, unless it is the first that they share. Never false for sets that link."""
+    told = F.col(f"{x}prefix").isNotNull() & F.col(f"{y}prefix").isNotNull()
+    ahead = F.when(told, F.lit(0)).otherwise(F.least(f"{x}at0", f"{y}at0"))
+    behind = F.least(F.col(f"{x}n") - F.col(f"{x}at0"), F.col(f"{y}n") - F.col(f"{y}at0"))
+    return (100 + percent) * (ahead + behind) >= percent * (F.col(f"{x}n") + F.col(f"{y}n"))
+
+
+def size_class(n: Column, percent: int = PERCENT) -> Column:
+    """A number such that those of sets that may link differ by one at most."""
+    return n if percent == 100 else F.floor(F.ln(n) / F.lit(math.log(100 / percent) * (1 + 1e-9)))
+
+
 def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """cid and set (sorted 64-bit shingles as bytes), stored, of the classes in wanted(cid), from the texts of
     their first documents."""
@@ -317,7 +352,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     empty table gives an empty table.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # what the scan reads, without reading it
+    said = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # noqa: E731  what a scan reads, without reading it
+    if (size := said(docs)) > UNKNOWN_BYTES:
+        docs = materialize(docs, "join-texts")
+        size = said(docs)
     parts = 1 << math.ceil(math.log2(max(64, min(65_536, size / PART_BYTES), size / WIDE_PART_BYTES)))
     profiled = materialize(profile(docs, parts, width), "shingle-profile")
     rows = materialize(profiled.where("part is null").select("doc_id", "n", "f1", "f2"), "profile-rows")
@@ -345,16 +383,20 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     # what is left: members of a key in different components
     marked = labelled(shared)
-    mixed_keys = marked.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count(F.lit(1)) / CHUNK_MEMBERS).cast("int").alias("chunks")).where("lo < hi").select("k", "chunks")
-    left = marked.join(mixed_keys, F.col("key") == F.col("k")).select("key", "pos", "cid", "n", "pivot", "c", "chunks")
+    mixed_keys = marked.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
+    mixed_keys = mixed_keys.select("k", F.ceil(F.col("m") / CHUNK_MEMBERS).cast("int").alias("chunks"), (F.col("m") > SIZED_MEMBERS).alias("sized"))
+    left = marked.join(mixed_keys, F.col("key") == F.col("k")).select("key", "pos", "cid", "n", "pivot", "c", "chunks", "sized")
     left = materialize(with_shingles(left.join(classes.select("cid", "prefix", *BITS), "cid"), F.col("n") <= boundary).drop("pos"), "unsettled")
     release(shared, component)
-    # a key of many members is spread over pairs of chunks; each pair of members meets in one. Near copies share hundreds of
-    # keys: they are a pair at the first of them only
+    # a key of many members is spread over pairs of chunks, and over classes of sizes, each of which meets itself and its
+    # neighbours; each pair of members meets in one of these. Near copies share hundreds of keys: they are a pair at the first
+    # of them only
     own, every = F.pmod(F.xxhash64("cid"), "chunks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    x, y = left.withColumn("i", own).withColumn("j", every).alias("x"), left.withColumn("j", own).withColumn("i", every).alias("y")
-    alike = may_match("x.", "y.", percent)
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.c") < F.col("y.c")) & F.expr(fits("x.n", "y.n")) & alike & (F.col("x.cid") != F.col("x.pivot")) & (F.col("y.cid") != F.col("x.pivot")) & first_key("x.", "y."))
+    sized = F.when(F.col("sized"), size_class(F.col("n"), percent)).otherwise(0).cast("long")
+    near = F.explode(F.when(F.col("sized"), F.sequence(sized - 1, sized + 1)).otherwise(F.array(sized)))
+    x, y = left.withColumn("i", own).withColumn("j", every).withColumn("s", sized).alias("x"), left.withColumn("j", own).withColumn("i", every).withColumn("s", near).alias("y")
+    alike = may_match("x.", "y.", percent) & enough_left("x.", "y.", percent)
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.c") < F.col("y.c")) & F.expr(fits("x.n", "y.n")) & alike & (F.col("x.cid") != F.col("x.pivot")) & (F.col("y.cid") != F.col("x.pivot")) & first_key("x.", "y."))
     more = more.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
     found = verify(plausible(more, classes, percent), docs, classes, percent, width)
     component = materialize(connected_components(links.union(found)), "components")
