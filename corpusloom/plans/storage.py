@@ -10,6 +10,7 @@ from corpusloom.sources import csv_records as C
 from corpusloom.sources import files as S
 from corpusloom.sources import published as P
 from corpusloom.sources.tables import table
+from corpusloom.streaming import ingest as I
 
 
 def csv_split_scan(spark, sf):
@@ -124,9 +125,49 @@ def ordered_digest(spark, sf):
     return K.ordered_digest(table(spark, sf, "part"), ["p_partkey", "p_name", "p_brand"], F.col("p_name"), F.col("p_partkey"))
 
 
-QUERIES = {f.__name__: f for f in (csv_split_scan, csv_filtered_scan, csv_exports, manifest_round_trip, written_variants, json_lines_scan, keyed_cache, resumed_build, combined_parts, staged_results, ordered_digest)}
+def hierarchy_scan(spark, sf):
+    """Regions, market segments and nations as one nested document, read as rows."""
+    path = S.scratch(spark, "hierarchy")
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    leaf = c.groupBy("r_name", "c_mktsegment", "n_name").agg(F.count(F.lit(1)).alias("n")).groupBy("r_name", "c_mktsegment").agg(F.sort_array(F.collect_list(F.struct(F.col("n_name").alias("name"), "n"))).alias("l"))
+    level = leaf.groupBy("r_name").agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "l"))).alias("m"))
+    level.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("r_name", "m")))).alias("value")).coalesce(1).write.text(path)  # a few regions
+    return S.read_hierarchy(spark, path, "name string, n long", ("region", "segment"))
+
+
+def strict_tsv_scan(spark, sf):
+    """Parts as tab-separated text with quotes that mean nothing."""
+    path = S.scratch(spark, "tsv")
+    p = table(spark, sf, "part").select("p_partkey", F.concat(F.lit('"'), "p_name").alias("p_name"), "p_type")
+    p.select(F.concat_ws("\t", "p_partkey", "p_name", "p_type").alias("value")).union(spark.createDataFrame([("p_partkey\tp_name\tp_type",)], "value string")).orderBy(F.col("value") != "p_partkey\tp_name\tp_type").coalesce(1).write.text(path)
+    return S.read_strict_tsv(spark, path, "p_partkey long, p_name string, p_type string")
+
+
+def request_batches(spark, sf):
+    """Requests in files of at most 400, with a manifest of them."""
+    path = S.scratch(spark, "batches")
+    said = S.write_batches(table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("custom_id"), F.col("s_name").alias("body")).coalesce(1), path, "custom_id", 400)
+    read = spark.read.text(f"{path}/requests").select(F.get_json_object("value", "$.custom_id").alias("custom_id"), F.col("_metadata.file_name").alias("file"))
+    return read.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("custom_id").alias("requests"), F.count_distinct("file").alias("files")).withColumn("told", F.lit(said["requests"]).cast("long")).withColumn("parts", F.lit(len(said["files"])).cast("long"))
+
+
+def appended_stream(spark, sf):
+    """Users of events, read as a stream in two runs, each user appended once."""
+    src, out, mark = (S.scratch(spark, x) for x in ("stream", "appended", "mark"))
+    e = table(spark, sf, "events").select("user_id", "event_type")
+    for test in ("event_type in ('view', 'click')", "event_type not in ('view', 'click')"):
+        e.where(test).write.mode("append").parquet(src)
+        I.append_new(I.read_stream(spark, src, e), "user_id", out, mark).awaitTermination()
+    return spark.read.parquet(out).select("user_id", (F.col("batch") == 0).alias("first_run"))
+
+
+QUERIES = {f.__name__: f for f in (csv_split_scan, csv_filtered_scan, csv_exports, manifest_round_trip, written_variants, json_lines_scan, keyed_cache, resumed_build, combined_parts, staged_results, ordered_digest, hierarchy_scan, strict_tsv_scan, request_batches, appended_stream)}
 
 ORACLES = {
+    "hierarchy_scan": "SELECT r_name AS region, c_mktsegment AS segment, n_name AS name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
+    "strict_tsv_scan": "SELECT p_partkey, chr(34) || p_name AS p_name, p_type FROM part",
+    "request_batches": "SELECT count(*) AS n, count(*) AS requests, ceil(count(*) / 400)::BIGINT AS files, count(*) AS told, ceil(count(*) / 400)::BIGINT AS parts FROM supplier",
+    "appended_stream": "SELECT user_id, bool_or(event_type IN ('view', 'click')) AS first_run FROM events GROUP BY user_id",
     "csv_split_scan": """SELECT doc_id::VARCHAR AS doc_id, text, '["' || source || '","' || lang || '"]' AS both FROM documents""",
     "csv_filtered_scan": "SELECT doc_id, quality FROM labels WHERE toxic = 1",
     "csv_exports": """SELECT c_custkey::VARCHAR AS ut, CASE WHEN c_nationkey < 15 THEN c_name || ', "a"' || chr(10) ELSE c_name END AS name, CASE WHEN c_nationkey >= 15 THEN c_mktsegment END AS segment FROM customer""",
