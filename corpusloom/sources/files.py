@@ -33,8 +33,10 @@ def scratch(spark: SparkSession, label: str) -> str:
         folder = f"file://{_local_dir()}"
     path = f"{folder.rstrip('/')}/corpusloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)  # it has to be there
+    return f"{path}/data"
 
 
 def staged(df: DataFrame) -> DataFrame:
