@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import named, numbered, table
+from corpusloom.llm.common import materialize, named, numbered, release, table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -139,7 +139,7 @@ def _segment(model: str | None) -> Callable:
 
 def frequent_chunks(texts: DataFrame, head_rows: int, model: str | None = None) -> tuple[list[str], list[bytes]]:
     """Chunks of the texts and their ids, head_rows at most, the most frequent first."""
-    counted = texts.mapInArrow(_count(model), "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    counted = materialize(texts.mapInArrow(_count(model), "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")), "chunk-counts")
     # steps of an eighth of a power of two: so many chunks of the highest counts as are within the bound
     step, left, least = F.floor(8 * F.log2("n")), head_rows, None
     for r in counted.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # a row a step, 504 at most
@@ -147,8 +147,10 @@ def frequent_chunks(texts: DataFrame, head_rows: int, model: str | None = None)
             break
         left, least = left - r["count"], r["step"]
     if least is None:
+        release(counted)
         return [], []
     rows = counted.where(step >= least).mapInArrow(_segment(model), "chunk string, n long, ids binary").toArrow()  # head_rows at most
+    release(counted)
     rows = rows.sort_by([("n", "descending"), ("chunk", "ascending")])
     return rows["chunk"].to_pylist(), rows["ids"].to_pylist()
 
