@@ -201,14 +201,14 @@ def frequent(profiled: DataFrame, limit: int = FREQUENT) -> tuple[np.ndarray, fl
     result."""
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        heads = np.concatenate([np.cumsum(np.frombuffer(b, "<u4"), dtype=np.uint32) for b in rows.blob])
-        n, first = np.ones(len(heads), np.int64), 0
+        told, first = np.concatenate([np.cumsum(np.frombuffer(b, "<u4"), dtype=np.uint32) for b in rows.blob]).astype(np.uint64) << np.uint64(32), 0
+        told += np.uint64(1)  # a head, and below it how often it came
         for b, m in zip(rows.blob, rows.more):
             places, counts = np.frombuffer(m, "<u4").reshape(2, -1)
-            n[first + places.astype(np.int64)] = counts
+            told[first + places.astype(np.int64)] += counts.astype(np.uint64) - np.uint64(1)
             first += len(b) // 4
-        order = np.argsort(heads, kind="stable")
-        heads, n = tallied(heads[order], n[order])
+        told.sort()
+        heads, n = tallied((told >> np.uint64(32)).astype(np.uint32), (told & np.uint64(0xFFFFFFFF)).astype(np.int64))
         often = n > limit
         few = n[~often].astype(float)
         k = int(often.sum())
