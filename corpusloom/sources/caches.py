@@ -168,12 +168,15 @@ def rules_digest(rules) -> str:
     return hashlib.sha256(json.dumps(rules, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
-def ordered_digest(df: DataFrame, columns: Sequence[str], *order: Column, fan: int = 1024) -> DataFrame:
+def ordered_digest(df: DataFrame, columns: Sequence[str], *order: Column, fan: int = 1024, levels: int | None = None) -> DataFrame:
     """digest: of each row's values with their lengths in front, and of the rows in order.
 
     Rows are numbered in ranges of the order, and their digests are digested by fan neighbours again and again until one
-    is left: the same at any partitioning, and no task or row holds more than fan of them. Equal places in the order
-    are told apart by the rows' digests."""
+    is left: the same at any partitioning, and no task or row holds more than fan of them. With levels the last of so
+    many is over all that are left, as a format may fix: with two, one row holds 64 bytes for every fan rows. Equal places
+    in the order are told apart by the rows' digests."""
+    if levels is not None and levels < 1:
+        raise ValueError(f"levels is {levels}")
     parts = [F.concat(F.length(F.coalesce(F.col(c).cast("string"), F.lit(""))).cast("string"), F.lit(":"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
     rows = df.select(F.struct(*order).alias("o"), F.sha2(F.concat(*parts), 256).alias("d"))
     ranged = staged(rows.repartitionByRange("o", "d").withColumn("p", F.spark_partition_id()))
@@ -181,10 +184,11 @@ def ordered_digest(df: DataFrame, columns: Sequence[str], *order: Column, fan: i
     before = counts.select(F.col("p").alias("q"), (F.sum("n").over(W.orderBy("p")) - F.col("n")).alias("b"))  # a row a range
     r = F.row_number().over(W.partitionBy("p").orderBy("o", "d")) - 1
     now = ranged.withColumn("r", r).join(before, F.col("p") == F.col("q")).select((F.col("r") + F.col("b")).alias("at"), "d")
-    left = ranged.count()
+    left, level = ranged.count(), 0
     while True:
-        up = now.groupBy(F.expr(f"at div {fan}").alias("up")).agg(F.array_sort(F.collect_list(F.struct("at", "d"))).alias("x"))
+        level += 1
+        up = now.groupBy((F.lit(0).cast("long") if level == levels else F.expr(f"at div {fan}")).alias("up")).agg(F.array_sort(F.collect_list(F.struct("at", "d"))).alias("x"))
         now = up.select(F.col("up").alias("at"), F.sha2(F.array_join(F.transform("x", lambda x: x["d"]), ""), 256).alias("d"))
-        left = -(-left // fan)
+        left = 1 if level == levels else -(-left // fan)
         if left <= 1:
             return now.agg(F.coalesce(F.max("d"), F.sha2(F.lit(""), 256)).alias("digest"))
