@@ -44,12 +44,14 @@ def coded_outputs(spark, sf):
 
 def repaired_payloads(spark, sf):
     """Each event's properties cut off at each length and repaired, and a payload of it with single quotes, a line break, bare
-    words and an open list, cut off as far."""
-    ev = table(spark, sf, "events").select("event_id", "event_type", "props", F.get_json_object("props", "$.k").alias("k"))
-    cut = ev.withColumn("cut", F.explode(F.sequence(F.lit(1), F.length("props"))))
+    words and an open list, cut off as far. What is alike in several events is repaired once."""
+    ev = table(spark, sf, "events").select("event_id", "event_type", "props")
+    kinds = ev.select("event_type", "props").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # their cuts are the work, however small they are
+    cut = kinds.withColumn("k", F.get_json_object("props", "$.k")).withColumn("cut", F.explode(F.sequence(F.lit(1), F.length("props"))))
     loose = F.concat(F.lit("{'type': '"), "event_type", F.lit("\n', seen: [True, "), "k", F.lit(", None, {at: ["))
     of = F.length(loose) - F.length("props") + F.col("cut")  # the last of it
-    return cut.select("event_id", "cut", repair_json(F.left("props", F.col("cut"))).alias("props"), repair_json(F.left(loose, of)).alias("loose"))
+    done = cut.select(F.col("event_type").alias("kind"), F.col("props").alias("whole"), "cut", repair_json(F.left("props", F.col("cut"))).alias("cut_props"), repair_json(F.left(loose, of)).alias("loose"))
+    return ev.join(done, (F.col("props") == F.col("whole")) & F.col("event_type").eqNullSafe(F.col("kind"))).select("event_id", "cut", F.col("cut_props").alias("props"), "loose")
 
 
 def truth_for_predictions(spark, sf):
