@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.sources.files import staged
+
 #: Between the parts of a key.
 SEP = "\u001f"
 #: Replicates that are drawn at a time, and patterns of a range, about.
@@ -65,6 +67,7 @@ def resampled(patterns: DataFrame, population: str, n: int, seed: int, size: int
 
     patterns: population (text), items (array of key and w), n (records that are alike). The records of each population are
     resampled by themselves. A key that no record of a replicate has is absent."""
+    patterns = staged(patterns)  # read several times, and a small part of the records
     kind = dict(patterns.select(F.col("items")[0]["key"].alias("k")).dtypes)["k"]
     held = ranges(patterns, population, size)
     spread = F.explode(F.sequence(F.lit(1), F.lit(n), F.lit(CHUNK)))
@@ -114,9 +117,10 @@ def contrast_bootstrap(weights: DataFrame, groups: tuple[str, str], n: int = 100
     0 there."""
     own = weights.where(F.col("group").isin(*groups)).groupBy("group", "id", "label").agg(F.sum("w").alias("w"))
     items = own.groupBy("group", "id").agg(F.array_sort(F.collect_list(F.struct(F.concat_ws(SEP, "group", "label").alias("key"), "w"))).alias("items"))
-    alike = items.groupBy(F.col("group").alias("population"), "items").agg(F.count(F.lit(1)).alias("n"))
+    alike = staged(items.groupBy(F.col("group").alias("population"), "items").agg(F.count(F.lit(1)).alias("n")))
     sums = resampled(alike, "population", n, seed).select("r", F.split("key", SEP)[0].alias("group"), F.split("key", SEP)[1].alias("label"), "x")
-    point = _contrast(own.groupBy("group", "label").agg(F.sum("w").alias("x")), groups, [])
+    each = alike.select("n", F.explode("items").alias("i")).select(F.split("i.key", SEP)[0].alias("group"), F.split("i.key", SEP)[1].alias("label"), (F.col("n") * F.col("i.w")).alias("x"))
+    point = _contrast(each.groupBy("group", "label").agg(F.sum("x").alias("x")), groups, [])
     return _intervals(point, _contrast(sums, groups, ["r"]), n, level)
 
 
@@ -132,12 +136,16 @@ def standardized_bootstrap(cells: DataFrame, tiers: tuple[str, str], stratum: Se
     cells: id, tier, stratum columns, label, w. The weights of the strata are those of all records and
     stay fixed; a stratum without rows of a tier in a replicate adds nothing there."""
     own = cells.select("id", F.concat_ws(SEP, *[F.col(c).cast("string") for c in stratum]).alias("s"), "tier", "label", "w").groupBy("id", "s", "tier", "label").agg(F.sum("w").alias("w"))
-    sizes = own.groupBy("s").agg(*[F.count_if(F.col("tier") == t).alias(f"n{i}") for i, t in enumerate(tiers)], F.count_distinct("id").alias("n_docs")).where("n0 > 0 and n1 > 0")
-    fixed = sizes.select("s", (F.col("n_docs") / F.sum("n_docs").over(W.partitionBy())).alias("wt"))  # a row per stratum
-    kept = own.join(fixed.select("s"), "s", "left_semi")
-    items = kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.struct("s", "tier", "label").alias("k"), "w"))).alias("items"))
+    items = own.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.struct("s", "tier", "label").alias("k"), "w"))).alias("items"))
+    whole = staged(items.groupBy("items").agg(F.count(F.lit(1)).alias("n"), F.count("id").alias("n_ids")))  # records that are alike; the records are read once
+    each = whole.select("n", F.explode("items").alias("i")).select("n", "i.k.*", "i.w")
+    met = each.groupBy("s").agg(*[F.sum(F.when(F.col("tier") == t, F.col("n")).otherwise(0)).alias(f"n{i}") for i, t in enumerate(tiers)]).where("n0 > 0 and n1 > 0")
+    docs = whole.select("n_ids", F.explode(F.array_distinct(F.transform("items", lambda i: i["k"]["s"]))).alias("s")).groupBy("s").agg(F.sum("n_ids").alias("n_docs"))
+    fixed = met.join(docs, "s").select("s", (F.col("n_docs") / F.sum("n_docs").over(W.partitionBy())).alias("wt"))  # a row per stratum
+    strata = fixed.agg(F.collect_set("s").alias("strata"))
+    kept = whole.crossJoin(F.broadcast(strata)).select(F.filter("items", lambda i: F.array_contains("strata", i["k"]["s"])).alias("items"), "n").where(F.size("items") > 0)
     text = F.transform("items", lambda i: F.struct(F.to_json(i["k"]).alias("key"), i["w"].alias("w")))
-    alike = items.groupBy(F.lit("all").alias("population"), text.alias("items")).agg(F.count(F.lit(1)).alias("n"))
+    alike = kept.groupBy(F.lit("all").alias("population"), text.alias("items")).agg(F.sum("n").alias("n"))
     drawn = resampled(alike, "population", n, seed).select("r", F.from_json("key", "s string, tier string, label string").alias("k"), "x").select("r", "k.*", "x")
 
     def contrast(summed: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -145,7 +153,7 @@ def standardized_bootstrap(cells: DataFrame, tiers: tuple[str, str], stratum: Se
         a, b = (F.sum(F.when(F.col("tier") == t, F.col("s_")).otherwise(0.0)) for t in tiers)
         return s.groupBy(*keys, "label").agg((a - b).alias("d"))
 
-    point = contrast(kept.groupBy("s", "tier", "label").agg(F.sum("w").alias("x")), [])
+    point = contrast(each.join(fixed.select("s"), "s", "left_semi").groupBy("s", "tier", "label").agg(F.sum(F.col("n") * F.col("w")).alias("x")), [])
     return _intervals(point, contrast(drawn, ["r"]), n, level)
 
 
@@ -157,7 +165,7 @@ def patterns(pairs: DataFrame, id_col: str = "id", label: str = "label") -> Data
 
 def pattern_bootstrap(pairs: DataFrame, n: int = 1000, seed: int = 7, level: float = 0.95) -> DataFrame:
     """label, share, lo, hi of fractional label shares, records resampled."""
-    found = patterns(pairs)
+    found = staged(patterns(pairs))
     alike = found.select(F.lit("all").alias("population"), F.transform("pattern", lambda x: F.struct(x.alias("key"), (1.0 / F.size("pattern")).alias("w"))).alias("items"), "n")
     share = lambda df, *by: df.withColumn("s", 100 * F.col("x") / F.sum("x").over(W.partitionBy(*by)))
     each = found.select(F.explode("pattern").alias("label"), (F.col("n") / F.size("pattern")).alias("w")).groupBy("label").agg(F.sum("w").alias("x"))
