@@ -33,6 +33,23 @@ def nested(lineage: DataFrame, record: str, item: str, item_fields: Sequence[str
     return per.groupBy(record).agg(F.array_sort(F.collect_list(F.struct(item, *item_fields, "lineage"))).alias("items"))
 
 
+def nested_items(links: DataFrame, lineage: DataFrame, record: str, item: str, item_fields: Sequence[str], position: str, node_fields: Sequence[str]) -> DataFrame:
+    """record and items as nested has them, where an item is the same in all records: links holds record and item, lineage the
+    items' nodes. Each item is nested once, and its nodes are never rows of records; an item without a row in lineage
+    is left out."""
+    key = "_item"
+    per = nested(lineage.withColumn(key, F.col(item)), key, item, item_fields, position, node_fields).select(F.col(key), F.get("items", F.lit(0)).alias("_i"))
+    held = links.select(record, F.col(item).alias("_own")).join(per, F.col("_own") == F.col(key))
+    return held.groupBy(record).agg(F.array_sort(F.array_distinct(F.collect_list("_i"))).alias("items"))
+
+
+def ranked_items(nested_: DataFrame, record: str, rank: str, name: str, ranks: Sequence[str]) -> DataFrame:
+    """ranked_names of records that are nested."""
+    nodes = F.flatten(F.transform("items", lambda i: i["lineage"]))
+    of = lambda r: F.transform(F.filter(nodes, lambda x: (F.upper(x[rank]) == r.upper()) & x[name].isNotNull()), lambda x: x[name])
+    return nested_.select(record, *[F.array_distinct(of(r)).alias(r.lower()) for r in ranks])
+
+
 def ranked_names(lineage: DataFrame, record: str, item: str, position: str, rank: str, name: str, ranks: Sequence[str]) -> DataFrame:
     """record and, for each rank, the distinct names of its items' nodes of that rank in the order of items: the wide
     table of records."""

@@ -12,23 +12,22 @@ from corpusloom.sources.tables import labels, table
 R = 6
 
 
-def _long(spark, sf):
-    """id, item, name, position, rank, node: suppliers of an order numbered by key, each with three nodes."""
-    own = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), "l_suppkey").distinct()
+def _nodes(spark, sf):
+    """id, item: an order's lines and their suppliers; item, name, position, rank, node: each supplier's three nodes."""
+    own = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("item"))
     sup = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     nodes = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(r).alias("rank"), F.col(c).alias("node")) for i, (r, c) in enumerate((("KINGDOM", "r_name"), ("PHYLUM", "n_name"), ("CLASS", "s_name")))])
-    named = own.join(sup, F.col("l_suppkey") == F.col("s_suppkey")).select("id", F.col("l_suppkey").alias("item"), F.col("s_name").alias("name"), F.explode(nodes).alias("x"))
-    return named.select("id", "item", "name", "x.*")
+    return own, sup.select(F.col("s_suppkey").alias("item"), F.col("s_name").alias("name"), F.explode(nodes).alias("x")).select("item", "name", "x.*")
 
 
 def nested_lineages(spark, sf):
     """Each order's nested items as text: names of nodes joined by >, items by |."""
-    n = N.nested(_long(spark, sf), "id", "item", ["name"], "position", ["rank", "node"])
+    n = N.nested_items(*_nodes(spark, sf), "id", "item", ["name"], "position", ["node"])
     return n.select("id", F.array_join(F.transform("items", lambda i: F.concat(i["name"], F.lit(":"), F.array_join(F.transform(i["lineage"], lambda x: x["node"]), ">"))), "|").alias("items"))
 
 
 def wide_records(spark, sf):
-    w = N.ranked_names(_long(spark, sf), "id", "item", "position", "rank", "node", ["KINGDOM", "PHYLUM", "CLASS"])
+    w = N.ranked_items(N.nested_items(*_nodes(spark, sf), "id", "item", [], "position", ["rank", "node"]), "id", "rank", "node", ["KINGDOM", "PHYLUM", "CLASS"])
     return w.select("id", *[F.array_join(c, ";").alias(c) for c in ("kingdom", "phylum", "class")])
 
 
