@@ -155,7 +155,8 @@ def income_transition_matrix(spark, sf):
 
 def country_counts_metadata_check(spark, sf):
     """Records per country with its one region; a country with several would be flagged."""
-    return countries(spark, sf).groupBy("country").agg(F.count_distinct("id").alias("n"), F.min("region").alias("region"), (F.count_distinct("region") == 1).alias("consistent"))
+    per = countries(spark, sf).groupBy("id", "country").agg(F.min("region").alias("least"), F.max("region").alias("most"))  # rows of an id are together
+    return per.groupBy("country").agg(F.count("id").alias("n"), F.min("least").alias("region"), F.coalesce(F.min("least") == F.max("most"), F.lit(False)).alias("consistent"))
 
 
 def label_legend_topn_other(spark, sf):
