@@ -84,16 +84,22 @@ def turned(rings: DataFrame) -> DataFrame:
     return rings.withColumn("points", F.when(right, F.col("points")).otherwise(F.reverse("points")))
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """df, joined by a shuffle: it has a row a ring, whose numbers make small files and large tables, which would go through the
+    driver once a round."""
+    return df.hint("merge")
+
+
 def _clusters(rings: DataFrame, touching: DataFrame) -> DataFrame:
     """uid, cluster: the least uid of those that hang together by touching (a, b)."""
     both = staged(touching.union(touching.select("b", "a")).distinct())
     now = staged(rings.select("uid", F.col("uid").alias("cluster")))
     while True:
-        near = both.join(now, F.col("b") == F.col("uid")).groupBy("a").agg(F.min("cluster").alias("least"))
-        step = now.join(near, F.col("uid") == F.col("a"), "left").select("uid", F.least("cluster", F.coalesce("least", "cluster")).alias("cluster"))
+        near = both.join(_apart(now), F.col("b") == F.col("uid")).groupBy("a").agg(F.min("cluster").alias("least"))
+        step = now.join(_apart(near), F.col("uid") == F.col("a"), "left").select("uid", F.least("cluster", F.coalesce("least", "cluster")).alias("cluster"))
         jump = step.select(F.col("uid").alias("u"), F.col("cluster").alias("far"))
-        new = staged(step.join(jump, F.col("cluster") == F.col("u")).select("uid", "far").withColumnRenamed("far", "cluster"))
-        if new.join(now.select(F.col("uid").alias("v"), F.col("cluster").alias("was")), F.col("uid") == F.col("v")).where("cluster <> was").isEmpty():
+        new = staged(step.join(_apart(jump), F.col("cluster") == F.col("u")).select("uid", "far").withColumnRenamed("far", "cluster"))
+        if new.join(_apart(now.select(F.col("uid").alias("v"), F.col("cluster").alias("was"))), F.col("uid") == F.col("v")).where("cluster <> was").isEmpty():
             return new
         now = new
 
@@ -107,7 +113,7 @@ def dissolved(rings: DataFrame, by: str) -> DataFrame:
     tallied = edges.groupBy("g", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi")).agg(F.sum(F.when(along, 1).otherwise(-1)).alias("net"), F.min("uid").alias("a"), F.max("uid").alias("b"))
     tallied = staged(tallied)
     clusters = _clusters(rings, tallied.where("a <> b").select("a", "b"))
-    left = tallied.where("net <> 0").join(clusters, F.col("a") == F.col("uid")).select("g", "cluster", F.when(F.col("net") > 0, F.col("lo")).otherwise(F.col("hi")).alias("p"), F.when(F.col("net") > 0, F.col("hi")).otherwise(F.col("lo")).alias("q"))
+    left = tallied.where("net <> 0").join(_apart(clusters), F.col("a") == F.col("uid")).select("g", "cluster", F.when(F.col("net") > 0, F.col("lo")).otherwise(F.col("hi")).alias("p"), F.when(F.col("net") > 0, F.col("hi")).otherwise(F.col("lo")).alias("q"))
     kind = rings.schema["g"].dataType.simpleString()
     like = rings.select("g").limit(0).toArrow().schema.field("g").type
     point = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
